@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, ngram_join, quality_rules, token_files, url_filter
+from . import kneser_ney, mixing, ngram_join, quality_rules, token_files, topk, url_filter
 from .common import table
 
 
@@ -39,7 +40,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.listing(pages)).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_token_files, op4_kneser_ney, op6_quality_rules, op8_ngram_join, op9_url_filter)}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_token_files, op4_kneser_ney, op6_quality_rules, op8_ngram_join, op9_url_filter, op10_topk)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -93,6 +98,12 @@ r as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
   case when n_words = 0 or stops / n_words < 0.02 then 'stop_words' end, case when n_lines > 0 and n_dup_lines / n_lines > 0.5 then 'duplicate_lines' end,
   case when n_lines > 0 and bullets / n_lines > 0.9 then 'bullet_lines' end, case when n_lines > 0 and dots / n_lines > 0.5 then 'ellipsis_lines' end], lambda x: x is not null) as broken from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(broken) = 0 as kept, broken from r""",
+    "op10_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
+select * from r where rank <= 20""",
     "op9_url_filter": rf"""
 with a as (select page_id, {_HOST} as host, {_PATH} as path, {_CANONICAL} as canon from pages),
 l as (select distinct canon from a where canon is not null and list_has_any(string_split(host, '.'), [{_LABELS}]))
