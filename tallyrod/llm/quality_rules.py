@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import words
 
 
 class Rule(NamedTuple):
@@ -48,6 +48,10 @@ RULES = (
 )
 
 
+#: The metrics, in the order in which `measure` computes them.
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_length", "symbol_ratio", "upper_ratio", "stop_word_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -55,34 +59,44 @@ def _ratio(a: Column, b: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text", into: str = "metrics", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Adds struct `into` with every metric of each whole text. No shuffle, no user function.
 
-    Repeated words: a text's 3-word windows are sorted with their places inside the row, so equal ones are neighbours;
-    the words that a window with an equal neighbour covers are counted once.
+    Repeated words: texts whose 3-word windows have as many distinct hashes as windows repeat none. In the others the
+    windows are sorted with their places inside the row, so equal ones are neighbours; the words that a window with an
+    equal neighbour covers are counted once.
     """
     # Plain columns, each read more than once by the next step, so that Spark keeps the steps apart: an expression that
     # it inlined into a lambda would be computed again for every element.
     t, w, lines, g = names = [f"__{into}_{k}" for k in "twlg"]
+    hashes = f"__{into}_h"
     step = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    step = step.withColumns({w: words(F.col(t)), lines: F.filter(F.split(F.col(t), "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)})
+    step = step.withColumns({w: words(F.col(t)), lines: F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})
     gram = lambda x, i: F.struct(F.concat_ws(" ", x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)).alias("g"), i.alias("i"))
-    step = step.withColumn(g, F.array_sort(F.slice(F.transform(F.col(w), gram), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))))
+    windows = F.greatest(F.size(w) - 2, F.lit(0))
+    step = step.withColumn(hashes, F.slice(F.transform(F.col(w), lambda x, i: F.xxhash64(x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2))), F.lit(1), windows))
+    some = F.array_sort(F.slice(F.transform(F.col(w), gram), F.lit(1), windows))
+    step = step.withColumn(g, F.when(F.size(F.array_distinct(F.col(hashes))) < F.size(hashes), some))
     t, w, lines, g = map(F.col, names)
+    names.append(hashes)
     repeated = F.filter(g, lambda x, i: (x["g"] == F.get(g, i + 1)["g"]) | F.coalesce(x["g"] == F.get(g, i - 1)["g"], F.lit(False)))
     covered = F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     n, n_lines = F.size(w).cast("long"), F.size(lines).cast("long")
-    chars = F.length(F.regexp_replace(t, SPACE, "")).cast("long")
+    chars = F.length(F.array_join(w, "")).cast("long")
     symbols = (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long")
     upper = F.length(F.regexp_replace(t, "[^A-Z]+", ""))
     letters = F.length(F.regexp_replace(t, "[^A-Za-z]+", ""))
     dup = n_lines - F.size(F.array_distinct(lines))
     count = lambda a, f: F.size(F.filter(a, f)).cast("long")
-    return step.withColumn(into, F.struct(
-        n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.cast("long").alias("n_dup_lines"), F.size(covered).cast("long").alias("n_repeat_words"),
-        _ratio(chars, n).alias("mean_word_length"), _ratio(symbols, n).alias("symbol_ratio"), _ratio(upper, letters).alias("upper_ratio"),
-        _ratio(F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*stop_words))), n).alias("stop_word_ratio"),
-        _ratio(dup, n_lines).alias("dup_line_ratio"),
-        _ratio(count(lines, lambda x: F.ltrim(x).rlike("^[-*•]")), n_lines).alias("bullet_line_ratio"),
-        _ratio(count(lines, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$")), n_lines).alias("ellipsis_line_ratio"),
-    )).drop(*names)
+    # Flat first: fields of a struct would be computed again by each rule that reads them.
+    metrics = [
+        n, chars, symbols, dup.cast("long"), F.when(g.isNull(), 0).otherwise(F.size(covered)).cast("long"),
+        _ratio(chars, n), _ratio(symbols, n), _ratio(upper, letters),
+        _ratio(F.size(F.filter(w, lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*stop_words))), n),
+        _ratio(dup, n_lines),
+        _ratio(count(lines, lambda x: F.ltrim(x).rlike("^[-*•]")), n_lines),
+        _ratio(count(lines, lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$")), n_lines),
+    ]
+    flat = {f"__{into}_{i}": c for i, c in enumerate(metrics)}
+    step = step.select(*docs.columns, *(c.alias(k) for k, c in flat.items()))
+    return step.select(*docs.columns, F.struct(*(F.col(k).alias(n) for k, n in zip(flat, METRICS, strict=True))).alias(into))
 
 
 def compiled(rules: Sequence[Rule] = RULES, metrics: str = "metrics") -> Column:
