@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, ngram_join, quality_rules, token_files, topk, url_filter
+from . import kneser_ney, mixing, ngram_join, pii, quality_rules, revisits, sentence_pieces, token_files, topk, url_filter
 from .common import table
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    merged = F.array_join(F.array_sort(F.transform(F.map_entries("merged"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ")
+    return found.withColumn("merged", merged)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,11 +31,21 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality_rules.judge(table(spark, sf_dir, "documents"))
     return m.select("doc_id", *(f"metrics.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", "broken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -44,7 +60,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_token_files, op4_kneser_ney, op6_quality_rules, op8_ngram_join, op9_url_filter, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_mixing, op3_token_files, op4_kneser_ney, op5_sentence_pieces, op6_quality_rules, op7_pii, op8_ngram_join, op9_url_filter, op10_topk)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -63,6 +79,20 @@ def _rules(out: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op1_revisits": rf"""
+with k as (select *, unnest(range(0, (page_id % 5) + 1)) as k from pages),
+a as (select (page_id * 8 + k)::bigint as record_id, url, page_id as p, k, (1600000000 + (page_id * 977) % 5000000 + k * 40000)::bigint as ts, sha1(coalesce(html, '')) as sha, octet_length(encode(coalesce(html, '')))::bigint as bytes,
+  (k = 0 and page_id % 11 <> 4) or (k = 3 and page_id % 2 = 0) as is_full from k),
+b as (select *, case when is_full then 200 when k = 0 then 404 else 304 end as status, '"' || substr(sha, 1, 12) || case when k in (3, 4) and p % 2 = 0 then '-2' else '' end || '"' as own, {_CANONICAL} as canonical from a),
+c as (select *, case when status = 304 and p % 13 in (6, 7) then null when status = 304 and p % 7 = 3 then '"stale"' when status = 304 and p % 7 = 5 then 'W/' || own else own end as etag,
+  case when status = 304 and p % 13 = 7 then null else 'day ' || (p % 1000) end as modified from b),
+d as (select r.record_id, r.canonical, r.ts, r.etag, r.modified, f.record_id as response_id, f.ts as response_ts, f.sha as digest, f.bytes as n_bytes, f.etag as f_etag, f.modified as f_modified,
+  row_number() over (partition by r.record_id order by f.ts desc, f.record_id desc) as rn
+  from c r left join c f on f.is_full and f.canonical = r.canonical and (f.ts < r.ts or f.ts = r.ts and f.record_id < r.record_id) where r.status = 304),
+e as (select *, case when response_id is null then 'unmatched' when etag is not null then case when regexp_replace(etag, '^W/', '') is not distinct from regexp_replace(f_etag, '^W/', '') then 'resolved' else 'mismatch' end
+  when modified is not null then case when modified is not distinct from f_modified then 'resolved' else 'mismatch' end else 'unchecked' end as verdict from d where rn = 1)
+select record_id, canonical, ts, response_id, response_ts, digest, n_bytes, verdict, case when verdict = 'resolved' then
+  'content-length=' || n_bytes || '; content-type=text/html; date=' || ts || '; etag=' || coalesce(etag, f_etag) || '; last-modified=' || coalesce(modified, f_modified) end as merged from e""",
     "op2_mixing": rf"""
 with d as (select doc_id, source, {_WORDS} as w from documents),
 s as (select doc_id, source, len(w)::bigint as size,
