@@ -1,8 +1,62 @@
-"""Stages of a corpus pipeline over the table documents."""
+"""A corpus pipeline over the table documents: quality rules, near duplicates, personal data, mixing, tokens.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it decides takes effect on the rows that the next
+stage sees. All but the last return the columns of documents; the last adds the pieces of each text. Nulls, blank
+texts, repeated rows and empty tables are handled as the operators say.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyrod.llm import mixing, ngram_join, pii, quality_rules, sentence_pieces
+from tallyrod.llm.common import saved
+
+#: None: a stage that trains on contexts and one that segments words are not SQL; tests compare run() with brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    return ngram_join.one_each(docs, n=5, num=80, den=100)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span of personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their target shares: documents repeat by complete passes and by the fractional one."""
+    return mixing.copies(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds array column pieces."""
+    import public_tokenizers
+
+    return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("ngram_join", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mixture),
+    ("sentence_pieces", pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents, each written as Parquet and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
