@@ -254,17 +254,34 @@ def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes of different roots that may be linked: each pair shares a shingle among the first
     size - ceil(threshold * size) + 1 of both, in one order that puts frequent shingles last."""
-    to_longs = F.pandas_udf(lambda d: d.map(lambda x: np.frombuffer(x, "int64")), "array<long>")
-    own = saved(sets.join(roots, sets["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), to_longs("data").alias("tokens")), "tokens")
-    often = saved(own.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count >= 8"), "often")
+    own = saved(sets.join(roots, sets["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "data"), "own")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("data"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "int64"))], names=["token"])
+
+    often = saved(own.select("data").mapInArrow(tokens, "token long").groupBy("token").count().where("count >= 8"), "often")
     least = 8
     while often.where(F.col("count") >= least).count() > BROADCAST_ROWS:
         least *= 2
-    hot = often.where(F.col("count") >= least).agg(F.map_from_entries(F.collect_list(F.struct("token", "count"))).alias("hot"))
-    size = F.size("tokens")
-    keep = size - F.ceil(size * num / den).cast("int") + 1
-    ordered = own.crossJoin(F.broadcast(hot)).select("cls", "root", size.alias("size"), F.slice(F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(F.coalesce(F.try_element_at("hot", t), F.lit(0)).alias("n"), t.alias("t")))), lambda x: x["t"]), F.lit(1), keep).alias("prefix"))
-    rows = saved(ordered.select("cls", "root", "size", F.explode("prefix").alias("token")), "prefixes")
+    # At most BROADCAST_ROWS tokens; all others count as rare, which changes the order but not what is found.
+    hot = often.where(F.col("count") >= least).orderBy("token").toPandas()
+    hot_tokens, hot_counts = hot["token"].to_numpy("int64"), hot["count"].to_numpy("int64")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, root, data in zip(b.column("cls"), b.column("root"), b.column("data"), strict=True):
+                t = np.frombuffer(data.as_py(), "int64")
+                n = np.zeros(len(t), "int64")
+                if len(hot_tokens):
+                    at = np.minimum(np.searchsorted(hot_tokens, t), len(hot_tokens) - 1)
+                    n = np.where(hot_tokens[at] == t, hot_counts[at], 0)
+                first = t[np.lexsort((t, n))][: len(t) - -(-len(t) * num // den) + 1]
+                same = lambda v: pa.array(np.full(len(first), v, "int64"))
+                yield pa.RecordBatch.from_arrays([same(cls.as_py()), same(root.as_py()), same(len(t)), pa.array(first)], names=["cls", "root", "size", "token"])
+
+    rows = saved(own.mapInArrow(prefixes, "cls long, root long, size long, token long"), "prefixes")
     x, y = rows.select("token", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa")), rows.select("token", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
     near = (F.col("ra") < F.col("rb")) & (den * F.least("sa", "sb") >= num * F.greatest("sa", "sb"))
     return x.join(y, "token").where(near).select("a", "b").distinct()
