@@ -11,7 +11,9 @@ ordered by their text; an empty table writes no token; only columns doc_id and t
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,39 +26,70 @@ from .common import shared_dir
 
 #: Appended to every document.
 END = 0
-#: Entries of a worker's memory of encoded words; when full it starts anew.
-MEMORY = 300_000
+#: Entries of one generation of a worker's memory of encoded pieces; it keeps two.
+MEMORY = 350_000
 
-_memory: dict[str, dict[str, bytes]] = {}
-_models: dict[str, object] = {}
+_models: dict[str, Memory] = {}
 
 ROW = "doc_id long, file int, local_start long, n_tokens long, ids array<int>"
 
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit integers.
+class Memory(dict):
+    """Pieces of text with their ids as little-endian 32-bit integers; a piece that is met for the first time is
+    encoded. When a generation is full it becomes the old one, from which pieces still in use move on."""
 
-    Byte-level pre-tokens hold a blank only as their first character (or in a run of white space), so a text may be cut
-    before any blank that stands between two characters that aren't white space, and the pieces encoded one by one.
-    Each distinct piece is encoded once in a worker's life, as long as its memory lasts."""
-    if path not in _models:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _models[path] = Tokenizer.from_file(path)
-        _memory[path] = {}
-    memory, cut = _memory[path], [_pieces(t) for t in texts]
-    if len(memory) > MEMORY:
-        memory.clear()
-    missing = list({p for ps in cut for p in ps if p not in memory})
-    for at in range(0, len(missing), 20_000):
-        some = missing[at : at + 20_000]
-        for p, e in zip(some, _models[path].encode_batch(some, add_special_tokens=False), strict=True):
-            memory[p] = np.asarray(e.ids, "<u4").tobytes()
-    out = [b"".join(map(memory.__getitem__, ps)) for ps in cut]
+        super().__init__()
+        model = Tokenizer.from_file(path)
+        self.encode, self.old = model.encode, {}
+        #: Tokens that the library looks for in whole texts, before it cuts them.
+        self.special = [x.content for x in model.get_added_tokens_decoder().values()]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > MEMORY:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Letters up to U+00FF with a blank before them, or other characters up to the next letter or blank. These begin and end
+#: where byte-level pre-tokens do in texts without ODD and without characters from U+0100.
+PIECE = re.compile(" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff ]+| ")
+#: Two white-space characters in a row, or an apostrophe, which may join letters.
+ODD = re.compile("\\s\\s|'")
+
+
+def encoded(texts: list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian 32-bit integers. Texts are cut where no pre-token crosses and the pieces encoded
+    one by one, each distinct piece once as long as the worker remembers it."""
+    if path not in _models:
+        _models[path] = Memory(path)
+    memory = _models[path]
+    cut = lambda t: [t] if any(x in t for x in memory.special) else PIECE.findall(t) if _plain(t) else _pieces(t)
+    out = [b"".join(map(memory.__getitem__, cut(t))) for t in texts]
+    memory.age()
     return out
 
 
+def _plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return ODD.search(text) is None
+
+
 def _pieces(text: str) -> list[str]:
+    """Cuts before each blank that stands between two characters that aren't white space: a blank is only ever the first
+    character of a pre-token, or part of a run of white space."""
     parts = text.split(" ")
     pieces, held = [], parts[0]
     for p in parts[1:]:
@@ -77,8 +110,8 @@ def _encode(path: str):
 
         part, start, end = TaskContext.get().partitionId(), 0, np.asarray([END], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
+            for at in range(0, b.num_rows, 100):
+                some = b.slice(at, 100)
                 ids = [x + end for x in encoded([t or "" for t in some.column("text").to_pylist()], path)]
                 n = np.asarray([len(x) // 4 for x in ids], "int64")
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype("int32")
