@@ -291,7 +291,7 @@ def train(docs: DataFrame) -> dict:
     spark = docs.sparkSession
     folder, parts = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, packed = docs.select("text"), "shard int, data binary"
-    word_shards = 4 * parts
+    word_shards = parts
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _tokens(batches, GATHERED):
@@ -332,6 +332,15 @@ def train(docs: DataFrame) -> dict:
     first_numbers = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("uint64")
 
     def store_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            # One packed row for each shard of words and flush, not for each shard of bigrams.
+            sums = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            out = _pack(sums[0], sums[1:], np.searchsorted(first_numbers, sums[0], "right") - 1, word_shards + 1)
+            return pa.RecordBatch.from_arrays([*out.columns, *([pa.nulls(out.num_rows, pa.int64())] * 6)], names=_COUNTED)
+
         for k, (keys, n) in _by_shard(batches):
             _put(folder, f"bigrams-{k}", keys)
             _put(folder, f"bigram_counts-{k}", n.astype("<u4"))
@@ -339,12 +348,13 @@ def train(docs: DataFrame) -> dict:
             zero = np.zeros(len(keys), "uint64")
             # By word: its count as a context, distinct bigrams counted 1, 2, 3+ times after it, distinct words before it.
             cols = [np.concatenate([x, y]) for x, y in ((n, zero), ((n == 1).astype("uint64"), zero), ((n == 2).astype("uint64"), zero), ((n > 2).astype("uint64"), zero), (zero, one))]
-            sums = _summed(np.concatenate([first, second]), *cols)
-            out = _pack(sums[0], sums[1:], np.searchsorted(first_numbers, sums[0], "right") - 1, word_shards + 1)
+            held.append(_summed(np.concatenate([first, second]), *cols))
+            if sum(len(x[0]) for x in held) > SHARD:
+                yield flush()
             counts = [int((n == i).sum()) for i in (1, 2, 3, 4)]
-            none = pa.nulls(out.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*out.columns, *([none] * 6)], names=_COUNTED)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in (k, len(keys), *counts))], names=_COUNTED)
+        if held:
+            yield flush()
 
     counted = saved(_dealt(texts.mapInArrow(count_bigrams, packed), bigram_parts).mapInArrow(store_bigrams, "shard int, data binary, file long, n long, c1 long, c2 long, c3 long, c4 long"), "counted")
     files = sorted(counted.where("file is not null").select("file", "n", "c1", "c2", "c3", "c4").collect())  # one row a shard
