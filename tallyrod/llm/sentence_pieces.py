@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Words that a worker remembers; when full it starts anew.
+#: Entries of one generation of a worker's memory of segmented words; it keeps two.
 MEMORY = 300_000
 
 _models: dict[str, Pieces] = {}
@@ -66,6 +67,7 @@ class Pieces:
         self.unknown = lowest - 10
         self.words = re.compile(f"{MARK}+[^{MARK}]*" if multi else f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
         self.memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) for each of the words, which come sorted."""
@@ -105,12 +107,15 @@ class Pieces:
         """Ids as little-endian 32-bit integers."""
         cut = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.memory) > MEMORY:
-            self.memory.clear()
-        for w, ids in self.segment(sorted({w for ws in cut for w in ws if w not in self.memory})):
-            self.memory[w] = np.asarray(ids, "<i4").tobytes()
+            self.old, self.memory = self.memory, {}
+        missing = set().union(*cut).difference(self.memory)
+        known = missing.intersection(self.old)
+        self.memory.update((w, self.old[w]) for w in known)
+        for w, ids in self.segment(sorted(missing.difference(known))):
+            self.memory[w] = array("i", ids).tobytes()
         return [b"".join(map(self.memory.__getitem__, ws)) for ws in cut]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
@@ -126,8 +131,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "pieces"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
                 texts = b.column(text).to_pylist()
                 ids = pieces.encode([t or "" for t in texts])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("int32")
@@ -143,8 +148,8 @@ def decode(docs: DataFrame, model: str, ids: str = "pieces", into: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
                 yield b.append_column(into, pa.array([None if x is None else pieces.decode(x) for x in b.column(ids).to_pylist()], pa.string()))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())]))
@@ -155,13 +160,17 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     for null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("pieces")
-            arrays = [None if not x.is_valid else x.values.to_numpy().astype("<i4") for x in ids]
-            n = pa.array([0 if x is None else len(x) for x in arrays], pa.int64())
-            crc = pa.array([0 if x is None else zlib.crc32(x.tobytes()) for x in arrays], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, crc, b.column("same")], names=["doc_id", "n_pieces", "ids_crc32", "same"])
+        pieces = _pieces(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                texts = b.column("text").to_pylist()
+                ids = pieces.encode([t or "" for t in texts])
+                back = [pieces.decode(array("i", x)) for x in ids]
+                same = [None if t is None else t.replace(MARK, " ") == x for t, x in zip(texts, back, strict=True)]
+                columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) if x else 0 for x in ids], pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "n_pieces", "ids_crc32", "same"])
 
+    # One pass over each text; encode() and decode() as two steps would carry all ids through the JVM.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = decode(encode(own, model), model).select("doc_id", "pieces", (F.col("decoded") == F.translate("text", MARK, " ")).alias("same"))
-    return both.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, same boolean")
+    return own.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, same boolean")
