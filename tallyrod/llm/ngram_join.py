@@ -9,7 +9,8 @@ by sets with more than m empty partitions, so two linked sets always share a sig
 Sets that share a signature are first compared with one leader only: each task compares its own members with its own
 leader and passes only that leader on, so a group of any size costs one pair a member. Where a link to the leader
 fails and at least three sets share the signature, these sets are joined once more, by a prefix filter (rarest
-shingles first), except for pairs that are already known to be connected. Candidates are checked exactly.
+shingles first), except for pairs that are already known to be connected. Candidates are sifted by bitmaps that can
+only rule out, then checked exactly.
 
 Defined cases: null, empty or blank texts have no shingles and are linked with nothing, not even each other; texts of
 fewer words than n are one shingle; exact copies and repeated rows are one class; null ids take part but name no
@@ -41,6 +42,7 @@ SHARD = 1_500_000
 BROADCAST_ROWS = 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+_TOP48 = np.uint64(0xFFFFFFFFFFFF0000)
 _memory: dict[bytes, int] = {}
 
 
@@ -108,7 +110,8 @@ class Bands:
             sums = np.zeros(p, "uint64")
             np.add.at(sums, at, mix(s))
             full = np.bincount(at, minlength=p) > 0
-            sigs = mix(sums + mix(np.arange(p, dtype="uint64") + np.uint64(i << 32)))
+            # 48 bits are enough: sets that share one by chance are only compared in vain.
+            sigs = mix(sums + mix(np.arange(p, dtype="uint64") + np.uint64(i << 32))) & _TOP48
             out.append(sigs if p - int(full.sum()) > self.spare[i] else sigs[full])
         return np.concatenate(out)
 
@@ -138,6 +141,18 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
 
+def _packed(sig: np.ndarray, cls: np.ndarray) -> bytes:
+    """Sorted signatures as steps, by byte planes, whose zeros compress; classes as they are."""
+    planes = np.ascontiguousarray(np.diff(sig, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T).tobytes()
+    return len(sig).to_bytes(4, "little") + cls.tobytes() + bytes(pa.compress(planes, codec="zstd"))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4 + 8 * n :], decompressed_size=8 * n, codec="zstd"), "u1").reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("uint64").reshape(n), dtype="uint64"), np.frombuffer(data, "int64", n, 4)
+
+
 _STAR = "sig long, member long, leader long"
 
 
@@ -166,7 +181,7 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
             shard = ((sig >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)  # rises with the signature
             ends = np.searchsorted(shard, np.arange(shards + 1, dtype="uint64"))
             some = [k for k in range(shards) if ends[k] < ends[k + 1]]
-            data = [sig[ends[k] : ends[k + 1]].tobytes() + lead[ends[k] : ends[k + 1]].tobytes() for k in some]
+            data = [_packed(sig[ends[k] : ends[k + 1]], lead[ends[k] : ends[k + 1]]) for k in some]
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["sig", "member", "leader", "shard", "data"])
             sigs.clear()
@@ -193,9 +208,10 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
                 if shard != now and sigs:
                     yield _led(np.concatenate(sigs), np.concatenate(cls))[2]
                     sigs, cls = [], []
-                now, data = shard, data.as_py()
-                sigs.append(np.frombuffer(data[: len(data) // 2], "uint64"))
-                cls.append(np.frombuffer(data[len(data) // 2 :], "int64"))
+                now = shard
+                sig, lead = _unpacked(data.as_py())
+                sigs.append(sig)
+                cls.append(lead)
         if sigs:
             yield _led(np.concatenate(sigs), np.concatenate(cls))[2]
 
@@ -222,23 +238,75 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
     return dealt.mapInArrow(both, _STAR)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A bitmap of at least four bits an element, at the elements' low bits; its length is a power of two."""
+    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype("int64")] = True
+    return np.packbits(out, bitorder="little")
+
+
+def possible(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, num: int, den: int) -> bool:
+    """False only if the sets of these sketches and sizes surely are not linked: a bit that only one of them has is an
+    element that only it has."""
+    if len(a) > len(b):
+        a, n_a, b, n_b = b, n_b, a, n_a
+    if len(a) < len(b):
+        b = np.bitwise_or.reduce(b.reshape(-1, len(a)), 0)
+    both = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    return den * both >= num * (n_a + n_b - both)
+
+
+def _texts_of(docs: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts of the documents that stand for the classes in `needed` (cls, doc_id), and `needed`, written."""
+    needed = saved(needed, "needed")
+    ids = needed.select(F.col("doc_id").alias("__id")).distinct()
+    if needed.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi"), needed
+
+
+def sketches_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
+    """(cls, size, data) of the classes in `needed`; data: the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), n) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "data"])
+
+    own, needed = _texts_of(docs, needed)
+    found = saved(own.mapInArrow(run, "cls long, size long, data binary"), "sketches")
+    return found.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+
+
 def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
-    """(cls, data) of the classes in `needed` (cls, doc_id of one document); data: the sorted hashes."""
+    """(cls, data) of the classes in `needed`; data: the sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), n) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "data"])
 
-    needed = saved(needed, "needed")
-    ids = needed.select(F.col("doc_id").alias("__id")).distinct()
-    if needed.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    own, needed = _texts_of(docs, needed)
     found = saved(own.mapInArrow(run, "cls long, data binary"), "sets")
     return found.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
+def sifted(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may be linked by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = zip(b.column("x"), b.column("nx").to_pylist(), b.column("y"), b.column("ny").to_pylist(), strict=True)
+            ok = [possible(np.frombuffer(x.as_py(), "u1"), nx, np.frombuffer(y.as_py(), "u1"), ny, num, den) for x, nx, y, ny in cols]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    x = sketches.select(F.col("cls").alias("a"), F.col("size").alias("nx"), F.col("data").alias("x"))
+    y = sketches.select(F.col("cls").alias("b"), F.col("size").alias("ny"), F.col("data").alias("y"))
+    near = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "x", "nx", "y", "ny").mapInArrow(run, "a long, b long")
+
+
 def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
 
@@ -307,7 +375,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     left = saved(left.select(F.col("member").alias("cls")).unionByName(left.select(F.col("leader").alias("cls"))).distinct(), "left")
     if left.limit(1).count():
         sets = saved(sets_of(docs, n, one.join(left, "cls", "left_semi")), "left_sets")
-        more = saved(checked(saved(prefix_pairs(sets, roots, num, den), "more"), sets, num, den), "more_links")
+        more = saved(_check(docs, n, one, saved(prefix_pairs(sets, roots, num, den), "more"), num, den), "more_links")
         if more.limit(1).count():
             roots = saved(components(links.unionByName(more)), "roots")
     # Least id of each class, then of each component.
@@ -318,9 +386,15 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     return some.unionByName(rows.where("cls is null").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
 def _check(docs: DataFrame, n: int, one: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    return checked(pairs, sets_of(docs, n, one.join(both, "cls", "left_semi")), num, den)
+    """The linked pairs: sifted by sketches, which are a tenth as large as sets, then checked exactly."""
+    sketches = sketches_of(docs, n, one.join(_ends(pairs), "cls", "left_semi"))
+    near = saved(sifted(pairs, sketches, num, den), "near")
+    return checked(near, sets_of(docs, n, one.join(_ends(near), "cls", "left_semi")), num, den)
 
 
 def one_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
