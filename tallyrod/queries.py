@@ -1,5 +1,9 @@
 """Every registered query over the given tables with its SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import queries_labels, queries_text
+from .registry import ORACLE, QUERIES
+
+FLAGSHIP = "retrieve"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "queries_labels", "queries_text"]
