@@ -41,6 +41,9 @@ SHARD = 1_500_000
 #: Ids or tokens that may be broadcast; beyond that Spark joins by shuffle, or a token must be more frequent to count as hot.
 BROADCAST_ROWS = 1_000_000
 
+#: Partitions beyond those that errors can touch, as a share of these: linked sets agree on as many more.
+SPARE = 0.15
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 _TOP48 = np.uint64(0xFFFFFFFFFFFF0000)
 _memory: dict[bytes, int] = {}
@@ -91,7 +94,7 @@ class Bands:
             k = 2 * high * (self.den - self.num) // (self.den + self.num)
             least = self.low[-1] if self.high else 1  # of the band below, which uses this instance too
             empty = (k + 1) * math.exp(-least / (k + 1))
-            m = math.ceil(empty + 3 * math.sqrt(empty)) if k and empty >= 0.5 else 0
+            m = max(math.ceil(empty + 3 * math.sqrt(empty)) if empty >= 0.5 else 0, math.ceil(SPARE * (k + 1))) if k else 0
             if self.high:
                 self.low.append(low)
             self.high.append(high)
@@ -99,14 +102,26 @@ class Bands:
             self.parts.append(k + 1 + m)
             self.spare.append(m)
 
+    def _deal(self, s: np.ndarray, i: int) -> np.ndarray:
+        return (((s >> np.uint64(32)) * np.uint64(self.parts[i])) >> np.uint64(32)).astype("int64")
+
+    def need(self, s: np.ndarray) -> int:
+        """How many signatures at least the set shares with any set that it is linked with: of the m + 1 partitions that
+        agree, those that aren't empty here."""
+        self._grow(len(s))
+        band, out = int(np.searchsorted(self.high, len(s))), []
+        for i in (band, band + 1):
+            empty = self.parts[i] - np.count_nonzero(np.bincount(self._deal(s, i), minlength=self.parts[i]))
+            out.append(max(1, self.spare[i] + 1 - int(empty)))
+        return min(out)
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """Of a set that isn't empty: those of its band's instance and of the next."""
         self._grow(len(s))
         band, out = int(np.searchsorted(self.high, len(s))), []
         for i in (band, band + 1):
             p = self.parts[i]
-            at = ((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
-            at = at.astype("int64")
+            at = self._deal(s, i)
             sums = np.zeros(p, "uint64")
             np.add.at(sums, at, mix(s))
             full = np.bincount(at, minlength=p) > 0
@@ -126,19 +141,21 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row; cls is null where there are no shingles."""
+def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, cls, need) of every row; cls is null where there are no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for b in batches:
-            sizes, cls = [], []
+            sizes, cls, need = [], [], []
             for t in b.column("text"):
                 s = shingles(t.as_py(), n)
                 sizes.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n_shingles", "cls"])
+                need.append(bands.need(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(need, pa.int32())], names=["doc_id", "n_shingles", "cls", "need"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, need int")
 
 
 def _packed(sig: np.ndarray, cls: np.ndarray) -> bytes:
@@ -321,7 +338,8 @@ def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes of different roots that may be linked: each pair shares a shingle among the first
-    size - ceil(threshold * size) + 1 of both, in one order that puts frequent shingles last."""
+    size - ceil(threshold * size) + 1 of both, in one order that puts frequent shingles last, at places that leave room for
+    the overlap that a link takes."""
     own = saved(sets.join(roots, sets["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "data"), "own")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,21 +365,25 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
                     n = np.where(hot_tokens[at] == t, hot_counts[at], 0)
                 first = t[np.lexsort((t, n))][: len(t) - -(-len(t) * num // den) + 1]
                 same = lambda v: pa.array(np.full(len(first), v, "int64"))
-                yield pa.RecordBatch.from_arrays([same(cls.as_py()), same(root.as_py()), same(len(t)), pa.array(first)], names=["cls", "root", "size", "token"])
-
-    rows = saved(own.mapInArrow(prefixes, "cls long, root long, size long, token long"), "prefixes")
-    x, y = rows.select("token", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa")), rows.select("token", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
-    near = (F.col("ra") < F.col("rb")) & (den * F.least("sa", "sb") >= num * F.greatest("sa", "sb"))
+                place = pa.array(np.arange(1, len(first) + 1))
+                yield pa.RecordBatch.from_arrays([same(cls.as_py()), same(root.as_py()), same(len(t)), place, pa.array(first)], names=["cls", "root", "size", "place", "token"])
+
+    rows = saved(own.mapInArrow(prefixes, "cls long, root long, size long, place long, token long"), "prefixes")
+    side = lambda k: rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "root", "size", "place")))
+    x, y = side("a").withColumnRenamed("cls_a", "a"), side("b").withColumnRenamed("cls_b", "b")
+    near = (F.col("root_a") < F.col("root_b")) & (den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
+    # If this is the first shingle that both have in that order, no more than those after it can follow.
+    near = near & ((num + den) * (1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))) >= num * (F.col("size_a") + F.col("size_b")))
     return x.join(y, "token").where(near).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id): per row its set's class and the least doc_id that links reach."""
     spark = docs.sparkSession
-    rows = saved(classes(docs, n), "classes")
+    rows = saved(classes(docs, n, num, den), "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.6 / SHARD))
-    one = saved(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "one")
+    one = saved(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("need").alias("need")), "one")
     star = saved(stars(docs, n, num, den, parts), "stars")
     pairs = saved(star.select(F.col("member").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     links = saved(_check(docs, n, one, pairs, num, den), "links")
@@ -371,8 +393,15 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     at = star.join(root("member"), F.col("member") == F.col("n_member"), "left").join(root("leader"), F.col("leader") == F.col("n_leader"), "left")
     apart = F.coalesce("r_member", "member") != F.coalesce("r_leader", "leader")
     open_ = saved(at.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max(apart).alias("apart")).where("n >= 2 and apart").select("sig"), "open")
-    left = star.join(open_, "sig", "left_semi")
-    left = saved(left.select(F.col("member").alias("cls")).unionByName(left.select(F.col("leader").alias("cls"))).distinct(), "left")
+    open_ = star.join(open_, "sig", "left_semi")
+    open_ = open_.select("sig", F.col("member").alias("cls")).unionByName(open_.select("sig", F.col("leader").alias("cls"))).distinct()
+    # Sets that are linked but not connected share only open signatures, and `need` of them or more. What drops out may
+    # leave others with too few.
+    for _ in range(2):
+        enough = open_.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(one.select("cls", "need"), "cls").where("n >= need").select("cls")
+        open_ = open_.join(enough, "cls", "left_semi")
+        open_ = saved(open_.join(open_.groupBy("sig").count().where("count >= 2").select("sig"), "sig", "left_semi"), "open")
+    left = saved(open_.select("cls").distinct(), "left")
     if left.limit(1).count():
         sets = saved(sets_of(docs, n, one.join(left, "cls", "left_semi")), "left_sets")
         more = saved(_check(docs, n, one, saved(prefix_pairs(sets, roots, num, den), "more"), num, den), "more_links")
