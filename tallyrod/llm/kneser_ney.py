@@ -202,7 +202,7 @@ class Model:
     def __init__(self, spec: dict):
         self.spec = spec
         self.words = Words(spec["folder"], spec["words"], spec["word_shards"])
-        shards = [*spec["words"], (spec["word_shards"], 1)]  # the last one is START's
+        shards = [*spec["words"], (spec["word_shards"], 1)] if spec["distinct"] else []  # the last one is START's
         self.by_word = {k: [_map(spec["folder"], f"{k}-{s}", "<u8") for s, _ in shards] for k in KINDS}
         self.places = np.asarray([self.words.first[s] for s, _ in shards], "int64")
         self.keys = {s: _map(spec["folder"], f"bigrams-{s}", "<u8") for s in spec["bigrams"]}
