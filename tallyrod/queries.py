@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_labels, queries_text
+from . import queries_labels, queries_records, queries_text
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "retrieve"
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "queries_labels", "queries_text"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "queries_labels", "queries_records", "queries_text"]
