@@ -50,10 +50,16 @@ def inject_category(counts: DataFrame, signals: Sequence[str], strong: Sequence[
 def disambiguate(docs: DataFrame, bias: Sequence[str], systemic: Sequence[str], individual: Sequence[str], drop: Sequence[str], systemic_adds: Sequence[str], individual_adds: Sequence[str], doc: str = "doc", text: str = "text", categories: str = "categories") -> DataFrame:
     """(doc, categories, path): where a bias word fires, a systemic and not individual reading drops a family of categories
     and adds others; an individual one makes sure of its own; neither keeps. The path taken is returned."""
-    hit = lambda p: any_of(F.lower(F.col(text)), p)
-    path = F.when(~hit(bias), "no bias word").when(hit(individual), "individual").when(hit(systemic), "systemic").otherwise("neither")
+    return apply_path(docs.withColumn("path", bias_path(F.col(text), bias, systemic, individual)), drop, systemic_adds, individual_adds, doc, categories)
+
+
+def bias_path(text: Column, bias: Sequence[str], systemic: Sequence[str], individual: Sequence[str]) -> Column:
+    hit = lambda p: any_of(F.lower(text), p)
+    return F.when(~hit(bias), "no bias word").when(hit(individual), "individual").when(hit(systemic), "systemic").otherwise("neither")
+
+
+def apply_path(rows: DataFrame, drop: Sequence[str], systemic_adds: Sequence[str], individual_adds: Sequence[str], doc: str = "doc", categories: str = "categories") -> DataFrame:
     values = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
-    rows = docs.withColumn("path", path)
     new = F.when(F.col("path") == "systemic", F.array_union(F.array_except(categories, values(drop)), values(systemic_adds))).when(F.col("path") == "individual", F.array_union(categories, values(individual_adds))).otherwise(F.col(categories))
     return rows.select(doc, F.array_sort(new).alias("categories"), "path")
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import limit_per_group, priority_cap, ranked, top_k_per_doc
-from ..operators.lexicon import category_scores, keyword_counts, salience_gate
+from ..operators.lexicon import apply_path, bias_path, category_scores, inject_category, keyword_counts, recap_top_k, salience_gate, smoothed_idf, two_pool_rank
 
 
 def retrieve(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requirements: DataFrame, incidents: DataFrame, most: int = 25) -> DataFrame:
     """(doc, categories, requirements, incidents) of documents (doc_id, text): the best categories, their requirements (id,
     category, mandatory), mandatory first, and incidents (id, category), three a category, six categories, eight in all.
 
-    Both tables are cut to what one category can contribute before they are joined, so a document's rows are bounded."""
+    Both tables are cut to what one category can contribute before they are joined, so a document's rows are bounded: this
+    is the view that fits a prompt. `retrieve_all` keeps all requirements."""
     top = top_k_per_doc(salience_gate(category_scores(keyword_counts(docs, keywords), lexicon))).select("doc", "category")
     few = ranked(requirements, ["category"], [F.desc("mandatory"), "id"], most, "_r").drop("_r")
     reqs = priority_cap(top.join(few, "category"), "doc", "mandatory", "id", most)
@@ -24,3 +25,54 @@ def retrieve(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requireme
     cats = top.groupBy("doc").agg(F.array_sort(F.collect_list("category")).alias("categories"))
     none = F.array().cast("array<bigint>")
     return cats.join(reqs, "doc", "left").join(incs, "doc", "left").select("doc", "categories", F.coalesce("requirements", none).alias("requirements"), F.coalesce("incidents", none).alias("incidents"))
+
+
+def matched(docs: DataFrame, lexicon: DataFrame, keywords: list[str], inject: dict, bias: dict) -> DataFrame:
+    """(doc, category): the best categories, an injected one, those that disambiguation drops or adds, then the best again."""
+    counts = keyword_counts(docs, keywords)
+    scores = category_scores(counts, lexicon)
+    gate = salience_gate(scores)
+    extra = inject_category(counts, inject["signals"], inject["strong"], inject["category"])
+    start = top_k_per_doc(gate).select("doc", "category").unionByName(extra).distinct()
+    path = docs.groupBy(F.col("doc_id").alias("doc")).agg(F.max(bias_path(F.col("text"), bias["bias"], bias["systemic"], bias["individual"])).alias("path"))
+    rows = path.join(start.groupBy("doc").agg(F.collect_list("category").alias("categories")), "doc", "left")
+    rows = rows.withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
+    chosen = apply_path(rows, bias["drop"], bias["systemic_adds"], bias["individual_adds"]).select("doc", F.explode("categories").alias("category"))
+    return recap_top_k(chosen, scores, gate, extra)
+
+
+def retrieve_all(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requirements: DataFrame, incidents: DataFrame, inject: dict, bias: dict) -> DataFrame:
+    """(part, doc, category, id, place, tf, score) of documents (doc_id, text), requirements (id, category, risks, mitigations)
+    and incidents (id, category, risks):
+
+    category: the document's categories. requirement: every distinct requirement of a matched category, once a category and
+    without a document, which has those of all its categories. incident: three a category, the first six categories,
+    eight in all. risk: ten risk categories of its requirements and incidents, ranked in two pools. mitigation: the distinct
+    ones of its requirements, in order of name."""
+    top = matched(docs, lexicon, keywords, inject, bias)
+    reqs = requirements.select("category", "id").distinct().join(top.select("category").distinct(), "category", "left_semi")
+    # Requirements of equal sets of categories belong to the same documents: they are counted before documents are joined.
+    own = requirements.select("id", "category").distinct().groupBy("id").agg(F.array_sort(F.collect_set("category")).alias("cats"))
+    of = lambda t, c: t.select("id", F.explode(c).alias("name")).distinct()
+    risks = of(requirements, "risks").join(own, "id").groupBy("cats", "name").agg(F.count(F.lit(1)).alias("tf"))
+    measures = of(requirements, "mitigations").join(own, "id").select("cats", "name").distinct()
+    member = top.join(own.select("cats").distinct().select("cats", F.explode("cats").alias("category")), "category").select("doc", "cats").distinct()
+    # Distinct before any limit. A category without incidents still is one of the first six.
+    first = ranked(top, ["doc"], ["category"], 6, "_g")
+    near = ranked(incidents.select("category", "id").distinct(), ["category"], ["id"], 3, "_r")
+    incs = first.join(near, "category").groupBy("doc", "id").agg(F.min(F.struct("_g", "_r")).alias("_at"))
+    incs = ranked(incs, ["doc"], ["_at", "id"], 8, "place").select("doc", "id", "place")
+    tf = member.join(risks, "cats").select("doc", "name", "tf").unionByName(incs.join(of(incidents, "risks"), "id").select("doc", "name", F.lit(1).cast("long").alias("tf")))
+    tf = tf.groupBy("doc", F.col("name").alias("category")).agg(F.sum("tf").alias("tf"))
+    df = of(requirements, "risks").unionByName(of(incidents, "risks")).groupBy(F.col("name").alias("category")).agg(F.count(F.lit(1)).alias("df"))
+    n = df.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("total"))
+    idf = df.crossJoin(F.broadcast(n)).select("category", smoothed_idf(F.col("df"), F.col("total")).alias("idf"))
+    risk = two_pool_rank(tf.join(idf, "category"))
+    mits = member.join(measures, "cats").select("doc", F.col("name").alias("category")).distinct()
+
+    def part(name: str, rows: DataFrame) -> DataFrame:
+        kinds = {"doc": "long", "category": "string", "id": "long", "place": "int", "tf": "long", "score": "double"}
+        return rows.select(F.lit(name).alias("part"), *((F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+
+    out = part("category", top).unionByName(part("requirement", reqs)).unionByName(part("incident", incs))
+    return out.unionByName(part("risk", risk)).unionByName(part("mitigation", mits))

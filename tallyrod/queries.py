@@ -5,5 +5,5 @@ from __future__ import annotations
 from . import queries_labels, queries_records, queries_text
 from .registry import ORACLE, QUERIES
 
-FLAGSHIP = "retrieve"
+FLAGSHIP = "retrieve_all"
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "queries_labels", "queries_records", "queries_text"]

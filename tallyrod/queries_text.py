@@ -13,6 +13,7 @@ from .operators import rules as R
 from .operators import similarity as S
 from .plans import mirror as M
 from .plans.retrieval import retrieve as retrieve_plan
+from .plans.retrieval import retrieve_all as retrieve_all_plan
 from .registry import query
 from .sources import tables as X
 
@@ -444,6 +445,31 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve_plan(d, M.lexicon(spark), KEYS, reqs, s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("category")))
 
 
+_INJECT_BY = {"signals": ["license", "version"], "strong": ["data"], "category": "9"}
+_BIAS = {"bias": [r"\bthe\b"], "systemic": ["license"], "individual": ["data"], "drop": ["1"], "systemic_adds": ["10", "11"], "individual_adds": ["12"]}
+
+
+@query(f"""with {_SCORES}, {_INJECT}, st as (select doc, category from top union select doc, category from inj),
+pa as (select doc_id as doc, case when not regexp_matches(lower(text), '\\bthe\\b') then 0 when contains(lower(text), 'data') then 2 when contains(lower(text), 'license') then 1 else 0 end as path from documents),
+ch as (select doc, category from st join pa using (doc) where path <> 1 or category <> '1' union select doc, unnest(['10', '11']) from pa where path = 1 union select doc, '12' from pa where path = 2),
+kn as (select doc, category from gate union select doc, category from inj), x as (select c.doc, c.category, case when k.doc is not null then coalesce(s.score, 0) else greatest(coalesce(s.score, 0), 2.0) end as score from ch c left join sc s using (doc, category) left join kn k using (doc, category)),
+cats as (select doc, category from x qualify row_number() over (partition by doc order by score desc, category) <= 8),
+rq as (select c_custkey as id, c_nationkey::varchar as category, 'k' || (c_custkey % 12) as risk, 'm' || c_mktsegment as mit from customer), ic as (select s_suppkey as id, s_nationkey::varchar as category, 'k' || (s_suppkey % 12) as risk from supplier),
+g as (select doc, category, row_number() over (partition by doc order by category) as g from cats), r3 as (select category, id, risk, row_number() over (partition by category order by id) as r from ic),
+i1 as (select doc, id, risk, g, r from g join r3 using (category) where g <= 6 and r <= 3), il as (select doc, id, risk, row_number() over (partition by doc order by g, r) as place from i1 qualify place <= 8),
+ev as (select doc, risk from cats join rq using (category) union all select doc, risk from il), tf as (select doc, risk as category, count(*) as tf from ev group by all), dr as (select risk as category, count(*) as df from (select risk from rq union all select risk from ic) group by 1),
+w as (select doc, category, tf, ln(((select sum(df) from dr) + 1) / (df + 1)) + 1 as idf from tf join dr using (category)), a as (select *, row_number() over (partition by doc order by tf desc, category) as ra from w),
+b as (select *, row_number() over (partition by doc order by ra <= 6, idf desc, tf desc, category) as rb from a), rk as (select doc, category, tf, case when ra <= 6 then ra else 6 + rb end as place, case when ra <= 6 then tf::double else idf end as score from b)
+select 'category' as part, doc, category, null::bigint as id, null::int as place, null::bigint as tf, null::double as score from cats union all select distinct 'requirement', null, category, id, null, null, null from rq join cats using (category)
+union all select 'incident', doc, null, id, place, null, null from il union all select 'risk', doc, category, null, place, tf, score from rk where place <= 10 union all select distinct 'mitigation', doc, mit, null, null, null, null from cats join rq using (category)""")
+def retrieve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, c, s = M.read(spark, sf_dir, "documents", "customer", "supplier")
+    risk = lambda k: F.array(F.concat(F.lit("k"), F.pmod(k, F.lit(12)).cast("string"))).alias("risks")
+    reqs = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("category"), risk("c_custkey"), F.array(F.concat(F.lit("m"), "c_mktsegment")).alias("mitigations"))
+    incs = s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("category"), risk("s_suppkey"))
+    return retrieve_all_plan(d, M.lexicon(spark), KEYS, reqs, incs, _INJECT_BY, _BIAS)
+
+
 _STOP = ("the", "and", "of", "to", "in", "is", "that", "for")
 _TERMS = r"""dt as (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term, len(regexp_extract_all(lower(text), '[a-z]+')) as len from documents), c as (select doc, term, len, count(*) as tf from dt group by all),
 qt as (select item_id as query, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark), q as (select query, term, count(*) as qtf from qt group by all)"""
