@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, words_of
@@ -142,7 +142,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, need) of every row; cls is null where there are no shingles."""
+    """(doc_id, key, n_shingles, cls, need) of every row; key: a hash of the text; cls is null where there are no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -153,9 +153,18 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 sizes.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
                 need.append(bands.need(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(need, pa.int32())], names=["doc_id", "n_shingles", "cls", "need"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(need, pa.int32())], names=["doc_id", "key", "n_shingles", "cls", "need"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, need int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, cls long, need int")
+
+
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def _same_row(doc_id: Column) -> Column:
+    """Rows of one id and text; a null id is like another."""
+    return doc_id.cast("long").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key"))
 
 
 def _packed(sig: np.ndarray, cls: np.ndarray) -> bytes:
@@ -275,12 +284,12 @@ def possible(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, num: int, den: in
 
 
 def _texts_of(docs: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts of the documents that stand for the classes in `needed` (cls, doc_id), and `needed`, written."""
+    """The texts of the documents that stand for the classes in `needed` (cls, doc_id, key), and `needed`, written."""
     needed = saved(needed, "needed")
-    ids = needed.select(F.col("doc_id").alias("__id")).distinct()
+    ids = needed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
     if needed.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi"), needed
+    return docs.select("doc_id", "text").join(ids, _same_row(F.col("doc_id")), "left_semi").select("text"), needed
 
 
 def sketches_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
@@ -379,11 +388,16 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id): per row its set's class and the least doc_id that links reach."""
+    return _joined(docs, n, num, den).select("doc_id", "n_shingles", "cls", "component_id")
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, key, n_shingles, cls, component_id, component): `component` is a class, which rows without an id have too."""
     spark = docs.sparkSession
     rows = saved(classes(docs, n, num, den), "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.6 / SHARD))
-    one = saved(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("need").alias("need")), "one")
+    one = saved(rows.where("cls is not null").groupBy("cls").agg(_first().alias("x"), F.min("need").alias("need")).select("cls", "x.doc_id", "x.key", "need"), "one")
     star = saved(stars(docs, n, num, den, parts), "stars")
     pairs = saved(star.select(F.col("member").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
     links = saved(_check(docs, n, one, pairs, num, den), "links")
@@ -410,9 +424,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     # Least id of each class, then of each component.
     per = one.join(roots, one["cls"] == roots["node"], "left").select("cls", "doc_id", "root")
     least = saved(per.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least").withColumnRenamed("root", "r")
-    per = saved(per.join(least, F.col("root") == F.col("r"), "left").select(F.col("cls").alias("c"), F.coalesce("least", "doc_id").alias("least")), "per_class")
-    some = rows.where("cls is not null").join(per, F.col("cls") == F.col("c")).select("doc_id", "n_shingles", "cls", F.col("least").alias("component_id"))
-    return some.unionByName(rows.where("cls is null").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
+    per = saved(per.join(least, F.col("root") == F.col("r"), "left").select(F.col("cls").alias("c"), F.coalesce("least", "doc_id").alias("least"), F.coalesce("root", "cls").alias("component")), "per_class")
+    some = rows.where("cls is not null").join(per, F.col("cls") == F.col("c")).select("doc_id", "key", "n_shingles", "cls", F.col("least").alias("component_id"), "component")
+    return some.unionByName(rows.where("cls is null").select("doc_id", "key", "n_shingles", "cls", F.col("doc_id").alias("component_id"), F.col("cls").alias("component")))
+
+
+def _first() -> Column:
+    """Of rows (doc_id, key) the one of least id; rows without an id come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -427,14 +446,21 @@ def _check(docs: DataFrame, n: int, one: DataFrame, pairs: DataFrame, num: int,
 
 
 def one_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows that stay, with the columns that came: of each component the document of least id, and all documents
-    without words or without an id. Rows of one id are taken for copies: one stays."""
-    found = saved(join(docs, n, num, den), "joined")
-    ids = found.where("doc_id = component_id and cls is not null").select(F.col("doc_id").alias("__id"))
-    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    if ids.count() == ids.distinct().count():
+    """The rows that stay, with the columns that came: of each component one row, of least id if any has one, and all
+    documents without words. Rows of one id but of other components all have their own."""
+    found = saved(_joined(docs, n, num, den).where("cls is not null").groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "joined")
+    stays = saved(found.groupBy("component").agg(_first().alias("x")).select(F.col("component").alias("c"), F.col("x.doc_id").alias("d"), F.col("x.key").alias("k")), "stays")
+    same = (F.col("component") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))
+    rows = found.join(stays, same, "left").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "n", F.col("c").isNotNull().alias("stays"))
+    rows = saved(rows, "rows")
+
+    def small(part: DataFrame) -> DataFrame:
+        return F.broadcast(part) if part.count() <= BROADCAST_ROWS else part
+
+    out = docs.join(small(rows.where("not stays").select("__id", "__key")), _same_row(F.col("doc_id")), "left_anti")
+    twice = rows.where("stays and n > 1").select("__id", "__key")
+    if not twice.limit(1).count():
         return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    twice = small(twice)
+    copies = out.join(twice, _same_row(F.col("doc_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(twice, _same_row(F.col("doc_id")), "left_anti").unionByName(copies)
