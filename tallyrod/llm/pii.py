@@ -2,7 +2,7 @@
 
 Base spans of each kind are found by regular expressions in whole texts. They are the seeds of a bootstrap: the words
 around an entity make lexical patterns (the two words before it; the word before and the word after), and each other
-token that looks like an identifier is a candidate instance. Patterns and instances form a graph. In each round Spark
+token or run of digit groups that looks like an identifier is a candidate instance. Patterns and instances form a graph. In each round Spark
 scores every pattern of a kind by the share of its distinct instances that are known to be of that kind, keeps those
 with enough known instances, and scores each candidate by 1 - product of (1 - score) over the kept patterns around it;
 candidates above the threshold are known from then on. Spans of accepted candidates are added, base spans stay.
@@ -15,6 +15,7 @@ doc_id and text are read, and `redact` returns the columns that came.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,7 +36,8 @@ DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-ROUNDS = 3
+#: Rounds of the bootstrap; None: until a round accepts nothing new.
+ROUNDS: int | None = None
 #: A pattern is kept with so many distinct known instances and such a share of all its instances; a candidate with such a score.
 LEAST_KNOWN, LEAST_SHARE, LEAST_SCORE = 5, 0.5, 0.9
 #: A candidate holds at least so many characters, of which so many are digits.
@@ -46,6 +48,9 @@ BROADCAST_ROWS = 200_000
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
+#: Groups of digits that blanks, dots, dashes or brackets join; marks of an address.
+_RUN = re.compile(r"\+?\(?[0-9]+(?:[\x20.()-]{1,3}[0-9]+)+")
+_AT = re.compile(r"@|\([aA][tT]\)")
 _EDGE = ".,;:!?\"'()[]{}<>="
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 CANDIDATE = "array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>"
@@ -102,15 +107,14 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def _before(t: str, at: int) -> list[str]:
-    """The two words before a place, folded, without their outer punctuation. A short look back suffices: longer words
-    make no pattern."""
-    return [w.strip(_EDGE).lower() for w in _TOKEN.findall(t[max(0, at - 80) : at])[-2:]]
+    """The two words before a place, folded, without their outer punctuation; tokens of punctuation only are no words. A
+    short look back suffices: longer words make no pattern."""
+    return [w for x in _TOKEN.findall(t[max(0, at - 80) : at]) if (w := x.strip(_EDGE).lower())][-2:]
 
 
 def _patterns(t: str, a: int, b: int) -> list[str]:
     left = _before(t, a)
-    m = _TOKEN.search(t, b, b + 60)
-    right = m.group().strip(_EDGE).lower() if m else ""
+    right = next((w for m in _TOKEN.finditer(t, b, b + 60) if (w := m.group().strip(_EDGE).lower())), "")
     out = []
     if len(left) == 2 and all(left):
         out.append(f"{left[0]} {left[1]} _")
@@ -120,11 +124,12 @@ def _patterns(t: str, a: int, b: int) -> list[str]:
 
 
 def instances(text: str | None, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Base entities (with their kind) and candidates (kind -1) that have a pattern around them. A candidate is a token
-    without its outer punctuation that overlaps no base span and holds digits enough."""
+    """Base entities (with their kind) and candidates (kind -1) that have a pattern around them. A candidate
+    overlaps no base span. It is a token without its outer punctuation that holds digits enough or a mark of an address
+    inside, or a run of groups of digits; a token in a run is one too."""
     t = text or ""
     out = [{"kind": k, "start": a, "end": b, "instance": t[a:b].lower(), "patterns": _patterns(t, a, b)} for k, a, b in base]
-    seen, starts, stops = 0, [], []  # base spans that overlap are taken as one
+    starts, stops = [], []  # base spans that overlap are taken as one
     for _, a, b in base:
         if stops and a < stops[-1]:
             stops[-1] = max(stops[-1], b)
@@ -132,19 +137,25 @@ def instances(text: str | None, base: list[tuple[int, int, int]]) -> list[dict]:
             starts.append(a)
             stops.append(b)
     free = lambda a, b: (i := bisect.bisect_left(starts, b)) == 0 or stops[i - 1] <= a
-    for m in _DIGITS.finditer(t):
-        if m.start() < seen:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and not t[a - 1] in " \t\n\x0b\x0c\r":
-            a -= 1
-        seen = b = _TOKEN.match(t, a).end()
-        token = t[a:b]
-        a += len(token) - len(token.lstrip(_EDGE))
-        token = token.strip(_EDGE)
-        b = a + len(token)
-        if len(token) >= LEAST_LENGTH and len(_DIGITS.findall(token)) >= LEAST_DIGITS and free(a, b):
-            out.append({"kind": -1, "start": a, "end": b, "instance": token.lower(), "patterns": _patterns(t, a, b)})
+    places = set()
+    for marks in (_DIGITS, _AT):
+        seen = 0
+        for m in marks.finditer(t):
+            if m.start() < seen:
+                continue
+            a = m.start()
+            while a > 0 and not t[a - 1] in " \t\n\x0b\x0c\r":
+                a -= 1
+            seen = _TOKEN.match(t, a).end()
+            token = t[a:seen]
+            a += len(token) - len(token.lstrip(_EDGE))
+            token = token.strip(_EDGE)
+            x = _AT.search(token) if marks is _AT else None
+            address = x and 0 < x.start() and x.end() < len(token)
+            if len(token) >= LEAST_LENGTH and (address or len(_DIGITS.findall(token)) >= LEAST_DIGITS):
+                places.add((a, a + len(token)))
+    places.update(m.span() for m in _RUN.finditer(t) if m.end() - m.start() >= LEAST_LENGTH and len(_DIGITS.findall(m.group())) >= LEAST_DIGITS)
+    out += [{"kind": -1, "start": a, "end": b, "instance": t[a:b].lower(), "patterns": _patterns(t, a, b)} for a, b in sorted(places) if free(a, b)]
     return [x for x in out if x["patterns"]]
 
 
@@ -167,7 +178,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, f"doc_id long, key long, base {SPAN}, instances {CANDIDATE}")
 
 
-def bootstrapped(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrapped(scan: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
     """(key, kind, start, end) of the candidates that the rounds accept."""
     edges = scan.select("key", F.explode("instances").alias("i")).select("key", "i.*").select("key", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     edges = saved(edges, "edges")
@@ -175,7 +186,7 @@ def bootstrapped(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     graph = saved(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), "graph")
     known = graph.where("seed >= 0").select("instance", F.col("seed").alias("known")).distinct()
     accepted = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         per = graph.join(known, "instance", "left").select("pattern", "instance", "known")
         good = per.groupBy("pattern", F.coalesce("known", F.lit(-1)).alias("kind")).agg(F.count_distinct("instance").alias("n"))
         total = good.groupBy("pattern").agg(F.sum("n").alias("total"))
@@ -185,7 +196,8 @@ def bootstrapped(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             break
         score = graph.where("seed < 0").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("share"))))).alias("score"))
         best = score.where(F.col("score") >= LEAST_SCORE).groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("x")).select("instance", (-F.col("x.minus")).alias("kind"))
-        now = saved(best, "accepted")
+        # What was accepted stays, so rounds end.
+        now = saved(best if accepted is None else accepted.unionByName(best.join(accepted, "instance", "left_anti")), "accepted")
         if accepted is not None and now.count() == accepted.count():
             accepted = now
             break
@@ -196,7 +208,7 @@ def bootstrapped(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return edges.where("kind < 0").select("key", "start", "end", "instance").join(accepted, "instance").select("key", "kind", "start", "end").distinct()
 
 
-def detect(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def detect(docs: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
     """doc_id, key, base, more: arrays of (kind, start, end) in code points, end exclusive; kind counts from 0 in KINDS."""
     scan = saved(scanned(docs), "scan")
     more = bootstrapped(scan, rounds).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("more")).withColumnRenamed("key", "k")
@@ -231,7 +243,7 @@ def cut(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def redact(docs: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
     """The rows that came, their columns too, with every span in the text replaced by its kind. Base spans are found
     where the text is; only rows that gained spans are looked up by key."""
     more = bootstrapped(saved(scanned(docs), "scan"), rounds).groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("__s"))

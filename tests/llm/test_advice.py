@@ -1,6 +1,6 @@
 """Whole results where a plainer way would cut them."""
 
-from tallyrod.llm import ngram_join
+from tallyrod.llm import ngram_join, pii
 
 LONG = [f"w{i}" for i in range(60)]
 TEXT, NEAR, OTHER = " ".join(LONG), " ".join([*LONG[:-1], "z"]), " ".join(f"v{i}" for i in range(60))
@@ -18,3 +18,26 @@ def test_classes_without_an_id_link_others(spark):
     df = spark.createDataFrame([(None, TEXT), (3, NEAR), (None, NEAR), (None, OTHER)], "doc_id long, text string")
     got = [(r["doc_id"], r["text"]) for r in ngram_join.one_each(df).collect()]
     assert sorted(got, key=str) == sorted([(3, NEAR), (None, OTHER)], key=str)
+
+
+def test_candidates_and_contexts_of_identifiers():
+    def found(t):
+        return {x["instance"]: x["patterns"] for x in pii.instances(t, pii.base_spans(t)) if x["kind"] < 0}
+
+    for x in ("bob(at)host", "anna.lee@intranet", "(555) 123-4567", "555 123 4567", "4111 1111 1111 1112"):
+        assert "mail me _" in found(f"please mail me {x} or not")[x]
+    for t in ("please mail me <bob@example.com>, or", 'please mail me ( "bob@example.com" , or'):
+        (x,) = pii.instances(t, pii.base_spans(t))
+        assert x["patterns"] == ["mail me _", "me _ or"]
+    assert not found("an @ alone and @user and 12 34")
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    # In a context 18 of 22 are known, and 20, which is enough, once those of the level before are.
+    docs = []
+    for level in range(1, 7):
+        before = ["v0@example.com", "v1@example.com"] if level == 1 else [f"user{k}@intranet{level - 1}" for k in range(2)]
+        for x in [*(f"u{k}@example.com" for k in range(18)), *before, *(f"user{k}@intranet{level}" for k in range(2))]:
+            docs.append((len(docs), f"write to ctx{level} {x} soon{len(docs)}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sum(len(r["more"]) for r in pii.detect(df).collect()) == 22
