@@ -2,15 +2,17 @@
 
 Sets of word shingles are compared as sets of 64-bit hashes. Documents of one set form a class. Sizes are cut into
 bands whose ends differ by the threshold, so linked sets lie in one band or in two that touch, and share a band
-instance; there their symmetric difference is at most k. The domain of shingles is cut into k + 1 + m partitions, of
-which linked sets agree on m + 1 or more. Each partition's content is one signature; empty ones are left out, except
-by sets with more than m empty partitions, so two linked sets always share a signature that both have.
-
-Sets that share a signature are first compared with one leader only: each task compares its own members with its own
-leader and passes only that leader on, so a group of any size costs one pair a member. Where a link to the leader
-fails and at least three sets share the signature, these sets are joined once more, by a prefix filter (rarest
-shingles first), except for pairs that are already known to be connected. Candidates are sifted by bitmaps that can
-only rule out, then checked exactly.
+instance; there their symmetric difference is at most k. The domain of shingles is cut into n1 partitions, each of
+these into n2 parts. In one of the partitions at least, linked sets differ in at most k2 parts. Each subset of
+n2 - k2 parts of a partition makes a signature of their content, so linked sets share one. Subsets without content make
+none, except in sets that have such subsets in more partitions than are spare; that keeps it exact.
+
+Sets that share a signature are first compared with one leader only: each class meets the leader with which it shares
+most signatures, so a group of any size costs one pair a class. Groups whose members are all connected then need no
+more. In the others, bitmaps, which can only rule out, are compared inside the group: first each class meets the one
+class that may be most similar to it, again one pair a class; then members that are still not connected meet all that
+bitmaps don't rule out. Every pair is checked exactly. Groups of more than MOST classes are compared in slices at
+first, and then their classes meet in a prefix filter join (rarest shingles first) in place of all bitmaps.
 
 Defined cases: null, empty or blank texts have no shingles and are linked with nothing, not even each other; texts of
 fewer words than n are one shingle; exact copies and repeated rows are one class; null ids take part but name no
@@ -29,11 +31,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, words_of
+from .common import hashed_words, mix, saved
 from .components import components
 
-#: Distinct words whose hashes a worker remembers; when full it starts anew.
-MEMORY = 300_000
 #: Signatures that a task gathers before it sorts and emits them.
 GATHERED = 1_500_000
 #: Signatures in one shard of the grouping.
@@ -41,39 +41,37 @@ SHARD = 1_500_000
 #: Ids or tokens that may be broadcast; beyond that Spark joins by shuffle, or a token must be more frequent to count as hot.
 BROADCAST_ROWS = 1_000_000
 
-#: Partitions beyond those that errors can touch, as a share of these: linked sets agree on as many more.
-SPARE = 0.15
+#: Classes of a group that are compared inside it; larger groups go through the prefix filter.
+MOST = 4_096
+#: Bits of a bitmap; those of longer sets are fuller and rule out less.
+MOST_BITS = 8_192
+#: Up to so many errors a band has one partition, of k + 2 parts; else its partitions have three parts, one of which may differ.
+FEW = 8
+#: A share of sets that may have more partitions with empty subsets than are spare.
+RARE = 0.002
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _TOP48 = np.uint64(0xFFFFFFFFFFFF0000)
-_memory: dict[bytes, int] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The 64-bit finalizer of MurmurHash3."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of the text's n-word shingles."""
-    ws = words_of(text)
-    if not ws:
-        return np.empty(0, "uint64")
-    try:
-        h = np.fromiter(map(_memory.__getitem__, ws), "uint64", len(ws))
-    except KeyError:
-        if len(_memory) > MEMORY:
-            _memory.clear()
-        for w in set(ws).difference(_memory):
-            _memory[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(_memory.__getitem__, ws), "uint64", len(ws))
-    width = min(n, len(h))
-    out = np.zeros(len(h) - width + 1, "uint64")
-    for i in range(width):
-        out = out * _M + h[i : i + len(out)]
-    return np.unique(mix(out + np.uint64(width)))
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles."""
+
+    def windows(h: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros(max(0, len(h) - width + 1), "uint64")
+        for i in range(width):
+            out = out * _M + h[i : i + len(out)]
+        return mix(out + np.uint64(width))
+
+    for at in range(0, len(texts), 500):
+        h, counts = hashed_words(texts.slice(at, 500))
+        full, start = windows(h, n), 0
+        for count in counts.tolist():
+            if count >= n:
+                yield np.unique(full[start : start + count - n + 1])
+            else:
+                yield windows(h[start : start + count], count) if count else np.empty(0, "uint64")
+            start += count
 
 
 def class_of(s: np.ndarray) -> int:
@@ -81,54 +79,77 @@ def class_of(s: np.ndarray) -> int:
 
 
 class Bands:
-    """Bands of sizes, and what the instance of each needs; the threshold is num / den."""
+    """Bands of sizes, and the instance of each; the threshold is num / den."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.low, self.high, self.k, self.parts, self.spare = num, den, [1], [], [], [], []
+        self.num, self.den, self.low, self.high, self.instances = num, den, [1], [], []
         self._grow(64)
 
     def _grow(self, size: int) -> None:
-        while not self.high or self.high[-2:][0] <= size or len(self.high) < 2:
+        while len(self.high) < 2 or self.high[-2] <= size:
             low = self.high[-1] + 1 if self.high else 1
             high = low * self.den // self.num
-            k = 2 * high * (self.den - self.num) // (self.den + self.num)
             least = self.low[-1] if self.high else 1  # of the band below, which uses this instance too
-            empty = (k + 1) * math.exp(-least / (k + 1))
-            m = max(math.ceil(empty + 3 * math.sqrt(empty)) if empty >= 0.5 else 0, math.ceil(SPARE * (k + 1))) if k else 0
             if self.high:
                 self.low.append(low)
             self.high.append(high)
-            self.k.append(k)
-            self.parts.append(k + 1 + m)
-            self.spare.append(m)
-
-    def _deal(self, s: np.ndarray, i: int) -> np.ndarray:
-        return (((s >> np.uint64(32)) * np.uint64(self.parts[i])) >> np.uint64(32)).astype("int64")
-
-    def need(self, s: np.ndarray) -> int:
-        """How many signatures at least the set shares with any set that it is linked with: of the m + 1 partitions that
-        agree, those that aren't empty here."""
-        self._grow(len(s))
-        band, out = int(np.searchsorted(self.high, len(s))), []
-        for i in (band, band + 1):
-            empty = self.parts[i] - np.count_nonzero(np.bincount(self._deal(s, i), minlength=self.parts[i]))
-            out.append(max(1, self.spare[i] + 1 - int(empty)))
-        return min(out)
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Of a set that isn't empty: those of its band's instance and of the next."""
-        self._grow(len(s))
-        band, out = int(np.searchsorted(self.high, len(s))), []
-        for i in (band, band + 1):
-            p = self.parts[i]
-            at = self._deal(s, i)
-            sums = np.zeros(p, "uint64")
-            np.add.at(sums, at, mix(s))
-            full = np.bincount(at, minlength=p) > 0
-            # 48 bits are enough: sets that share one by chance are only compared in vain.
-            sigs = mix(sums + mix(np.arange(p, dtype="uint64") + np.uint64(i << 32))) & _TOP48
-            out.append(sigs if p - int(full.sum()) > self.spare[i] else sigs[full])
-        return np.concatenate(out)
+            self.instances.append(Instance(len(self.instances), 2 * high * (self.den - self.num) // (self.den + self.num), least))
+
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of sets that aren't empty: signatures, those of each set's band and of the next, and the place of their set."""
+        sizes = np.asarray([len(s) for s in sets], "int64")
+        self._grow(int(sizes.max()))
+        band, sigs, owners = np.searchsorted(self.high, sizes), [], []
+        for k in np.unique(band).tolist():
+            own = np.flatnonzero(band == k)
+            flat = np.concatenate([sets[i] for i in own.tolist()])
+            for instance in self.instances[k : k + 2]:
+                if instance.k:
+                    sig, at = instance.signatures(flat, sizes[own])
+                    sigs.append(sig)
+                    owners.append(own[at])
+        return np.concatenate([np.empty(0, "uint64"), *sigs]), np.concatenate([np.empty(0, "int64"), *owners])
+
+
+class Instance:
+    """PartEnum for sets of `least` elements or more whose symmetric difference is at most k. Sets with k = 0 are equal
+    and so of one class; they need no signature."""
+
+    def __init__(self, number: int, k: int, least: int):
+        self.k, self.spare = k, 0
+        if not k:
+            return
+        if k <= FEW:
+            n1, n2 = 1, k + 2
+        else:
+            # Of k // 2 partitions each may differ in two parts. Of those that are spare, some may have two empty parts.
+            n2, best = 3, 1.0
+            for spare in range(k):
+                empty = math.exp(-least / (n2 * (k // 2 + 1 + spare)))
+                mean = (k // 2 + 1 + spare) * (3 * empty**2 * (1 - empty) + empty**3)
+                more = 1 - sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(spare + 1))
+                if more < best:
+                    best, self.spare = more, spare
+                if more < RARE:
+                    break
+            n1 = k // 2 + 1 + self.spare
+        self.n1, self.n2 = n1, n2
+        self.one, self.two = np.triu_indices(n2, 1)  # subsets of n2 - k2 = 2 parts
+        self.names = mix(np.arange(n1 * len(self.one), dtype="uint64") + np.uint64(number << 32)).reshape(n1, -1)
+
+    def signatures(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sets of these sizes, one after the other: signatures and the place of their set."""
+        parts, m = self.n1 * self.n2, len(sizes)
+        key = np.repeat(np.arange(m), sizes) * parts + (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype("int64")
+        at = np.flatnonzero(np.diff(key, prepend=-1))  # keys rise: sets are sorted, and parts are ranges
+        content, empty = np.zeros(m * parts, "uint64"), np.ones(m * parts, bool)
+        content[key[at]], empty[key[at]] = np.add.reduceat(mix(flat), at), False
+        content, empty = content.reshape(m, self.n1, self.n2), empty.reshape(m, self.n1, self.n2)
+        # 48 bits are enough: sets that share one by chance are only compared in vain.
+        sigs = mix(content[:, :, self.one] * _M + mix(content)[:, :, self.two] + self.names) & _TOP48
+        none = empty[:, :, self.one] & empty[:, :, self.two]
+        keep = ~none | (none.any(2).sum(1) > self.spare)[:, None, None]
+        return sigs[keep], np.repeat(np.arange(m), keep.sum((1, 2)))
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -141,21 +162,18 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, key, n_shingles, cls, need) of every row; key: a hash of the text; cls is null where there are no shingles."""
+def classes(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, key, n_shingles, cls) of every row; key: a hash of the text; cls is null where there are no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for b in batches:
-            sizes, cls, need = [], [], []
-            for t in b.column("text"):
-                s = shingles(t.as_py(), n)
+            sizes, cls = [], []
+            for s in shingle_sets(b.column("text"), n):
                 sizes.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
-                need.append(bands.need(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.array(need, pa.int32())], names=["doc_id", "key", "n_shingles", "cls", "need"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "key", "n_shingles", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, cls long, need int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, cls long")
 
 
 def text_key() -> Column:
@@ -214,15 +232,16 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
             cls.clear()
 
         for b in batches:
-            for t in b.column("text"):
-                s = shingles(t.as_py(), n)
-                if len(s):
-                    sigs.append(bands.signatures(s))
-                    cls.append(np.full(len(sigs[-1]), class_of(s), "int64"))
-                    held += len(sigs[-1])
-                    if held > GATHERED:
-                        yield from flush()
-                        held = 0
+            for at in range(0, b.num_rows, 500):
+                sets = [s for s in shingle_sets(b.column("text").slice(at, 500), n) if len(s)]
+                if sets:
+                    sig, owner = bands.signatures(sets)
+                    sigs.append(sig)
+                    cls.append(np.asarray([class_of(s) for s in sets], "int64")[owner])
+                    held += len(sig)
+                if held > GATHERED:
+                    yield from flush()
+                    held = 0
         if held:
             yield from flush()
 
@@ -265,8 +284,9 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """A bitmap of at least four bits an element, at the elements' low bits; its length is a power of two."""
-    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+    """A bitmap of at least four bits an element, but of MOST_BITS at most, at the elements' low bits; its length is a power
+    of two."""
+    bits = min(MOST_BITS, max(64, 1 << (4 * len(s) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype("int64")] = True
     return np.packbits(out, bitorder="little")
@@ -297,12 +317,12 @@ def sketches_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), n) for t in b.column("text")]
+            sets = list(shingle_sets(b.column("text"), n))
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "data"])
 
-    own, needed = _texts_of(docs, needed)
-    found = saved(own.mapInArrow(run, "cls long, size long, data binary"), "sketches")
-    return found.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    # Written with one row a class, so that joins have plain inputs, of which Spark can split a class with many partners.
+    own, _ = _texts_of(docs, needed)
+    return saved(own.mapInArrow(run, "cls long, size long, data binary").dropDuplicates(["cls"]), "sketches")
 
 
 def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
@@ -310,12 +330,11 @@ def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), n) for t in b.column("text")]
+            sets = list(shingle_sets(b.column("text"), n))
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "data"])
 
-    own, needed = _texts_of(docs, needed)
-    found = saved(own.mapInArrow(run, "cls long, data binary"), "sets")
-    return found.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    own, _ = _texts_of(docs, needed)
+    return saved(own.mapInArrow(run, "cls long, data binary").dropDuplicates(["cls"]), "sets")
 
 
 def sifted(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -345,6 +364,102 @@ def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _met(num: int, den: int, nearest: bool):
+    """Of rows (sig, cls, root, size, data) sorted by sig: for each class a of a group those above it that have another root
+    and may be linked with it by their bitmaps. Packed in rows (a, others), or nearest: only the one of greatest bound of
+    similarity, as rows (a, b, bound)."""
+    names = ["a", "b", "bound"] if nearest else ["a", "others"]
+
+    def compared(group: list[pa.RecordBatch]) -> Iterator[tuple]:
+        t = pa.Table.from_batches(group)
+        cls, root, size = (t.column(c).to_numpy() for c in ("cls", "root", "size"))
+        if (root == root[0]).all():
+            return
+        order, data = np.argsort(cls), t.column("data").to_pylist()
+        width = min(map(len, data))
+        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(data[i], "u1").reshape(-1, width), 0) for i in order]).view("uint64")
+        cls, root, size = cls[order], root[order], size[order]
+        for i in range(len(cls) - 1):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (den * np.minimum(size[i + 1 :], size[i]) >= num * np.maximum(size[i + 1 :], size[i])))
+            if len(j):
+                x, y = bits[i], bits[j]
+                both = np.minimum(size[i] - np.bitwise_count(x & ~y).sum(1, "int64"), size[j] - np.bitwise_count(y & ~x).sum(1, "int64"))
+                either = size[i] + size[j] - both
+                able = den * both >= num * either
+                if able.any():
+                    if nearest:
+                        bound = np.where(able, both / either, 0)
+                        best = int(bound.argmax())
+                        yield int(cls[i]), int(cls[j[best]]), float(bound[best])
+                    else:
+                        yield int(cls[i]), cls[j[able]].tobytes()
+
+    def record(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.float64()) if nearest else (pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, out = None, [], []
+        for b in batches:
+            sig = b.column("sig").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])).tolist() if len(sig) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if group and sig[x] != now:
+                    out += compared(group)
+                    group = []
+                now = sig[x]
+                group.append(b.slice(x, y - x))
+            if len(out) > 1000:
+                yield record(out)
+                out = []
+        if group:
+            out += compared(group)
+        if out:
+            yield record(out)
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, others) sorted by a: the distinct pairs (a, b)."""
+
+    def pairs() -> pa.RecordBatch:
+        b = np.unique(np.frombuffer(b"".join(held), "int64"))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), now, "int64")), pa.array(b)], names=["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        for a, others in zip(batch.column("a").to_pylist(), batch.column("others").to_pylist(), strict=True):
+            if a != now and held:
+                yield pairs()
+                held = []
+            now = a
+            held.append(others)
+    if held:
+        yield pairs()
+
+
+def _in_groups(groups: DataFrame, sketches: DataFrame, roots: DataFrame, parts: int, num: int, den: int, nearest: bool) -> DataFrame:
+    """What _met finds in groups (sig, cls) of bounded size."""
+    rows = groups.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root")).join(sketches, "cls")
+    dealt = rows.select("sig", "cls", "root", "size", "data").repartition(parts, "sig").sortWithinPartitions("sig")
+    return dealt.mapInArrow(_met(num, den, nearest), "a long, b long, bound double" if nearest else "a long, others binary")
+
+
+def nearest_pairs(groups: DataFrame, sketches: DataFrame, roots: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), one a class at most: of the classes that share a group with it and have another root, the one that may
+    be most similar by its bitmap."""
+    found = _in_groups(groups, sketches, roots, parts, num, den, True)
+    return found.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("x")).select("a", "x.b")
+
+
+def group_pairs(groups: DataFrame, sketches: DataFrame, roots: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that share a group and may be linked by their bitmaps. They stay packed,
+    a row a class and group, until they are distinct."""
+    met = _in_groups(groups, sketches, roots, parts, num, den, False)
+    return met.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_merged, "a long, b long")
+
+
 def prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes of different roots that may be linked: each pair shares a shingle among the first
     size - ceil(threshold * size) + 1 of both, in one order that puts frequent shingles last, at places that leave room for
@@ -394,33 +509,29 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
 def _joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, key, n_shingles, cls, component_id, component): `component` is a class, which rows without an id have too."""
     spark = docs.sparkSession
-    rows = saved(classes(docs, n, num, den), "classes")
+    rows = saved(classes(docs, n), "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.6 / SHARD))
-    one = saved(rows.where("cls is not null").groupBy("cls").agg(_first().alias("x"), F.min("need").alias("need")).select("cls", "x.doc_id", "x.key", "need"), "one")
+    one = saved(rows.where("cls is not null").groupBy("cls").agg(_first().alias("x")).select("cls", "x.doc_id", "x.key"), "one")
     star = saved(stars(docs, n, num, den, parts), "stars")
-    pairs = saved(star.select(F.col("member").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    links = saved(_check(docs, n, one, pairs, num, den), "links")
+    sketches = sketches_of(docs, n, one.join(_ends(star.select(F.col("member").alias("a"), F.col("leader").alias("b"))), "cls", "left_semi"))
+    links = saved(_check(docs, n, one, saved(_leaders(star), "pairs"), sketches, num, den), "links")
     roots = saved(components(links), "roots")
-    # Signatures of three classes or more whose members are not all connected yet.
-    root = lambda k: roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}"))
-    at = star.join(root("member"), F.col("member") == F.col("n_member"), "left").join(root("leader"), F.col("leader") == F.col("n_leader"), "left")
-    apart = F.coalesce("r_member", "member") != F.coalesce("r_leader", "leader")
-    open_ = saved(at.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max(apart).alias("apart")).where("n >= 2 and apart").select("sig"), "open")
-    open_ = star.join(open_, "sig", "left_semi")
-    open_ = open_.select("sig", F.col("member").alias("cls")).unionByName(open_.select("sig", F.col("leader").alias("cls"))).distinct()
-    # Sets that are linked but not connected share only open signatures, and `need` of them or more. What drops out may
-    # leave others with too few.
-    for _ in range(2):
-        enough = open_.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(one.select("cls", "need"), "cls").where("n >= need").select("cls")
-        open_ = open_.join(enough, "cls", "left_semi")
-        open_ = saved(open_.join(open_.groupBy("sig").count().where("count >= 2").select("sig"), "sig", "left_semi"), "open")
-    left = saved(open_.select("cls").distinct(), "left")
-    if left.limit(1).count():
+    groups, _ = _open_groups(star, roots)
+    # Large groups are looked at in slices here.
+    slice_ = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / MOST))
+    groups = groups.select(F.when(F.col("n") > MOST, F.xxhash64("sig", slice_)).otherwise(F.col("sig")).alias("sig"), "cls")
+    links = saved(_exact(docs, n, one, saved(nearest_pairs(groups, sketches, roots, parts, num, den), "nearest"), num, den), "links")
+    roots = saved(components(_contracted(roots, links)), "roots")
+    groups, large = _open_groups(star, roots)
+    more = group_pairs(groups.where(F.col("n") <= MOST), sketches, roots, parts, num, den)
+    if large:
+        left = saved(groups.where(F.col("n") > MOST).select("cls").distinct(), "left")
         sets = saved(sets_of(docs, n, one.join(left, "cls", "left_semi")), "left_sets")
-        more = saved(_check(docs, n, one, saved(prefix_pairs(sets, roots, num, den), "more"), num, den), "more_links")
-        if more.limit(1).count():
-            roots = saved(components(links.unionByName(more)), "roots")
+        more = more.unionByName(_sifted(prefix_pairs(sets, roots, num, den), sketches, num, den)).distinct()
+    links = saved(_exact(docs, n, one, saved(more, "more"), num, den), "links")
+    if links.limit(1).count():
+        roots = saved(components(_contracted(roots, links)), "roots")
     # Least id of each class, then of each component.
     per = one.join(roots, one["cls"] == roots["node"], "left").select("cls", "doc_id", "root")
     least = saved(per.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least").withColumnRenamed("root", "r")
@@ -438,11 +549,47 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
-def _check(docs: DataFrame, n: int, one: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _rooted(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, member, leader, r_member, r_leader): with the roots of both."""
+    root = lambda k: roots.select(F.col("node").alias(f"n_{k}"), F.col("root").alias(f"r_{k}"))
+    at = star.join(root("member"), F.col("member") == F.col("n_member"), "left").join(root("leader"), F.col("leader") == F.col("n_leader"), "left")
+    return at.select("sig", "member", "leader", F.coalesce("r_member", "member").alias("r_member"), F.coalesce("r_leader", "leader").alias("r_leader"))
+
+
+def _leaders(star: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class with one leader, that with which it shares most signatures."""
+    per = star.groupBy("member", "leader").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("member").agg(F.max(F.struct("n", "leader")).alias("x")).select(F.col("member").alias("a"), F.col("x.leader").alias("b"))
+
+
+def _open_groups(star: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """(sig, cls, n): the groups of n classes that are not all connected; and how many of them have more than MOST."""
+    sig = _rooted(star, roots).groupBy("sig").agg(F.max(F.col("r_member") != F.col("r_leader")).alias("apart")).where("apart").select("sig")
+    some = star.join(sig, "sig", "left_semi")
+    some = saved(some.select("sig", F.col("member").alias("cls")).unionByName(some.select("sig", F.col("leader").alias("cls"))).distinct(), "open")
+    large = saved(some.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST), "large")
+    k = large.count()
+    return (some.join(large, "sig", "left").withColumn("n", F.coalesce("n", F.lit(0))) if k else some.withColumn("n", F.lit(0))), k
+
+
+def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b"))
+
+
+def _sifted(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may be linked by their sketches, of which only those that are needed are joined."""
+    pairs = saved(pairs, "candidates")
+    ends = _ends(pairs)
+    return sifted(pairs, sketches.join(F.broadcast(ends) if 2 * pairs.count() <= BROADCAST_ROWS else ends, "cls", "left_semi"), num, den)
+
+
+def _exact(docs: DataFrame, n: int, one: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    return checked(pairs, sets_of(docs, n, one.join(_ends(pairs), "cls", "left_semi")), num, den)
+
+
+def _check(docs: DataFrame, n: int, one: DataFrame, pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The linked pairs: sifted by sketches, which are a tenth as large as sets, then checked exactly."""
-    sketches = sketches_of(docs, n, one.join(_ends(pairs), "cls", "left_semi"))
-    near = saved(sifted(pairs, sketches, num, den), "near")
-    return checked(near, sets_of(docs, n, one.join(_ends(near), "cls", "left_semi")), num, den)
+    return _exact(docs, n, one, saved(_sifted(pairs, sketches, num, den), "near"), num, den)
 
 
 def one_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -76,21 +76,56 @@ def test_empty_table(spark):
     assert ngram_join.join(df).count() == 0
 
 
-def test_linked_sets_share_enough_signatures():
+def test_linked_sets_share_a_signature():
     import numpy as np
 
     r = np.random.default_rng(3)
     for num in (80, 85):
-        bands = ngram_join.Bands(num, 100)
-        for _ in range(1500):
+        bands, n = ngram_join.Bands(num, 100), 0
+        for _ in range(4000):
             size = int(r.integers(1, 400))
-            a = np.unique(r.integers(0, 2**63, size).astype("uint64"))
-            keep = a[r.random(len(a)) > r.random() * 0.12]
-            b = np.unique(np.concatenate([keep, r.integers(0, 2**63, int(r.integers(0, 2 + size // 12))).astype("uint64")]))
-            if len(b) and ngram_join.linked(a, b, num, 100):
-                shared = np.intersect1d(bands.signatures(a), bands.signatures(b))
-                assert len(shared) >= max(1, min(bands.need(a), bands.need(b)))
+            a = np.unique(r.integers(0, 2**64, size, dtype="uint64"))
+            keep = a[r.random(len(a)) > r.random() * 0.16]
+            b = np.unique(np.concatenate([keep, r.integers(0, 2**64, int(r.integers(0, 2 + size // 9)), dtype="uint64")]))
+            if len(b) and ngram_join.linked(a, b, num, 100) and not np.array_equal(a, b):
+                n += 1
+                sigs, owner = bands.signatures([a, b])
+                assert len(np.intersect1d(sigs[owner == 0], sigs[owner == 1]))
                 assert ngram_join.possible(ngram_join.sketch(a), len(a), ngram_join.sketch(b), len(b), num, 100)
+        assert n > 500
+
+
+def test_signatures_do_not_depend_on_the_other_sets():
+    import numpy as np
+
+    r, bands = np.random.default_rng(4), ngram_join.Bands(85, 100)
+    sets = [np.unique(r.integers(0, 2**64, int(n), dtype="uint64")) for n in r.integers(1, 300, 60)]
+    sigs, owner = bands.signatures(sets)
+    for i, s in enumerate(sets):
+        assert sorted(sigs[owner == i]) == sorted(bands.signatures([s])[0])
+
+
+@pytest.mark.parametrize("most", [8, 4096])
+def test_a_large_group_and_a_chain(spark, monkeypatch, most):
+    # Small: groups above the limit, which go through slices and the prefix filter.
+    monkeypatch.setattr(ngram_join, "MOST", most)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(250):
+        d = list(base)
+        for _ in range(r.randint(0, 4)):
+            d[r.randrange(60)] = f"x{r.randrange(1000)}"
+        texts.append(d)
+    chain = [f"c{i}" for i in range(70)]
+    for i in range(45):
+        chain = list(chain)
+        chain[i] = f"d{i}"
+        texts.append(chain)
+    r.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), 4, 85, 100).collect()
+    assert sorted(tuple(x[k] for k in ("doc_id", "n_shingles", "component_id")) for x in got) == brute(docs, 4, 85, 100)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

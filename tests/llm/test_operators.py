@@ -330,3 +330,20 @@ def test_revisits_against_brute_force(spark):
         if ok:
             assert g["merged"] == best[4] | {k: v for k, v in x[4].items() if k in revisits.RENEWED}
     assert revisits.resolve(df.where("false")).count() == 0
+
+
+def test_words_are_hashed_as_split(monkeypatch):
+    import pyarrow as pa
+
+    from tallyrod.llm import common
+
+    r, known = random.Random(3), {}
+    for _ in range(300):
+        monkeypatch.setattr(common, "_PIECE", r.choice([3, 7, 64, 1000]))
+        texts = [r.choice([None, "", "".join(r.choice("aB é\n中 \x0bz") for _ in range(r.randint(0, 60)))]) for _ in range(r.randint(0, 8))]
+        hashes, counts = common.hashed_words(pa.array(["x", *texts], pa.string()).slice(1))
+        ws = [common.words_of(t) for t in texts]
+        assert counts.tolist() == list(map(len, ws))
+        for w, h in zip([w for x in ws for w in x], hashes.tolist(), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
