@@ -11,6 +11,7 @@ ordered by their text; an empty table writes no token; only columns doc_id and t
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -27,7 +28,7 @@ from .common import shared_dir
 #: Appended to every document.
 END = 0
 #: Entries of one generation of a worker's memory of encoded pieces; it keeps two.
-MEMORY = 350_000
+MEMORY = 450_000
 
 _models: dict[str, Memory] = {}
 
@@ -35,29 +36,29 @@ ROW = "doc_id long, file int, local_start long, n_tokens long, ids array<int>"
 
 
 class Memory(dict):
-    """Pieces of text with their ids as little-endian 32-bit integers; a piece that is met for the first time is
-    encoded. When a generation is full it becomes the old one, from which pieces still in use move on."""
+    """Pieces of text with their ids as little-endian 32-bit integers. When a generation is full it becomes the old one,
+    from which pieces still in use move on."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
         model = Tokenizer.from_file(path)
-        self.encode, self.old = model.encode, {}
+        self.encode, self.old = model.encode_batch_fast, {}
         #: Tokens that the library looks for in whole texts, before it cuts them.
         self.special = [x.content for x in model.get_added_tokens_decoder().values()]
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
-        self[piece] = ids
-        return ids
-
-    def age(self) -> None:
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes those that are met for the first time, all at once."""
         if len(self) > MEMORY:
             self.old = dict(self)
             self.clear()
+        new = pieces.difference(self)
+        known = new.intersection(self.old)
+        self.update((p, self.old[p]) for p in known)
+        new = list(new.difference(known))
+        self.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.encode(new, add_special_tokens=False), strict=True))
 
 
 #: Letters up to U+00FF with a blank before them, or other characters up to the next letter or blank. These begin and end
@@ -74,9 +75,9 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
         _models[path] = Memory(path)
     memory = _models[path]
     cut = lambda t: [t] if any(x in t for x in memory.special) else PIECE.findall(t) if _plain(t) else _pieces(t)
-    out = [b"".join(map(memory.__getitem__, cut(t))) for t in texts]
-    memory.age()
-    return out
+    pieces = [cut(t) for t in texts]
+    memory.learn(set().union(*pieces))
+    return [b"".join(map(memory.__getitem__, p)) for p in pieces]
 
 
 def _plain(text: str) -> bool:
@@ -130,7 +131,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, files: int | None = None,
     """Writes `path`/data (ORC, one file a range of ids) and `path`/manifest (file, first, n_docs, n_tokens)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = (rows.repartitionByRange(files, "doc_id", "text") if files else rows.repartitionByRange("doc_id", "text")).sortWithinPartitions("doc_id", "text")
+    # Ranges of ids alone: the sample that Spark draws for their bounds holds no texts.
+    rows = (rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
     writer = rows.mapInArrow(_encode(tokenizer), ROW).write.option("compression", "zstd")
     for k, v in {"orc.create.index": True, "orc.row.index.stride": stride, "orc.stripe.size": stripe_bytes, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}.items():
         writer = writer.option(k, v)

@@ -121,6 +121,14 @@ def test_token_files_round_trip(spark, tmp_path):
 
 def test_token_files_are_pruned_by_id(spark, tmp_path):
     path = token_files.write(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text")), f"file://{tmp_path}/t", tokenizers_files.path("byte_bpe_50k.json"), files=3)
+    import pyarrow.orc as orc
+
+    files = sorted((tmp_path / "t/data").glob("*.orc"))
+    held = [orc.ORCFile(f).read(columns=["doc_id"]).column(0).to_pylist() for f in files]
+    assert sorted(x for h in held for x in h) == list(range(2000)) and all(a[-1] < b[0] for a, b in zip(held, held[1:], strict=False))  # no two files share a range
+    for f in files:
+        raw = f.read_bytes()
+        assert raw.count(b"ORC") and orc.ORCFile(f).nstripes >= 1
     one = token_files.read(spark, path).where("doc_id = 77")
     assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)" in one._jdf.queryExecution().toString().replace("IsNotNull(file), ", "")
 
