@@ -46,19 +46,34 @@ class Memory(dict):
         super().__init__()
         model = Tokenizer.from_file(path)
         self.encode, self.old = model.encode_batch_fast, {}
+        (self.line,) = self.encode(["\n"], add_special_tokens=False)[0].ids
         #: Tokens that the library looks for in whole texts, before it cuts them.
         self.special = [x.content for x in model.get_added_tokens_decoder().values()]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes those that are met for the first time, all at once."""
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes pieces that this generation lacks. Those that stay apart from a line feed on either side are encoded as
+        the lines of one text, the others one by one."""
+        new = dict.fromkeys(pieces)
+        if self.old:
+            known = [p for p in new if p in self.old]
+            self.update((p, self.old[p]) for p in known)
+            for p in known:
+                del new[p]
+        lines, rest = [], []
+        for p in new:
+            apart = p.isprintable() and p[-1] != " " and p[:2] != "  " and not any(x in p for x in self.special)
+            (lines if apart else rest).append(p)
+        if lines:
+            (whole,) = self.encode(["\n" + "\n".join(lines) + "\n"], add_special_tokens=False)
+            ids = np.asarray(whole.ids, "<u4")
+            at, data = (4 * np.flatnonzero(ids == self.line)).tolist(), ids.tobytes()
+            self.update((p, data[x + 4 : y]) for p, x, y in zip(lines, at[:-1], at[1:], strict=True))
+        self.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, self.encode(rest, add_special_tokens=False), strict=True))
+
+    def age(self) -> None:
         if len(self) > MEMORY:
             self.old = dict(self)
             self.clear()
-        new = pieces.difference(self)
-        known = new.intersection(self.old)
-        self.update((p, self.old[p]) for p in known)
-        new = list(new.difference(known))
-        self.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, self.encode(new, add_special_tokens=False), strict=True))
 
 
 #: Letters up to U+00FF with a blank before them, or other characters up to the next letter or blank. These begin and end
@@ -66,6 +81,8 @@ class Memory(dict):
 PIECE = re.compile(" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff ]+| ")
 #: Two white-space characters in a row, or an apostrophe, which may join letters.
 ODD = re.compile("\\s\\s|'")
+#: White space of ASCII other than the blank.
+_LINE_ENDS = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
@@ -75,12 +92,32 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
         _models[path] = Memory(path)
     memory = _models[path]
     cut = lambda t: [t] if any(x in t for x in memory.special) else PIECE.findall(t) if _plain(t) else _pieces(t)
+    memory.age()
     pieces = [cut(t) for t in texts]
-    memory.learn(set().union(*pieces))
-    return [b"".join(map(memory.__getitem__, p)) for p in pieces]
+    out = [list(map(memory.get, p)) for p in pieces]
+    missing = [p[i] for p, ids in zip(pieces, out, strict=True) for i in _nones(ids)]
+    if missing:
+        memory.learn(missing)
+        for p, ids in zip(pieces, out, strict=True):
+            for i in _nones(ids):
+                ids[i] = memory[p[i]]
+    return [b"".join(ids) for ids in out]
+
+
+def _nones(ids: list[bytes | None]) -> Iterator[int]:
+    """Places of None, found by list.index, since they are few."""
+    at = -1
+    try:
+        while True:
+            at = ids.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
 
 
 def _plain(text: str) -> bool:
+    if text.isascii() and not any(c in text for c in _LINE_ENDS):
+        return "'" not in text and "  " not in text
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
