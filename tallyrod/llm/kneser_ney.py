@@ -3,8 +3,8 @@ sorted hash arrays that workers map into memory.
 
 The vocabulary is a sorted array of 64-bit word hashes; a word's place in it is its number, and the arrays of counts
 run by that number. Bigrams (first << 32 | second) are sorted arrays cut into shards by a hash of the bigram, so no
-frequent word fills one shard. All counts are summed inside tasks before they are shuffled, as packed arrays; shards
-grow in number with the corpus.
+frequent word fills one shard. All counts are summed inside tasks before they are shuffled, as packed arrays, and held
+in 64 bits; shards of bigrams grow in number with the corpus, those of words with the session's shuffle partitions.
 
     p(w | v) = max(c(vw) - D(c), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3+(v)) / c(v) * p(w)
     p(w)     = max(cont(w) - E(cont), 0) / N + (E1 M1 + E2 M2 + E3 M3+) / N / (V + 1)
@@ -26,16 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, words_of
+from .common import hashed_words, saved, shared_dir
 
 #: Hashes that stand for the end of a text (a token) and its start (a context only).
 END, START = 1, 0
-MEMORY = 300_000
+#: Texts that are hashed, or scored, at once.
+ROWS = 1_000
 #: Tokens gathered in a task before they are counted and packed.
 GATHERED = 1_500_000
 #: Bigrams, or words, in one shard.
@@ -45,21 +45,13 @@ SHARD = 1_500_000
 #: often, distinct words before it.
 KINDS = ("count", "context", "n1", "n2", "n3", "cont")
 
-_hashes: dict[bytes, int] = {}
 _models: dict = {}
 
 
-def hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words, then END."""
-    ws = words_of(text)
-    try:
-        return np.append(np.fromiter(map(_hashes.__getitem__, ws), "uint64", len(ws)), np.uint64(END))
-    except KeyError:
-        if len(_hashes) > MEMORY:
-            _hashes.clear()
-        for w in set(ws).difference(_hashes):
-            _hashes[w] = max(xxhash.xxh3_64_intdigest(w), 2)
-        return np.append(np.fromiter(map(_hashes.__getitem__, ws), "uint64", len(ws)), np.uint64(END))
+def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's words, then END, text after text; and each text's number of tokens."""
+    h, n = hashed_words(texts)
+    return np.insert(np.maximum(h, np.uint64(2)), np.cumsum(n), np.uint64(END)), n + 1
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -206,7 +198,7 @@ class Model:
         self.by_word = {k: [_map(spec["folder"], f"{k}-{s}", "<u8") for s, _ in shards] for k in KINDS}
         self.places = np.asarray([self.words.first[s] for s, _ in shards], "int64")
         self.keys = {s: _map(spec["folder"], f"bigrams-{s}", "<u8") for s in spec["bigrams"]}
-        self.counts = {s: _map(spec["folder"], f"bigram_counts-{s}", "<u4") for s in spec["bigrams"]}
+        self.counts = {s: _map(spec["folder"], f"bigram_counts-{s}", "<u8") for s in spec["bigrams"]}
 
     def of(self, kind: str, number: np.ndarray) -> np.ndarray:
         """That count of sorted distinct word numbers, 0 for -1."""
@@ -231,12 +223,11 @@ class Model:
                 out[mine] = np.where(stored[at] == keys[mine], self.counts[k][at], 0)
         return out
 
-    def score(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
+    def score(self, flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """Of texts as hashes() gives them: tokens, known tokens, base score, score."""
         s = self.spec
-        lengths = np.asarray([len(t) for t in texts])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        token = self.words.number(np.concatenate(texts))
+        token = self.words.number(flat)
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[starts] = s["start"]
@@ -255,7 +246,7 @@ class Model:
         both[(before < 0) | (token < 0)] = 0
         p = np.maximum(both - _discount(both, s["d"]), 0) / np.maximum(total, 1)[fback] + gamma[fback] * uni
         known = (count > 0)[back]
-        return list(zip(lengths.tolist(), np.add.reduceat(known.astype("int64"), starts).tolist(), np.add.reduceat(base, starts).tolist(), np.add.reduceat(np.log10(p), starts).tolist(), strict=True))
+        return [lengths, np.add.reduceat(known.astype("int64"), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)]
 
 
 def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -272,17 +263,18 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
-    texts, held = [], 0
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """hashes() of many texts at once, about GATHERED tokens."""
+    held, n = [], 0
     for b in batches:
-        for t in b.column("text"):
-            texts.append(hashes(t.as_py()))
-            held += len(texts[-1])
-            if held >= most:
-                yield texts
-                texts, held = [], 0
-    if texts:
-        yield texts
+        for at in range(0, b.num_rows, ROWS):
+            held.append(hashes(b.column("text").slice(at, ROWS)))
+            n += len(held[-1][0])
+            if n >= GATHERED:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def train(docs: DataFrame) -> dict:
@@ -294,8 +286,8 @@ def train(docs: DataFrame) -> dict:
     word_shards = parts
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _tokens(batches, GATHERED):
-            keys, n = _summed(flat := np.concatenate(some), np.ones(len(flat), "uint64"))
+        for flat, _ in _tokens(batches):
+            keys, n = _summed(flat, np.ones(len(flat), "uint64"))
             yield _pack(keys, [n], _range(keys, word_shards), word_shards)
 
     def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,11 +308,11 @@ def train(docs: DataFrame) -> dict:
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(folder, words, word_shards)
-        for some in _tokens(batches, GATHERED):
-            token = known.number(np.concatenate(some)).astype("uint64")
+        for flat, lengths in _tokens(batches):
+            token = known.number(flat).astype("uint64")
             before = np.empty_like(token)
             before[1:] = token[:-1]
-            before[np.concatenate([[0], np.cumsum([len(t) for t in some])[:-1]])] = start
+            before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = start
             keys, n = _summed((before << np.uint64(32)) | token, np.ones(len(token), "uint64"))
             yield _pack(keys, [n], _range(_spread(keys), bigram_shards), bigram_shards)
 
@@ -343,7 +335,7 @@ def train(docs: DataFrame) -> dict:
 
         for k, (keys, n) in _by_shard(batches):
             _put(folder, f"bigrams-{k}", keys)
-            _put(folder, f"bigram_counts-{k}", n.astype("<u4"))
+            _put(folder, f"bigram_counts-{k}", n)
             first, second, one = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), np.ones(len(keys), "uint64")
             zero = np.zeros(len(keys), "uint64")
             # By word: its count as a context, distinct bigrams counted 1, 2, 3+ times after it, distinct words before it.
@@ -389,14 +381,9 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
             _models[model["folder"]] = Model(model)
         own = _models[model["folder"]]
         for b in batches:
-            ids, texts, at, held = b.column("doc_id"), [], 0, 0
-            for i, t in enumerate(b.column("text")):
-                texts.append(hashes(t.as_py()))
-                held += len(texts[-1])
-                if held >= GATHERED or i == b.num_rows - 1:
-                    rows = own.score(texts)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-                    at, texts, held = i + 1, [], 0
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *map(pa.array, own.score(*hashes(some.column("text"))))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
