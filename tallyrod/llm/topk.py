@@ -6,13 +6,13 @@ vectors) and each term's largest and least value; the sum over a query's terms o
 weight bounds every score in the block.
 
 A query is scored in its own group first, which gives a threshold: its k-th score so far. It is then sent only to groups
-whose bound reaches the threshold. There blocks are taken by falling bound until no bound reaches the k-th score. Each
+whose bound reaches the threshold. There it takes blocks by its own falling bounds until one is below its k-th score. Each
 group is held once, by one task, and queries stream past it in batches; partial lists of at most k meet at the end.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; shorter vectors count
 as ending in zeros; ties go to the smaller id; rows of one id are not each other's candidates; fewer than k others give
 all of them; rows without an id take no part; an empty table gives an empty result; other columns are not read.
-Scores are exact while they stay below 2**63.
+Scores are exact 64-bit integers; if one could pass 2**63 the job stops with an error.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ GROUP = 20_000
 #: Queries that go together.
 BATCH = 512
 KEY_BITS = 10
+#: Stands for no score; scores are above it.
+NONE = -(2**63)
 
 _ROW = "kind string, grp int, ids binary, data binary, floor binary, width int, query_id long, vec_id long, score long"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
@@ -58,9 +60,12 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in integers: in doubles where these are exact, else in 64-bit integers."""
-    if a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2**53:
+    """a @ b.T as 64-bit integers: by doubles where these are exact. An error if a sum could pass 2**63."""
+    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if most < 2**53:
         return (a @ b.T).astype("int64")
+    if most >= 2**63:
+        raise ValueError("inner products may pass 2**63")
     return a.astype("int64") @ b.astype("int64").T
 
 
@@ -76,23 +81,26 @@ class Group:
 
     def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query, candidate, score) of all that can be among a query's k best, and the new floors. floor: a score that
-        the k-th best reaches surely, -inf if unknown."""
+        the k-th best reaches surely, NONE if unknown. Each query takes its own blocks by falling bound and stops at the first
+        that is below its floor; queries whose turn it is at one block are multiplied together."""
         bounds = bound(queries, self.high, self.low)
+        turns = np.argsort(-bounds, 1, kind="stable")
         best = np.repeat(floor[:, None], k, 1)  # scores, unordered; floors stand for k unknown ones
         got: list[tuple[np.ndarray, ...]] = []
-        floor = floor.copy()
-        for b in np.argsort(-(bounds - np.where(np.isfinite(floor), floor, 0)[:, None]).max(0), kind="stable"):
-            on = np.flatnonzero(bounds[:, b] >= floor)
+        floor, on = floor.copy(), np.arange(len(ids))
+        for turn in range(len(self.blocks)):
+            on = on[bounds[on, turns[on, turn]] >= floor[on]]
             if not len(on):
-                continue
-            cut = self.blocks[b]
-            scores = _exact(queries[on], self.vectors[cut]).astype("float64")
-            scores[ids[on][:, None] == self.ids[cut][None, :]] = -np.inf
-            both = np.concatenate([best[on], scores], 1)
-            best[on] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
-            floor[on] = best[on].min(1)
-            q, v = np.nonzero((scores >= floor[on][:, None]) & np.isfinite(scores))
-            got.append((on[q], self.ids[cut][v], scores[q, v].astype("int64")))
+                break
+            for b in np.unique(turns[on, turn]).tolist():
+                now, cut = on[turns[on, turn] == b], self.blocks[b]
+                scores = _exact(queries[now], self.vectors[cut])
+                scores[ids[now][:, None] == self.ids[cut][None, :]] = NONE
+                both = np.concatenate([best[now], scores], 1)
+                best[now] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
+                floor[now] = best[now].min(1)
+                q, v = np.nonzero((scores >= floor[now][:, None]) & (scores > NONE))
+                got.append((now[q], self.ids[cut][v], scores[q, v]))
         if not got:
             none = np.empty(0, "int64")
             return none, none, none, floor
@@ -119,7 +127,7 @@ def _pack(ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray | None = None)
 
 def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     ids = np.frombuffer(r["ids"], "int64")
-    return ids, np.frombuffer(r["data"]).reshape(len(ids), r["width"]), None if r["floor"] is None else np.frombuffer(r["floor"])
+    return ids, np.frombuffer(r["data"]).reshape(len(ids), r["width"]), None if r["floor"] is None else np.frombuffer(r["floor"], "int64")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", group: int = GROUP) -> DataFrame:
@@ -151,7 +159,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
         asked = np.flatnonzero(asks)
         for at in range(0, len(asked), BATCH):
             some = asked[at : at + BATCH]
-            q, v, s, floor = own.search(ids[some], data[some], np.full(len(some), -np.inf), k)
+            q, v, s, floor = own.search(ids[some], data[some], np.full(len(some), NONE), k)
             yield _found(q, v, s)
             yield _record([{"kind": "batch", "grp": part} | _pack(ids[some], data[some], floor)])
 
