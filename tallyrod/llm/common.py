@@ -110,6 +110,8 @@ def shared_dir(spark: SparkSession) -> str:
     on one machine) a temporary folder takes its place."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = _own_dir()
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -194,7 +194,7 @@ def bootstrapped(scan: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
         good = saved(good.select("pattern", "kind", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= LEAST_SHARE), "good")
         if good.limit(1).count() == 0:
             break
-        score = graph.where("seed < 0").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("share"))))).alias("score"))
+        score = graph.where("seed < 0").select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg(F.round(1 - F.exp(F.sum(F.log(1.000001 - F.col("share")))), 6).alias("score"))  # rounded: sums differ by order
         best = score.where(F.col("score") >= LEAST_SCORE).groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("x")).select("instance", (-F.col("x.minus")).alias("kind"))
         # What was accepted stays, so rounds end.
         now = saved(best if accepted is None else accepted.unionByName(best.join(accepted, "instance", "left_anti")), "accepted")

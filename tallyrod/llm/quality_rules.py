@@ -1,9 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in expressions.
 
 Defined cases: a null or blank text has no words, all counts 0, and fails the length rule; ratios over nothing are 0;
-repeated rows are judged alike, each on its own; other columns of the input pass through `measure` and `judge`
-untouched, and a clash with a metric's name is an error of the caller's (`measure` puts metrics in one struct column
-whose name is a parameter, so there is none unless asked for). An empty table gives an empty result.
+repeated rows are judged alike, each on its own; other columns of the input pass through untouched, but `measure` and
+`judge` replace columns that have the names of theirs (metrics, base_failed, broken, kept); `keep` returns every column
+as it came. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,6 +63,7 @@ def measure(docs: DataFrame, text: str = "text", into: str = "metrics", stop_wor
     windows are sorted with their places inside the row, so equal ones are neighbours; the words that a window with an
     equal neighbour covers are counted once.
     """
+    docs = docs.drop(into)
     # Plain columns, each read more than once by the next step, so that Spark keeps the steps apart: an expression that
     # it inlined into a lambda would be computed again for every element.
     t, w, lines, g = names = [f"__{into}_{k}" for k in "twlg"]
@@ -117,7 +118,7 @@ def compiled(rules: Sequence[Rule] = RULES, metrics: str = "metrics") -> Column:
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Adds metrics, base_failed, broken (names of broken rules) and kept."""
-    m = measure(docs, text)
+    m = measure(docs.drop("base_failed", "broken", "kept"), text)
     base = (F.col("metrics.n_words") < 50) | (100 * F.col("metrics.n_repeat_words") > 50 * F.col("metrics.n_words"))
     m = m.withColumns({"base_failed": base, "broken": compiled(rules)})
     return m.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
@@ -125,4 +126,6 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") ->
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that pass, with the columns that came."""
-    return judge(docs, rules).where("kept").select(*docs.columns)
+    own = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))  # no name can clash
+    kept = judge(own, rules, f"__{docs.columns.index('text')}").where("kept")
+    return kept.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -12,7 +12,7 @@ Characters without a piece become their UTF-8 bytes.
 
 Defined cases: null stays null when encoded and decoded; the empty text has no pieces; U+2581 in a text decodes as a
 blank; unpaired surrogates cannot occur in Spark strings; very long words take memory in proportion to their length;
-repeated rows are encoded alike; other columns are kept, and a clash with the new column's name is the caller's.
+repeated rows are encoded alike; other columns are kept, but one with the new column's name is replaced.
 """
 
 from __future__ import annotations
@@ -126,7 +126,10 @@ def _pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", into: str = "pieces") -> DataFrame:
-    """Adds the array of piece ids."""
+    """Adds the array of piece ids; an old column `into` goes."""
+    if into == text:
+        raise ValueError("the pieces need a column of their own")
+    docs = docs.drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
@@ -143,7 +146,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "pieces"
 
 
 def decode(docs: DataFrame, model: str, ids: str = "pieces", into: str = "decoded") -> DataFrame:
-    """Adds the text that the pieces spell."""
+    """Adds the text that the pieces spell; an old column `into` goes."""
+    if into == ids:
+        raise ValueError("the text needs a column of its own")
+    docs = docs.drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)

@@ -2,7 +2,8 @@
 
 All steps are DataFrame expressions. Defined cases: a null url, or one without "://", has empty host and path, fits no
 rule, is not listed and is allowed; repeated rows are each judged; an empty list lists nothing; ties between rules that
-fit cannot happen, as two rules of one length that fit the same url are the same rule.
+fit cannot happen, as two rules of one length that fit the same url are the same rule. Columns that have the name of a
+result (host, path, rule, listed, verdict) are replaced; others are kept.
 """
 
 from __future__ import annotations
@@ -73,6 +74,7 @@ def bloom(listed: DataFrame, url: str = "url") -> tuple[DataFrame, int]:
 def member(df: DataFrame, url: str, listed: DataFrame, out: str = "listed") -> DataFrame:
     """Adds boolean `out`: whether `url` is in column url of `listed`. Rows that the filter rejects are never shuffled;
     those that pass it are joined with the list by URL."""
+    df = df.drop(out)
     listed = saved(listed.select("url").where("url is not null").distinct(), "listed")
     table, blocks = bloom(listed)
     names = {f"lane{k}": f"__lane{k}" for k in range(LANES)}
@@ -90,10 +92,11 @@ def member(df: DataFrame, url: str, listed: DataFrame, out: str = "listed") -> D
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule, listed and verdict: the rule's, else block if the canonical URL is listed, else allow."""
-    host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = pages.withColumns({"host": host, "path": path, "__canonical": canonical(F.col(url))})
-    out = member(out, "__canonical", listed).drop("__canonical")
+    pages = pages.withColumn("__url", F.col(url)).drop(*(c for c in ("host", "path", "rule", "listed", "verdict", "__canonical") if c != url))
+    host, path = host_of(F.col("__url")), path_of(F.col("__url"))
+    out = pages.withColumns({"host": host, "path": path, "__canonical": canonical(F.col("__url"))})
+    out = member(out, "__canonical", listed).drop("__canonical", "__url")
     return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))})
 
 

@@ -355,3 +355,36 @@ def test_words_are_hashed_as_split(monkeypatch):
         for w, h in zip([w for x in ws for w in x], hashes.tolist(), strict=True):
             assert known.setdefault(w, h) == h
     assert len(set(known.values())) == len(known)
+
+
+def test_clashing_columns(spark):
+    prose = " ".join("the of and a cat dog tree house walks quickly under over".split()[i * i % 11] + str(i % 13) * (i % 3 == 0) for i in range(150))
+    df = spark.createDataFrame([(1, prose, 5, 6, 7, 8, "p", "l", "u"), (2, "no", 5, 6, 7, 8, "p", "l", "u")], "doc_id long, text string, metrics int, kept int, broken int, base_failed int, pieces string, listed string, host string")
+    judged = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert judged[1]["metrics"]["n_words"] == 150 and not judged[2]["kept"] and judged[2]["pieces"] == "p"
+    kept = quality_rules.keep(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in df.where("doc_id = 1").collect()] * int(judged[1]["kept"])
+    path = tokenizers_files.path("piece_bpe_32k.model")
+    coded = sentence_pieces.encode(df, path)
+    assert coded.columns == [*(c for c in df.columns if c != "pieces"), "pieces"]
+    assert {r["text"] for r in sentence_pieces.decode(coded.drop("text").withColumnRenamed("host", "text"), path, into="text").collect()} == {prose, "no"}
+    pages = spark.createDataFrame([(1, "http://a.net/x", "h", 3, "v", "l", 9)], "page_id long, url string, host string, path int, verdict string, listed string, block int")
+    (r,) = url_filter.judge(pages, url_filter.listing(pages)).collect()
+    assert (r["host"], r["path"], r["verdict"], r["listed"], r["block"]) == ("a.net", "/x", "block", False, 9)
+    (r,) = url_filter.judge(pages.select("page_id", F.col("url").alias("host")), url_filter.listing(pages), url="host").collect()
+    assert (r["host"], r["path"]) == ("a.net", "/x")
+
+
+def test_top_k_of_large_values_and_of_equal_vectors(spark):
+    rows = [(i, [(96000001 + 2 * i) / 64, (150000003 + 2 * i) / 64]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()}
+    of = lambda i, j: (96000001 + 2 * i) * (96000001 + 2 * j) + (150000003 + 2 * i) * (150000003 + 2 * j)
+    for q in (0, 20, 40, 60):
+        want = sorted(((-of(q, j), j) for j in range(80) if j != q))[:20]
+        assert [got[q, k] for k in range(1, 21)] == [(j, -s) for s, j in want]
+    same = spark.range(10_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(-2.0)).alias("embedding"))
+    got = topk.top_k(same, F.col("vec_id").isin(0, 9_980), group=1_500).groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("v")).collect()
+    assert {r["query_id"]: r["v"] for r in got} == {0: list(range(1, 21)), 9_980: list(range(20))}
+    with pytest.raises(Exception, match="2\\*\\*63"):
+        topk.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
