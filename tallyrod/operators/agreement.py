@@ -6,11 +6,14 @@ nothing; "strict" kappa is null in both. NaN becomes null where means are taken.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import divergence_note, kappa_band, spearman_brown
 from .graph import average_rank, most_common, order_stat_ci, upper_median
@@ -197,32 +200,50 @@ def kill_flag(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("gap is not null").agg((F.count(F.lit(1)) > 0).alias("any"), F.coalesce(F.every(F.col("verdict") == "not discriminable"), F.lit(False)).alias("kill"))
 
 
-# Resampling: weights of items by draws that any engine can repeat.
+# Resampling. Items with the same rows are alike, so replicates draw how often each pattern of rows occurs.
 
 
-def draws(spark_items: DataFrame, n_items: int, reps: int, seed: int) -> DataFrame:
-    """(rep, idx, weight): n_items draws with replacement for each replicate, idx from 0: md5(seed|rep|k) modulo n_items."""
-    spark = spark_items.sparkSession
-    rows = spark.range(reps).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))).alias("k"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long")
-    return rows.select("rep", F.pmod(h, F.lit(n_items)).alias("idx")).groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("weight"))
+def patterns(per_item: DataFrame) -> DataFrame:
+    """(pattern, rows, c): the distinct sorted rows that items have, a hash of them, and how many items have them."""
+    own = per_item.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(*(c for c in per_item.columns if c != "item")))).alias("rows"))
+    return own.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).select(F.xxhash64("rows").alias("pattern"), "rows", "c")
 
 
-def indexed(items: DataFrame, item: str = "item") -> DataFrame:
-    """(item, idx) in order of item. Resampled item sets are the small ones of an evaluation."""
-    return items.select(item).distinct().withColumn("idx", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(item)) - 1)
+def replicate_sums(per_item: DataFrame, values: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """(rep, keys, values): sums of `values` over rows (item, keys, values) by keys and replicate, in which each item has a
+    weight of Poisson(1). A pattern of c items has Poisson(c), drawn by a generator that seed and pattern fix, so results
+    do not depend on partitions. Items are not numbered and never repeated; a task holds its sums only."""
+    kept = per_item.schema
+    keys = [c for c in per_item.columns if c not in ("item", *values)]
+    schema = T.StructType([T.StructField("rep", T.IntegerType()), *(kept[k] for k in keys), *(T.StructField(v, T.DoubleType()) for v in values)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for pattern, rows, c in zip(pdf["pattern"], pdf["rows"], pdf["c"], strict=True):
+                weight = np.random.default_rng([seed, int(pattern) % 2**63]).poisson(c, reps)
+                for r in rows:
+                    at = sums.setdefault(tuple(r[k] for k in keys), np.zeros((len(values), reps)))
+                    for i, v in enumerate(values):
+                        at[i] += weight * r[v]
+        for k, at in sums.items():
+            yield pd.DataFrame({"rep": np.arange(reps, dtype="int32")} | {n: [x] * reps for n, x in zip(keys, k, strict=True)} | dict(zip(values, at, strict=True)))
+
+    # Sorted, as sums of doubles depend on their order.
+    found = patterns(per_item).repartition("pattern").sortWithinPartitions("pattern").mapInPandas(run, schema)
+    return found.groupBy("rep", *keys).agg(*(F.round(F.sum(v), 6).alias(v) for v in values))
 
 
 def bootstrap_ci(per_item: DataFrame, stat: Callable[[DataFrame, Sequence[str]], DataFrame], reps: int, seed: int) -> DataFrame:
-    """(point, lo, hi, mean) of a statistic over rows (item, n, ...): replicates weigh each item's rows by its draws, so
-    rows are built once. `stat(rows, by)` gives (by, value) from rows with column w."""
-    idx = indexed(per_item).persist()
-    n = idx.count()
-    rows = per_item.join(idx, "item").join(F.broadcast(draws(per_item, n, reps, seed)) if n * reps <= 2_000_000 else draws(per_item, n, reps, seed), "idx")
-    values = stat(rows.withColumn("w", F.col("weight") * F.col("n")), ["rep"])
+    """(point, lo, hi, mean) of a statistic over rows (item, ..., n). `stat(rows, by)` gives (by, value) from rows with
+    their sums of n in column w."""
+    values = stat(replicate_sums(per_item, ["n"], reps, seed).withColumnRenamed("n", "w").where("w > 0"), ["rep"])
     point = stat(per_item.withColumns({"w": F.col("n").cast("long"), "rep": F.lit(-1)}), ["rep"]).select(F.col("value").alias("point"))
-    ends = order_stat_ci(values.where("not isnan(value)"), "value")
-    return point.crossJoin(ends).crossJoin(values.agg(F.avg(nan_to_null("value")).alias("mean")))
+    return _ends(point, values)
+
+
+def _ends(point: DataFrame, values: DataFrame) -> DataFrame:
+    return point.crossJoin(order_stat_ci(values.where("not isnan(value)"), "value")).crossJoin(values.agg(F.avg(nan_to_null("value")).alias("mean")))
 
 
 def kappa_stat(mean_over: Sequence[str], then: Sequence[str] = ()) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
@@ -240,8 +261,9 @@ def kappa_stat(mean_over: Sequence[str], then: Sequence[str] = ()) -> Callable[[
 
 def bootstrap_mean_ci(per_item: DataFrame, metric: str, reps: int, seed: int) -> DataFrame:
     """(point, lo, hi, mean) of a mean over items."""
-    rows = per_item.where(F.col(metric).isNotNull()).select("item", F.col(metric).alias("m"), F.lit(1).alias("n"))
-    return bootstrap_ci(rows, lambda r, by: r.groupBy(*by).agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("value")), reps, seed)
+    rows = per_item.where(F.col(metric).isNotNull()).select("item", F.col(metric).cast("double").alias("m"), F.lit(1.0).alias("one"))
+    sums = replicate_sums(rows, ["m", "one"], reps, seed).where("one > 0")
+    return _ends(rows.agg(F.avg("m").alias("point")), sums.select("rep", (F.col("m") / F.col("one")).alias("value")))
 
 
 def item_cells(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -278,22 +300,23 @@ def item_agreement(ann: DataFrame) -> DataFrame:
 
 
 def quadrants(ann: DataFrame, cut: float = 3) -> DataFrame:
-    """(quadrant, n, items): agreement below its upper median or not, by sufficiency; no agreement counts as 0."""
+    """(item, quadrant): agreement below its upper median or not, by sufficiency; no agreement counts as 0."""
     a = item_agreement(ann).withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
     m = ann.groupBy("item").agg(F.avg("sufficiency").alias("m"))
-    rows = a.join(m, "item").crossJoin(F.broadcast(upper_median(a, "agreement").select(F.col("value").alias("median"))))
+    rows = a.join(m, "item").crossJoin(F.broadcast(upper_median(a, "agreement").select(F.col("value").alias("median"))))  # one row
     name = F.concat_ws(" agreement, ", F.when(F.col("agreement") < F.col("median"), "low").otherwise("high"), F.when(F.col("m") >= cut, "sufficient").otherwise("insufficient"))
-    return rows.groupBy(name.alias("quadrant")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("item")).alias("items"))
+    return rows.select("item", name.alias("quadrant"))
 
 
 def leave_one_out(ann: DataFrame) -> DataFrame:
-    """(measure, least, most) of within, cross and ceiling when one item is held out: totals less the item's own cells."""
+    """(measure, least, most) of within, cross and ceiling when one item is held out: totals less the item's own cells,
+    once for each pattern of cells that items have. Totals are a row a cell: few, whatever the number of items."""
 
     def held(pairs: DataFrame, keys: Sequence[str], then: Sequence[str]) -> DataFrame:
-        own = item_cells(pairs, keys).persist()
+        own = item_cells(pairs, keys)
         all_ = own.groupBy(*keys, "a", "b").agg(F.sum("n").alias("t"))
-        items = own.select(F.col("item").alias("out")).distinct()
-        rows = all_.crossJoin(F.broadcast(items)).join(own.withColumnRenamed("item", "out"), ["out", *keys, "a", "b"], "left")
+        some = patterns(own).select(F.col("pattern").alias("out"), "rows")
+        rows = some.select("out").crossJoin(F.broadcast(all_)).join(some.select("out", F.inline("rows")), ["out", *keys, "a", "b"], "left")
         rows = rows.select("out", *keys, "a", "b", (F.col("t") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
         k = cohen_kappa(rows, ["out", *keys])
         return k.groupBy("out", *then).agg(F.avg(nan_to_null("kappa")).alias("mean"))

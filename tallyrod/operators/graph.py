@@ -209,10 +209,11 @@ def last_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
 
 def upper_median(df: DataFrame, col: str, part: Sequence[str] = ()) -> DataFrame:
     """(part, value): the element at place n div 2, counting from 0, of the sorted values."""
+    # Equal values are counted first, so the window holds a row a distinct value.
+    n = df.where(F.col(col).isNotNull()).groupBy(*part, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*(part or [F.lit(1)]))
-    rows = df.where(F.col(col).isNotNull()).select(*part, F.col(col).alias("value"))
-    rows = rows.withColumns({"_i": F.row_number().over(w.orderBy("value")) - 1, "_n": F.count(F.lit(1)).over(w)})
-    return rows.where(F.col("_i") == F.floor(F.col("_n") / 2)).select(*part, "value")
+    n = n.withColumns({"_to": F.sum("_n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "_i": F.floor(F.sum("_n").over(w) / 2)})
+    return n.where((F.col("_to") - F.col("_n") <= F.col("_i")) & (F.col("_i") < F.col("_to"))).select(*part, "value")
 
 
 def order_stat_ci(replicates: DataFrame, col: str, part: Sequence[str] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, case_by_thresholds, contains_ci, prefix_count, smoothed_idf, substring_count, tokens, word_count
+from ..sources.shared import saved
 from .graph import ranked, top_k_per_doc
 
 #: Scores: 100 occurrences per word count as much as one more keyword. A category is kept from LEAST_SCORE on if it has
@@ -163,7 +164,9 @@ def term_counts(docs: DataFrame, id_col: str, text: str, pattern: str, stop: Seq
 
 def bm25(queries: DataFrame, corpus: DataFrame, n_docs: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(query, doc, score) of term tables; n_docs: one row (n, avg_len) of the corpus. Negative idf becomes `floor` times
-    the mean idf. Terms that queries lack never leave the scan's side of the join."""
+    the mean idf. The corpus's counts are written once and read by each step; terms that queries lack are dropped by the
+    scan's side of the join."""
+    corpus = saved(corpus, "terms")
     df = corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n_docs)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
     mean = idf.agg(F.avg("idf").alias("mean"))
@@ -177,6 +180,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, n_docs: DataFrame, k1: float = 1
 
 def tfidf_cosine(queries: DataFrame, corpus: DataFrame, n: DataFrame) -> DataFrame:
     """(query, doc, score): cosine of tf times smooth idf; terms outside the corpus are dropped from queries. n: one row (n)."""
+    corpus = saved(corpus, "terms")
     idf = corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", smoothed_idf(F.col("df"), F.col("n")).alias("idf"))
 
     def weighted(rows: DataFrame) -> DataFrame:
@@ -208,6 +212,3 @@ def recall_at_k(ranks: DataFrame, expected: DataFrame, ks: Sequence[int], matche
     out = per.agg(*(F.avg(F.coalesce(f"r{k}", F.lit(0.0))).alias(f"r{k}") for k in names))
     return out.select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in names))))
 
-
-def band_of(n: Column, cuts, default: str = "Low") -> Column:
-    return case_by_thresholds(n, cuts, default)

@@ -1,8 +1,9 @@
 """Similar vectors: thresholded pairs, greatest similarity across groups, groups of near duplicates.
 
 Unit vectors with cosine >= t agree in sign patterns of random projections often, but never surely; exact pairs need the
-blocks below: rows are cut into blocks, each pair of blocks meets once in one task and is multiplied there. The work is
-quadratic by nature; `buckets` makes a candidate set first (hyperplanes), for corpora where that is too much."""
+blocks below: rows are cut into blocks of about BLOCK rows, each pair of blocks meets once in one task and is multiplied
+there, so a task's memory is the same at any size. The work is quadratic by nature; `buckets` makes a candidate set first
+(hyperplanes), for corpora where that is too much. Null and empty vectors take no part."""
 
 from __future__ import annotations
 
@@ -14,23 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+from .components import components
 from .setmetrics import percentiles
 
+#: Rows of a block.
+BLOCK = 2_048
+
 
 def _unit(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v, axis=1, keepdims=True)
     return v / np.where(n > 0, n, 1)
 
 
-def _blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
+def _blocks(vectors: DataFrame, n_blocks: int | None) -> DataFrame:
     """Each row once for every pair of blocks (x <= y) that its own block is in."""
-    rows = vectors.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    rows = vectors.where(F.col("v").isNotNull() & (F.size("v") > 0))
+    n_blocks = n_blocks or max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     rows = rows.withColumn("_o", other)
     return rows.withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")}).drop("_o")
 
 
-def similar_pairs(vectors: DataFrame, min_cos: float, cross_group: bool = False, n_blocks: int = 8) -> DataFrame:
+def similar_pairs(vectors: DataFrame, min_cos: float, cross_group: bool = False, n_blocks: int | None = None) -> DataFrame:
     """(a, b, cos) with a < b of vectors (id, grp, v); cross_group: only pairs of different groups."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,7 +57,7 @@ def similar_pairs(vectors: DataFrame, min_cos: float, cross_group: bool = False,
     return _blocks(vectors, n_blocks).groupBy("_x", "_y").applyInPandas(meet, "a long, b long, cos double")
 
 
-def cross_group_similarity(vectors: DataFrame, n_blocks: int = 8) -> DataFrame:
+def cross_group_similarity(vectors: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """(id, max_cos): the greatest cosine of each vector with one of another group."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +73,7 @@ def cross_group_similarity(vectors: DataFrame, n_blocks: int = 8) -> DataFrame:
     return _blocks(vectors, n_blocks).groupBy("_x", "_y").applyInPandas(meet, "id long, cos double").groupBy("id").agg(F.max("cos").alias("max_cos"))
 
 
-def similarity_percentiles(vectors: DataFrame, n_blocks: int = 8) -> DataFrame:
+def similarity_percentiles(vectors: DataFrame, n_blocks: int | None = None) -> DataFrame:
     return percentiles(cross_group_similarity(vectors, n_blocks), "max_cos", [0.5, 0.75, 0.9, 0.95, 0.99])
 
 
@@ -83,33 +91,21 @@ def buckets(vectors: DataFrame, planes: int = 12, tables: int = 8, seed: int = 7
     return vectors.select("id", "v").mapInPandas(run, "id long, bucket long")
 
 
-def near_duplicate_groups(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(root, members, n, n_pairs, clique): connected components of pairs (a, b); those that are no cliques are flagged, as
-    complete linkage would split them. Labels fall to the least neighbour's until none changes; each round is written to
-    the checkpoint folder where there is one."""
-    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    labels = links.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
-    sc = pairs.sparkSession.sparkContext
-    can_write = sc.getCheckpointDir() is not None
-    for _ in range(most_rounds):
-        low = links.join(labels, links["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("low"))
-        new = labels.join(low, labels["id"] == low["a"], "left").select("id", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("changed"))
-        new = new.checkpoint() if can_write else new.persist()
-        changed = new.where("changed").limit(1).count()
-        labels = new.select("id", "root")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    n_pairs = pairs.select("a", "b").distinct().join(labels, pairs["a"] == labels["id"]).groupBy("root").agg(F.count(F.lit(1)).alias("n_pairs"))
-    groups = labels.groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("n")).join(n_pairs, "root")
-    return groups.withColumn("clique", 2 * F.col("n_pairs") == F.col("n") * (F.col("n") - 1))
+def near_duplicate_groups(pairs: DataFrame) -> DataFrame:
+    """(root, id, n, n_pairs, clique), one row a member: connected components of pairs (a, b), of n members and n_pairs
+    pairs; those that are no cliques are flagged, as complete linkage would split them."""
+    pairs = saved(pairs.select("a", "b").distinct(), "pairs")
+    roots = saved(components(pairs), "roots")
+    n_pairs = pairs.join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.count(F.lit(1)).alias("n_pairs"))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(n_pairs, "root")
+    sizes = sizes.withColumn("clique", 2 * F.col("n_pairs") == F.col("n") * (F.col("n") - 1))
+    return roots.join(sizes, "root").select("root", F.col("node").alias("id"), "n", "n_pairs", "clique")
 
 
 def cluster_stats(groups: DataFrame, n_items: int, kinds: DataFrame) -> DataFrame:
-    """(size, n, cross, compression) of groups (root, members): group sizes, how many span several kinds (id, grp), and the
+    """(size, n, cross, compression) of groups (root, id, n): group sizes, how many span several kinds (id, grp), and the
     share of items that merging saves overall."""
-    rows = groups.select("root", "n", F.explode("members").alias("id")).join(kinds, "id").groupBy("root").agg(F.max("n").alias("size"), F.count_distinct("grp").alias("g"))
+    rows = groups.select("root", "n", "id").join(kinds, "id").groupBy("root").agg(F.max("n").alias("size"), F.count_distinct("grp").alias("g"))
     per = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") >= 2).alias("cross"))
-    saved = F.sum((F.col("size") - 1) * F.col("n")).over(W.partitionBy(F.lit(1)))  # one row a size
-    return per.withColumn("compression", saved / n_items)
+    less = F.sum((F.col("size") - 1) * F.col("n")).over(W.partitionBy(F.lit(1)))  # one row a size
+    return per.withColumn("compression", less / n_items)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import limit_per_group, priority_cap, ranked, top_k_per_doc
 from ..operators.lexicon import apply_path, bias_path, category_scores, inject_category, keyword_counts, recap_top_k, salience_gate, smoothed_idf, two_pool_rank
+from ..sources.shared import saved
 
 
 def retrieve(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requirements: DataFrame, incidents: DataFrame, most: int = 25) -> DataFrame:
@@ -15,7 +16,7 @@ def retrieve(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requireme
 
     Both tables are cut to what one category can contribute before they are joined, so a document's rows are bounded: this
     is the view that fits a prompt. `retrieve_all` keeps all requirements."""
-    top = top_k_per_doc(salience_gate(category_scores(keyword_counts(docs, keywords), lexicon))).select("doc", "category")
+    top = saved(top_k_per_doc(salience_gate(category_scores(keyword_counts(docs, keywords), lexicon))).select("doc", "category"), "top")
     few = ranked(requirements, ["category"], [F.desc("mandatory"), "id"], most, "_r").drop("_r")
     reqs = priority_cap(top.join(few, "category"), "doc", "mandatory", "id", most)
     reqs = reqs.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("requirements"))

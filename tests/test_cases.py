@@ -78,6 +78,32 @@ def test_leave_one_out_equals_reruns(spark):
     assert got["within"] == (pytest.approx(min(each)), pytest.approx(max(each)))
 
 
+def test_bootstrap_is_like_redrawn_items(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    data = [(i, int(a), int(a if u < 0.7 else b)) for i, (a, b, u) in enumerate(zip(r.integers(0, 3, 200), r.integers(0, 3, 200), r.random(200), strict=True))]
+    own = spark.createDataFrame(data, "item int, a int, b int").withColumn("n", F.lit(1))
+
+    def kappa(rows_):
+        t = np.zeros((3, 3))
+        for _, a, b in rows_:
+            t[a, b] += 1
+        t /= t.sum()
+        e = (t.sum(1) * t.sum(0)).sum()
+        return (np.trace(t) - e) / (1 - e)
+
+    values = sorted(kappa([data[i] for i in r.integers(0, 200, 200)]) for _ in range(2000))
+    got = A.bootstrap_ci(own, A.kappa_stat([]), 2000, 3).first()
+    assert got["point"] == pytest.approx(kappa(data)) and got["mean"] == pytest.approx(np.mean(values), abs=0.01)
+    assert got["lo"] == pytest.approx(values[50], abs=0.015) and got["hi"] == pytest.approx(values[1950], abs=0.015)
+    assert A.bootstrap_ci(own.repartition(5), A.kappa_stat([]), 2000, 3).first() == got
+    m = spark.createDataFrame([(i, float(i % 10)) for i in range(300)], "item int, m double")
+    got = A.bootstrap_mean_ci(m, "m", 2000, 4).first()
+    half = 1.96 * np.std(np.arange(300) % 10) / math.sqrt(300)
+    assert got["point"] == 4.5 and got["lo"] == pytest.approx(4.5 - half, abs=0.06) and got["hi"] == pytest.approx(4.5 + half, abs=0.06)
+
+
 def test_headline_is_ordered(spark):
     data = [(i, r, 1 if r <= 3 else 2, (r - 1) % 3 + 1, "xy"[(i + (r > 3) * (i % 2)) % 2]) for i in range(12) for r in range(1, 7)]
     ann = spark.createDataFrame(data, "item int, rater int, stratum int, run int, label string")
@@ -191,8 +217,20 @@ def test_top_up(spark):
 
 def test_components_that_are_no_cliques(spark):
     p = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
-    got = {r["root"]: (r["members"], r["clique"]) for r in V.near_duplicate_groups(p).collect()}
-    assert got == {1: ([1, 2, 3], False), 7: ([7, 8], True)}
+    got = sorted(rows(V.near_duplicate_groups(p)))
+    assert got == [(1, 1, 3, 2, False), (1, 2, 3, 2, False), (1, 3, 3, 2, False), (7, 7, 2, 1, True), (7, 8, 2, 1, True)]
+
+
+def test_components_of_a_long_chain(spark):
+    p = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {(r["root"], r["n"]) for r in V.near_duplicate_groups(p).collect()} == {(0, 61)}
+
+
+def test_similar_pairs_in_many_blocks(spark):
+    v = spark.createDataFrame([(i, "ab"[i % 2], [math.cos(i / 9), math.sin(i / 9)]) for i in range(60)] + [(90, "a", None), (91, "b", [])], "id long, grp string, v array<double>")
+    want = sorted((i, j) for i in range(60) for j in range(i + 1, 60) if math.cos((i - j) / 9) >= 0.9 and (i - j) % 2)
+    for n in (1, 7, None):
+        assert sorted((r["a"], r["b"]) for r in V.similar_pairs(v, 0.9, True, n).collect()) == want
 
 
 def test_projection(spark):
