@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved, shared_dir
+
+__all__ = ["LOWER", "UPPER", "fold", "hashed_words", "mix", "partitions", "saved", "shared_dir", "table", "words", "words_of"]
+
 #: Characters that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,29 +107,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which driver and executors share. Where that is unset (tests
-    on one machine) a temporary folder takes its place."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = _own_dir()
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-
-
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """The rows written as Parquet in the shared folder and read back: lineage ends there, and a lost executor
-    costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
