@@ -494,7 +494,9 @@ def property_table(stable: DataFrame, trace: DataFrame, collateral: DataFrame, c
 
 
 def idf_rank_validation(ranks: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """(category, n_docs, docs): which documents have each target among their ranked categories; targets without any stay."""
-    wanted = ranks.sparkSession.createDataFrame([(t,) for t in targets], "category string")
-    hits = ranks.groupBy("category").agg(F.count_distinct("doc").alias("n_docs"), F.array_sort(F.collect_set("doc")).alias("docs"))
+    """(category, doc, n_docs): a row for each document that has a target among its ranked categories; a target without any
+    stays, with no document."""
+    wanted = F.broadcast(ranks.sparkSession.createDataFrame([(t,) for t in targets], "category string"))  # the caller's short list
+    hits = ranks.join(wanted, "category", "left_semi").select("category", "doc").distinct()
+    hits = hits.join(hits.groupBy("category").agg(F.count(F.lit(1)).alias("n_docs")), "category")
     return wanted.join(hits, "category", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))

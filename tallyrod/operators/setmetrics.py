@@ -77,14 +77,15 @@ def coverage_ratio(rows: DataFrame, item: str, expected: str, got: str) -> DataF
 
 
 def miss_stage(rows: DataFrame, item: str) -> DataFrame:
-    """(stage, n, detail) of expected tags that were not cited: never retrieved, or retrieved and lost in generation."""
+    """(item, tag, stage), a row for each expected tag that was not cited: never retrieved, or retrieved and lost in
+    generation."""
     miss = rows.select(item, F.explode(F.array_except("expected", "cited")).alias("tag"), "retrieved")
     stage = F.when(F.array_contains("retrieved", F.col("tag")), "generation").otherwise("retrieval")
-    return miss.select(stage.alias("stage"), F.concat_ws(":", F.col(item).cast("string"), F.col("tag").cast("string")).alias("d")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("d")).alias("detail"))
+    return miss.select(item, "tag", stage.alias("stage"))
 
 
 def error_taxonomy(rows: DataFrame) -> DataFrame:
-    """(code, n, detail) of rows (item, level, ref_level, expected, retrieved, cited, rights, ref_rights, categories,
+    """(item, code, what), a row an error, of rows (item, level, ref_level, expected, retrieved, cited, rights, ref_rights, categories,
     ref_categories): E1 level too high, E2 too low, E3 expected not retrieved, E4 retrieved but not cited, E5 rights
     missed, E6 rights added, E7 cited beyond what was expected, E8 categories missed. One pass over the rows."""
     tagged = lambda code, a: F.transform(a, lambda t: F.struct(F.lit(code).alias("code"), t.cast("string").alias("what")))
@@ -95,8 +96,7 @@ def error_taxonomy(rows: DataFrame) -> DataFrame:
         tagged("E5", F.array_except("ref_rights", "rights")), tagged("E6", F.array_except("rights", "ref_rights")),
         tagged("E7", F.array_except("cited", "expected")), tagged("E8", F.array_except("ref_categories", "categories")),
     )
-    found = rows.select("item", F.inline(every)).withColumn("d", F.concat_ws(":", F.col("item").cast("string"), "what"))
-    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("d")).alias("detail"))
+    return rows.select("item", F.inline(every))
 
 
 def recall_by_group(rows: DataFrame, groups: dict[str, Column]) -> DataFrame:

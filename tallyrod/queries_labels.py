@@ -13,6 +13,7 @@ from .operators import lexicon as L
 from .operators import rules as R
 from .operators import setmetrics as S
 from .plans import mirror as M
+from .queries_text import ranked_categories  # its SQL is part of a query here
 from .registry import ORACLE, query
 
 LABELS = ["A", "N", "R"]
@@ -93,21 +94,21 @@ def coverage_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.coverage_ratio(d, "item", "expected", "cited").join(S.cited_vs_uncited(d, "item", 2), "item")
 
 
-@query(f"""with {_DOCS}, m as (select item, unnest(list_filter(expected, lambda x: not list_contains(cited, x))) as tag, retrieved from t) select case when list_contains(retrieved, tag) then 'generation' else 'retrieval' end as stage, count(*) as n, list_sort(list(item || ':' || tag)) as detail from m group by 1""")
+@query(f"""with {_DOCS}, m as (select item, unnest(list_filter(expected, lambda x: not list_contains(cited, x))) as tag, retrieved from t) select item, tag, case when list_contains(retrieved, tag) then 'generation' else 'retrieval' end as stage from m""")
 def miss_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.miss_stage(_docs(spark, sf_dir), "item")
 
 
 @query(f"""with {_DOCS}, o as (select t.*, ascii(o_orderstatus) % 3 as level, o_orderkey % 3 as ref_level from t join orders on o_orderkey = item), e as (
-select 'E1' as code, item || ':' || ref_level || '>' || level as d from o where level > ref_level union all select 'E2', item || ':' || ref_level || '>' || level from o where level < ref_level
-union all select 'E3', item || ':' || unnest(list_filter(expected, lambda x: not list_contains(retrieved, x))) from o union all select 'E4', item || ':' || unnest(list_filter(expected, lambda x: list_contains(retrieved, x) and not list_contains(cited, x))) from o
-union all select 'E5', item || ':' || unnest(list_filter(expected, lambda x: not list_contains(retrieved, x))) from o union all select 'E6', item || ':' || unnest(list_filter(retrieved, lambda x: not list_contains(expected, x))) from o
-union all select 'E7', item || ':' || unnest(list_filter(cited, lambda x: not list_contains(expected, x))) from o union all select 'E8', item || ':' || unnest(list_filter(retrieved, lambda x: not list_contains(cited, x))) from o) select code, count(*) as n, md5(string_agg(d, ',' order by d)) as detail from e group by 1""")
+select 'E1' as code, item, ref_level || '>' || level as what from o where level > ref_level union all select 'E2', item, ref_level || '>' || level from o where level < ref_level
+union all select 'E3', item, (unnest(list_filter(expected, lambda x: not list_contains(retrieved, x))))::varchar from o union all select 'E4', item, (unnest(list_filter(expected, lambda x: list_contains(retrieved, x) and not list_contains(cited, x))))::varchar from o
+union all select 'E5', item, (unnest(list_filter(expected, lambda x: not list_contains(retrieved, x))))::varchar from o union all select 'E6', item, (unnest(list_filter(retrieved, lambda x: not list_contains(expected, x))))::varchar from o
+union all select 'E7', item, (unnest(list_filter(cited, lambda x: not list_contains(expected, x))))::varchar from o union all select 'E8', item, (unnest(list_filter(retrieved, lambda x: not list_contains(cited, x))))::varchar from o) select * from e""")
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     (o,) = M.read(spark, sf_dir, "orders")
     levels = o.select(F.col("o_orderkey").alias("item"), F.pmod(F.ascii("o_orderstatus"), F.lit(3)).cast("long").alias("level"), F.pmod("o_orderkey", F.lit(3)).alias("ref_level"))
     rows = _docs(spark, sf_dir).join(levels, "item").withColumns({"rights": F.col("retrieved"), "ref_rights": F.col("expected"), "categories": F.col("cited"), "ref_categories": F.col("retrieved")})
-    return S.error_taxonomy(rows).select("code", "n", F.md5(F.array_join("detail", ",")).alias("detail"))
+    return S.error_taxonomy(rows)
 
 
 @query(f"""with {_DOCS}, e as (select unnest(expected) as id, cited from t) select g as "group", count(*) as expected, count(*) filter (list_contains(cited, id)) as hit, count(*) filter (list_contains(cited, id)) / count(*) as recall from (select case when id < 9 then 'low' else 'high' end as g, * from e) group by 1""")
@@ -441,8 +442,6 @@ def derived_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", score.alias("score"), case_by_thresholds(score, ((5, "High"), (3, "Medium")), "Low").alias("label"))
 
 
-@query()
+@query(f"with c as ({ORACLE['ranked_categories']}), w(category) as (values ('3'), ('4'), ('none')), h as (select distinct category, doc from c) select category, doc, coalesce((select count(*) from h where h.category = w.category), 0) as n_docs from w left join h using (category)")
 def ranked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .queries_text import ranked_categories
-
     return A.idf_rank_validation(ranked_categories(spark, sf_dir).select("doc", "category"), ["3", "4", "none"])

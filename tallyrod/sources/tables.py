@@ -79,7 +79,7 @@ def read_template(spark: SparkSession, template: Mapping[str, Sequence[tuple[str
 
 
 def scan_sections(docs: DataFrame, doc: str, text: str, mark: str = "## ") -> DataFrame:
-    """(doc, pos, section, line): each line with the last heading at or above it, found inside the row's array of lines."""
+    """(doc, pos, section, line): each line with the last heading at or above it. A window over a document's lines."""
     lines = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     return carry_forward(lines.withColumn("section", F.when(F.col("line").startswith(mark), F.expr(f"substring(line, {len(mark) + 1})"))), "section", "doc", "pos").select("doc", "pos", "section", "line")
 
