@@ -395,13 +395,22 @@ def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def recovery_test(ref: DataFrame, rates: Sequence[float], reps: int, labels: Sequence[str], seed: int) -> DataFrame:
-    """(rate, kappa): mean agreement with a reference (item, label) of which a share was replaced by the next label."""
-    u = lambda *x: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *x)), 1, 12), 16, 10).cast("double") / float(2**48)
-    rows = ref.select("item", "label", F.explode(F.array(*map(F.lit, rates))).alias("rate"), F.lit(0).alias("_")).select("item", "label", "rate", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    at = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
-    other = F.get(F.array(*map(F.lit, labels)), F.pmod(at, F.lit(len(labels))).cast("int"))
-    rows = rows.withColumn("noisy", F.when(u(F.col("rate").cast("string"), F.col("rep").cast("string"), F.col("item").cast("string")) < F.col("rate"), other).otherwise(F.col("label")))
-    k = cohen_kappa(cells(rows, ["rate", "rep"], "label", "noisy"), ["rate", "rep"])
+    """(rate, kappa): mean agreement with a reference (item, label) of which each label was replaced, at that rate, by one
+    of the others drawn evenly. Items of one label are alike, so a repetition draws how many of them turn into which other
+    label; a row a label is drawn from, whatever the number of items. Other labels than `labels` are left out."""
+    per = ref.where(F.col("label").isin(*labels)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for label, n in zip(pdf["label"], pdf["n"], strict=True):
+                others = [x for x in labels if x != label]
+                for i, rate in enumerate(rates):
+                    rng = np.random.default_rng([seed, labels.index(label), i])
+                    moved = rng.multinomial(rng.binomial(n, rate, reps), [1 / len(others)] * len(others))
+                    for to, k in [(label, n - moved.sum(1)), *zip(others, moved.T, strict=True)]:
+                        yield pd.DataFrame({"rate": rate, "rep": np.arange(reps, dtype="int32"), "a": label, "b": to, "n": k})[k > 0]
+
+    k = cohen_kappa(per.mapInPandas(run, "rate double, rep int, a string, b string, n long"), ["rate", "rep"])
     return k.groupBy("rate").agg(F.avg(nan_to_null("kappa")).alias("kappa"))
 
 

@@ -121,6 +121,10 @@ def test_recovery_falls(spark):
     ref = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "item int, label string")
     curve = {r["rate"]: r["kappa"] for r in A.recovery_test(ref, [0.0, 0.3, 0.9], 3, ["a", "b", "c"], 1).collect()}
     assert curve[0.0] == 1.0 > curve[0.3] > curve[0.9]
+    # Of three labels in equal shares, kappa is 1 - 1.5 * rate in the mean.
+    ref = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(3000)], "item int, label string").repartition(3)
+    for r in A.recovery_test(ref, [0.1, 0.5, 1.0], 50, ["a", "b", "c"], 1).collect():
+        assert r["kappa"] == pytest.approx(1 - 1.5 * r["rate"], abs=0.01)
 
 
 def test_set_conventions(spark):
