@@ -1,17 +1,19 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Components become floor(64 * x). Rows are put in an order that brings similar vectors together (sign bits, then id) and
+Components become floor(64 * x). Equal vectors form a class, whose scores tie with every query: the class asks once,
+and only as many of its rows are searched, by id, as one list can hold. The rows are put in an order that brings similar vectors together (sign bits, then id) and
 cut into groups, one a partition, and these into blocks of consecutive rows. A block keeps its forward index (its
 vectors) and each term's largest and least value; the sum over a query's terms of the better of both times the query's
 weight bounds every score in the block.
 
 A query is scored in its own group first, which gives a threshold: its k-th score so far. It is then sent only to groups
 whose bound reaches the threshold. There it takes blocks by its own falling bounds until one is below its k-th score. Each
-group is held once, by one task, and queries stream past it in batches; partial lists of at most k meet at the end.
+group is held once, by one task, and queries stream past it in batches; partial lists of at most k meet at the end,
+where each query takes its class's list without its own rows. Lists are longer by the rows of one id, so k others stay.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; shorter vectors count
-as ending in zeros; ties go to the smaller id; rows of one id are not each other's candidates; fewer than k others give
-all of them; rows without an id take no part; an empty table gives an empty result; other columns are not read.
+as ending in zeros; ties go to the smaller id; rows of one id are not each other's candidates and ask together; repeated
+rows are candidates each; fewer than k others give all of them; rows without an id take no part; an empty table gives an empty result; other columns are not read.
 Scores are exact 64-bit integers; if one could pass 2**63 the job stops with an error.
 """
 
@@ -56,7 +58,7 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, x in enumerate(vectors):
         out[i, : len(x)] = x
-    return np.floor(out * SCALE)
+    return out
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,11 +97,10 @@ class Group:
             for b in np.unique(turns[on, turn]).tolist():
                 now, cut = on[turns[on, turn] == b], self.blocks[b]
                 scores = _exact(queries[now], self.vectors[cut])
-                scores[ids[now][:, None] == self.ids[cut][None, :]] = NONE
                 both = np.concatenate([best[now], scores], 1)
                 best[now] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
                 floor[now] = best[now].min(1)
-                q, v = np.nonzero((scores >= floor[now][:, None]) & (scores > NONE))
+                q, v = np.nonzero(scores >= floor[now][:, None])
                 got.append((now[q], self.ids[cut][v], scores[q, v]))
         if not got:
             none = np.empty(0, "int64")
@@ -133,15 +134,26 @@ def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where `queries` holds, against all other rows."""
     spark = vectors.sparkSession
-    x = F.transform(F.col(vector), lambda c: c.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(math.inf)))
-    rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & fine)
+    x = F.col(vector)
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(math.inf)))
+    rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine)
+    whole = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("double"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("x"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = saved(rows.groupBy("id", "x").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")), "rows")
+    copies = F.least("n", F.lit(k))
+    own = rows.groupBy("id").agg(F.sum(copies).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = k + own  # of these at most `own` are the query's
+    place = F.row_number().over(W.partitionBy("x").orderBy("id"))  # Spark cuts to `most` before the shuffle, too
+    kept = rows.select("id", "x", F.explode(F.sequence(F.lit(1), copies.cast("int")))).withColumn("place", place).where(F.col("place") <= most)
+    asked = rows.where("asks").select("x", F.lit(True).alias("asked")).distinct()
+    # cls: a class's number, with its first row, if any of its rows asks
+    cls = F.when((F.col("place") == 1) & F.col("asked"), F.monotonically_increasing_id())
+    kept = saved(kept.join(asked, "x", "left").select("id", "x", cls.alias("cls")), "kept")
     bits = [F.when(F.coalesce(F.get("x", i), F.lit(0.0)) >= 0, F.lit(1 << (KEY_BITS - 1 - i))).otherwise(0) for i in range(KEY_BITS)]
     key = bits[0]
     for b in bits[1:]:
         key = key + b
-    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+    shape = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
     width = shape["width"] or 1
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shape["n"] / group))
 
@@ -152,18 +164,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
         ids = np.concatenate([b.column("id").to_numpy() for b in held]) if held else np.empty(0, "int64")
         if not len(ids):
             return
-        asks = np.concatenate([b.column("asks").to_numpy(zero_copy_only=False) for b in held])
+        asks = np.concatenate([b.column("cls").is_valid().to_numpy(zero_copy_only=False) for b in held])
+        cls = np.concatenate([b.column("cls").fill_null(-1).to_numpy() for b in held])
         data = np.concatenate([_matrix([v.values.to_numpy() for v in b.column("x")], width) for b in held if b.num_rows])
         own = Group(ids, data)
         yield _record([{"kind": "group", "grp": part} | _pack(ids, data, np.concatenate([own.high.max(0), own.low.min(0)]))])
         asked = np.flatnonzero(asks)
         for at in range(0, len(asked), BATCH):
             some = asked[at : at + BATCH]
-            q, v, s, floor = own.search(ids[some], data[some], np.full(len(some), NONE), k)
+            q, v, s, floor = own.search(cls[some], data[some], np.full(len(some), NONE), most)
             yield _found(q, v, s)
-            yield _record([{"kind": "batch", "grp": part} | _pack(ids[some], data[some], floor)])
+            yield _record([{"kind": "batch", "grp": part} | _pack(cls[some], data[some], floor)])
 
-    made = saved(rows.withColumn("key", key).repartitionByRange(groups, "key", "id").sortWithinPartitions("key", "id").mapInArrow(index, _ROW), "index")
+    made = saved(kept.withColumn("key", key).repartitionByRange(groups, "key", "id").sortWithinPartitions("key", "id").mapInArrow(index, _ROW), "index")
     # One row a group: its number and the bounds of its terms.
     ends = {r["grp"]: np.frombuffer(r["floor"]).reshape(2, -1) for r in made.where("kind = 'group'").select("grp", "floor").collect()}
     numbers = sorted(ends)
@@ -188,10 +201,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
                 if r["kind"] == "group":
                     now, own = r["grp"], Group(ids, data)
                 elif r["grp"] == now:
-                    yield _found(*own.search(ids, data, floor, k)[:3])
+                    yield _found(*own.search(ids, data, floor, most)[:3])
 
     sent = made.where("kind = 'batch'").mapInArrow(send, _ROW).unionByName(made.where("kind = 'group'"))
     more = sent.repartition(groups, "grp").sortWithinPartitions("grp", "kind").mapInArrow(search, _ROW)  # "group" sorts before "sent"
-    found = made.where("kind = 'found'").unionByName(more).select("query_id", "vec_id", "score")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = made.where("kind = 'found'").unionByName(more).select(F.col("query_id").alias("cls"), "vec_id", "score")
+    best = F.desc("score"), "vec_id"
+    lists = found.withColumn("rank", F.row_number().over(W.partitionBy("cls").orderBy(*best))).where(F.col("rank") <= most)
+    lists = lists.groupBy("cls").agg(F.collect_list(F.struct("vec_id", "score")).alias("list"))
+    # Keyed by vector, then by class: a class with many queries is left to the adaptive plan to split.
+    asking = rows.where("asks").select(F.col("id").alias("query_id"), "x").join(kept.where("cls is not null").select("x", "cls"), "x").drop("x")
+    out = asking.join(lists, "cls").select("query_id", F.inline("list")).where(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*best))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -388,3 +388,17 @@ def test_top_k_of_large_values_and_of_equal_vectors(spark):
     assert {r["query_id"]: r["v"] for r in got} == {0: list(range(1, 21)), 9_980: list(range(20))}
     with pytest.raises(Exception, match="2\\*\\*63"):
         topk.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
+def test_top_k_of_repeated_rows_and_ids(spark):
+    r = random.Random(4)
+    rows = [(r.randint(0, 60), [float(r.randint(-2, 2)) for _ in range(3)]) for _ in range(160)]
+    rows += [(7, [1.0, 1.0, 1.0])] * 30 + [(40, [2.0, 2.0, 2.0])] * 25 + [(20, [1.0, 0.0, -1.0]), (20, [1.0])]
+    got = defaultdict(list)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for x in topk.top_k(df, F.col("vec_id") % 20 == 0, group=30).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((-x["score"], x["vec_id"]))
+    asks = {i: {tuple(v) for j, v in rows if j == i} for i, _ in rows if i % 20 == 0}
+    assert set(got) == set(asks)
+    for i, vs in asks.items():  # an id with several vectors asks with each
+        assert got[i] == sorted((-4096 * int(sum(a * b for a, b in zip(q, v, strict=False))), j) for q in vs for j, v in rows if j != i)[:20]
