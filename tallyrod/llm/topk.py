@@ -6,7 +6,8 @@ cut into groups, one a partition, and these into blocks of consecutive rows. A b
 vectors) and each term's largest and least value; the sum over a query's terms of the better of both times the query's
 weight bounds every score in the block.
 
-A query is scored in its own group first, which gives a threshold: its k-th score so far. It is then sent only to groups
+A query is scored against PILOT rows spread over the table and then in its own group, which gives a threshold: its k-th
+score so far. The k-th score of any rows is a sure threshold, so the pilot changes no result. The query is then sent only to groups
 whose bound reaches the threshold. There it takes blocks by its own falling bounds until one is below its k-th score. Each
 group is held once, by one task, and queries stream past it in batches; partial lists of at most k meet at the end,
 where each query takes its class's list without its own rows. Lists are longer by the rows of one id, so k others stay.
@@ -34,6 +35,8 @@ SCALE = 64
 BLOCK = 256
 #: Rows of a group: what one task holds.
 GROUP = 20_000
+#: Rows, drawn by a hash, that give queries a first threshold (at most twice as many).
+PILOT = 4_096
 #: Queries that go together.
 BATCH = 512
 KEY_BITS = 10
@@ -122,6 +125,13 @@ def bound(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return out + 1e-12 * (up @ np.abs(high).T - down @ np.abs(low).T)
 
 
+def floors(queries: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among some rows, NONE if these are fewer."""
+    if len(rows) < k:
+        return np.full(len(queries), NONE)
+    return np.partition(_exact(queries, rows), len(rows) - k, 1)[:, -k]
+
+
 def _pack(ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray | None = None) -> dict:
     return {"ids": ids.tobytes(), "data": vectors.tobytes(), "floor": None if floor is None else floor.tobytes(), "width": vectors.shape[1]}
 
@@ -157,6 +167,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     width = shape["width"] or 1
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shape["n"] / group))
 
+    drawn = F.pmod(F.xxhash64("id", "x"), F.lit(math.ceil(shape["n"] / PILOT) or 1)) == 0
+    pilot = _matrix([r["x"] for r in kept.where(drawn).select("x").limit(2 * PILOT).collect()], width)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -172,7 +185,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
         asked = np.flatnonzero(asks)
         for at in range(0, len(asked), BATCH):
             some = asked[at : at + BATCH]
-            q, v, s, floor = own.search(cls[some], data[some], np.full(len(some), NONE), most)
+            q, v, s, floor = own.search(cls[some], data[some], floors(data[some], pilot, most), most)
             yield _found(q, v, s)
             yield _record([{"kind": "batch", "grp": part} | _pack(cls[some], data[some], floor)])
 

@@ -272,7 +272,8 @@ def test_contexts_find_unseen_identifiers(spark):
 # Top-k, URL filter, revisits
 
 
-def test_top_k_against_all_pairs(spark):
+def test_top_k_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PILOT", 40)  # a part of the rows
     r = np.random.default_rng(8)
     base = r.standard_normal((12, 16))
     vec = [list(map(float, base[r.integers(12)] + 0.1 * r.standard_normal(16))) for _ in range(700)]
