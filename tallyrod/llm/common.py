@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import saved, shared_dir
 
-__all__ = ["LOWER", "UPPER", "fold", "hashed_words", "mix", "partitions", "saved", "shared_dir", "table", "words", "words_of"]
+__all__ = ["LOWER", "UPPER", "fold", "hashed_words", "mix", "partitions", "saved", "shared_dir", "table", "tidy", "words", "words_of"]
 
 #: Characters that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -103,6 +105,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, before and after which freed memory goes back to the system: workers are used again by later stages, and would
+    else keep the most that any of them took."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return whole
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, saved
+from .common import hashed_words, mix, saved, tidy
 from .components import components
 
 #: Signatures that a task gathers before it sorts and emits them.
-GATHERED = 1_500_000
+GATHERED = 600_000
 #: Signatures in one shard of the grouping.
 SHARD = 1_500_000
 #: Ids or tokens that may be broadcast; beyond that Spark joins by shuffle, or a token must be more frequent to count as hot.
@@ -165,6 +165,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def classes(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, key, n_shingles, cls) of every row; key: a hash of the text; cls is null where there are no shingles."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, cls = [], []
@@ -215,6 +216,7 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
     """Rows (sig, member, leader) of the signatures that several classes share; through them all are connected."""
     shards = 4 * parts  # several a partition, so that hashing deals them out evenly
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sigs, cls, held = Bands(num, den), [], [], 0
 
@@ -245,6 +247,7 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
         if held:
             yield from flush()
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sorted by shard: one shard's parts are held at a time.
         now, sigs, cls = None, [], []
@@ -265,6 +268,7 @@ def stars(docs: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
     to = F.coalesce("shard", F.pmod(F.xxhash64("sig", "member"), F.lit(shards)).cast("int"))
     dealt = found.withColumn("to", to).repartition(parts, "to").sortWithinPartitions("shard")
 
+    @tidy
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blobs() -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -315,6 +319,7 @@ def _texts_of(docs: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataFrame]
 def sketches_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
     """(cls, size, data) of the classes in `needed`; data: the sketch."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column("text"), n))
@@ -328,6 +333,7 @@ def sketches_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
     """(cls, data) of the classes in `needed`; data: the sorted hashes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column("text"), n))
@@ -340,6 +346,7 @@ def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
 def sifted(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that may be linked by their sketches."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = zip(b.column("x"), b.column("nx").to_pylist(), b.column("y"), b.column("ny").to_pylist(), strict=True)
@@ -355,6 +362,7 @@ def sifted(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
 def checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [linked(np.frombuffer(x.as_py(), "uint64"), np.frombuffer(y.as_py(), "uint64"), num, den) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
@@ -398,6 +406,7 @@ def _met(num: int, den: int, nearest: bool):
         kinds = (pa.int64(), pa.int64(), pa.float64()) if nearest else (pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out = None, [], []
         for b in batches:
@@ -466,6 +475,7 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
     the overlap that a link takes."""
     own = saved(sets.join(roots, sets["cls"] == roots["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "data"), "own")
 
+    @tidy
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column("data"):
@@ -479,6 +489,7 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataF
     hot = often.where(F.col("count") >= least).orderBy("token").toPandas()
     hot_tokens, hot_counts = hot["token"].to_numpy("int64"), hot["count"].to_numpy("int64")
 
+    @tidy
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cls, root, data in zip(b.column("cls"), b.column("root"), b.column("data"), strict=True):

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 MARK = "▁"
 #: Entries of one generation of a worker's memory of segmented words; it keeps two.
 MEMORY = 300_000
@@ -131,6 +133,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "pieces"
         raise ValueError("the pieces need a column of their own")
     docs = docs.drop(into)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for whole in batches:
@@ -151,6 +154,7 @@ def decode(docs: DataFrame, model: str, ids: str = "pieces", into: str = "decode
         raise ValueError("the text needs a column of its own")
     docs = docs.drop(into)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for whole in batches:
@@ -165,6 +169,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), same (the decoded text is the text; null
     for null)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for whole in batches:
