@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 #:   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+    ip [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*")
+DOTTED = re.compile(r"[0-9][0-9.]*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -48,8 +48,9 @@ BROADCAST_ROWS = 200_000
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
-#: Groups of digits that blanks, dots, dashes or brackets join; marks of an address.
-_RUN = re.compile(r"\+?\(?[0-9]+(?:[\x20.()-]{1,3}[0-9]+)+")
+#: Groups of digits that blanks, dots, dashes or brackets join; marks of an address. A run begins where a group does and
+#: no group is given back, so that a search takes time in proportion to the text.
+_RUN = re.compile(r"\+?\(?(?<![0-9])[0-9]++(?:[\x20.()-]{1,3}+[0-9]++)++")
 _AT = re.compile(r"@|\([aA][tT]\)")
 _EDGE = ".,;:!?\"'()[]{}<>="
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -76,6 +77,8 @@ def _emails(t: str) -> Iterator[tuple[int, int]]:
 
 def _ips(t: str) -> Iterator[tuple[int, int]]:
     for m in DOTTED.finditer(t):
+        if "." not in m.group():
+            continue
         parts, at, i = m.group().split("."), [m.start()], 0
         for p in parts:
             at.append(at[-1] + len(p) + 1)
