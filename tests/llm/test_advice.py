@@ -1,6 +1,12 @@
 """Whole results where a plainer way would cut them."""
 
-from tallyrod.llm import ngram_join, pii
+import itertools
+import random
+import re
+import time
+from collections import Counter, defaultdict
+
+from tallyrod.llm import mixing, ngram_join, pii
 
 LONG = [f"w{i}" for i in range(60)]
 TEXT, NEAR, OTHER = " ".join(LONG), " ".join([*LONG[:-1], "z"]), " ".join(f"v{i}" for i in range(60))
@@ -41,3 +47,45 @@ def test_rounds_go_on_until_nothing_is_new(spark):
             docs.append((len(docs), f"write to ctx{level} {x} soon{len(docs)}"))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sum(len(r["more"]) for r in pii.detect(df).collect()) == 22
+
+
+def test_scan_takes_time_in_proportion_to_a_text():
+    n = 1_000_000
+    for unit in ("1", " ", ".", "-", "(", "a", "@", "+", "1 ", "1.", "1-", "+1", "(1", "a@", "a.", "@1", "é"):
+        for tail in ("", " a@b.c 1.2.3.4 +1 555 010 1234"):
+            t, start = unit * (n // len(unit)) + tail, time.process_time()
+            pii.instances(t, pii.base_spans(t))
+            assert time.process_time() - start < 6, unit  # 13.6 s for 20,000 digits before
+
+
+def test_linear_runs_are_those_of_the_plain_pattern():
+    plain, r = re.compile(r"\+?\(?[0-9]+(?:[\x20.()-]{1,3}[0-9]+)+"), random.Random(4)
+    for _ in range(20_000):
+        t = "".join(r.choice("01 .()-+x") for _ in range(r.randint(0, 24)))
+        assert [m.span() for m in plain.finditer(t)] == [m.span() for m in pii._RUN.finditer(t)]
+
+
+def test_copies_follow_the_plan_where_rows_and_ids_repeat(spark):
+    r = random.Random(9)
+    docs = [(i, " ".join(f"w{r.randint(0, 40)}" for _ in range(r.randint(1, 30))), r.choice("abbcc"), i) for i in range(60)]
+    docs += [(1, "the same id in another source", "b", 7), (1, "the same id in another source", "a", 7), (2, docs[2][1], docs[2][2], 99), *[docs[3]] * 25, *[(None, "no id x y", "c", 0)] * 40, (None, None, "c", 1), (5, "", None, 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long")
+    got = Counter(map(tuple, mixing.copies(df).collect()))
+    plan = defaultdict(lambda: [0, 0])  # by id, source, size: rows and their copies
+    for p in mixing.mix(df).collect():
+        x = plan[p["doc_id"], p["source"], p["size"]]
+        x[0] += 1
+        x[1] += 1 if p["size"] == 0 else p["epochs"] + (0 < p["size"] <= 2 * p["rest"])
+    have = Counter()
+    for (i, t, s, _), n in got.items():
+        have[i, s, len((t or "").split())] += n
+    assert dict(have) == {k: c for k, (_, c) in plan.items() if c}
+    for k, rows in itertools.groupby(sorted(set(docs), key=str), key=lambda d: (d[0], d[2], len((d[1] or "").split()))):
+        rows = list(rows)
+        each = plan[k][1] / plan[k][0]
+        assert all(abs(got[d] - each * docs.count(d)) < docs.count(d) or len(rows) > 1 for d in rows)
+    words, target = Counter(), {}
+    for (_, t, s, _), n in got.items():
+        words[s] += n * len((t or "").split())
+    for p in mixing.mix(df).select("source", "target").distinct().collect():
+        assert abs(words[p["source"]] - p["target"]) <= 30

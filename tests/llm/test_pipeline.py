@@ -2,11 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from tallyrod.llm import pii, quality_rules
+from tallyrod.llm import mixing, pii, quality_rules
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_operators import base_by_patterns
 
@@ -40,7 +41,10 @@ def test_pipeline(spark, folder):
     out = corpus_pipeline.run(spark, path)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "pieces"]
     got = out.collect()
-    assert {r["doc_id"]: r["text"] for r in got}.items() <= cut.items()
+    # Whole rows, repeats counted: what the plan of the mixture says of the documents that are left.
+    rows = [(d[0], cut[d[0]], d[2], d[3], len(d[1])) for d in left if d[0] in stay]
+    plan = {r["doc_id"]: r["epochs"] + (2 * r["rest"] >= r["size"] > 0) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert Counter(tuple(r)[:5] for r in got) == Counter({x: plan[x[0]] for x in rows if plan[x[0]]})
     assert not any(re.search("@", r["text"]) for r in got) and any("[EMAIL]" in r["text"] for r in got)
     # Shares: 5, 2, 1 of one and a half times all words, at most twice a source's own, to within one document.
     size = {s: sum(len(t.split()) for i, t in cut.items() if dict((d[0], d[3]) for d in docs)[i] == s) for s in ("src0", "src1", "src2")}
