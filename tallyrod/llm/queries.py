@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, mixing, ngram_join, pii, quality_rules, revisits, sentence_pieces, token_files, topk, url_filter
-from .common import table
+from . import kneser_ney, languages, merkle, mixing, ngram_join, pii, quality_rules, repeats, revisits, sentence_pieces, token_files, topk, url_filter
+from .common import LOWER, UPPER, table
 
 
 def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_mixing, op3_token_files, op4_kneser_ney, op5_sentence_pieces, op6_quality_rules, op7_pii, op8_ngram_join, op9_url_filter, op10_topk)}
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_mixing, op3_token_files, op4_kneser_ney, op5_sentence_pieces, op6_quality_rules, op7_pii, op8_ngram_join, op9_url_filter, op10_topk, op11_languages, op12_repeats, op13_merkle)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -78,7 +90,47 @@ def _rules(out: str) -> str:
     return "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h + p if out == 'rule' else v}'" for h, p, v in rules) + " end"
 
 
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _up(table: str, tree: str) -> str:
+    """Levels over rows (tree, level, idx, h): every eight become their digest while a tree has several."""
+    return f"""select * from {table} union all
+  select {tree}, level + 1, idx // 8, sha256(string_agg(h, '' order by idx)) from (select *, count(*) over (partition by {tree}) as n from X) where n > 1 group by {tree}, level, idx // 8"""
+
+
+#: Eight steps of the division by the polynomial, for each byte; then the checksum over the digits of the id.
+_CRC = """(select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) order by i) as t from (select unnest(range(256)) as i))"""
+
 ORACLE: dict[str, str] = {
+    "op13_merkle": f"""
+with recursive crc as {_CRC},
+d as (select doc_id, lang, {_leaf("text")} as leaf, {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} as low,
+  xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as crc from documents, crc),
+l as (select *, case when crc % 3 = 0 then low else leaf end as tested, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx from d),
+base as (select lang as tree, 0 as level, idx, leaf as h from l),
+lv as ({_up("base", "tree").replace("X", "lv")}),
+tops as (select tree, arg_max(h, level) as h from lv group by tree),
+seat as (select tree, row_number() over (order by tree nulls first) - 1 as seat, h from tops),
+base2 as (select 0 as tree, 0 as level, seat as idx, h from seat),
+tv as ({_up("base2", "tree").replace("X", "tv")}),
+root as (select arg_max(h, level) as root from tv),
+-- one row a leaf and level: the leaf's own node is left out of its run
+path as (select l.doc_id, l.leaf, l.tested, l.lang, l.idx, s.seat, s.h as subroot from l join seat s on l.lang is not distinct from s.tree),
+runs as (select tree, level, idx // 8 as run, list(h order by idx) as hs from lv group by all having true),
+multi as (select r.* from runs r join (select tree, level from lv group by all having count(*) > 1) m on r.tree is not distinct from m.tree and r.level = m.level),
+truns as (select level, idx // 8 as run, list(h order by idx) as hs from tv group by all),
+tmulti as (select r.* from truns r join (select level from tv group by all having count(*) > 1) m on r.level = m.level),
+steps as (
+  select p.doc_id, p.leaf, p.idx, p.lang, m.level as step, m.hs, ((p.idx // (8 ** m.level)::bigint) % 8)::bigint as place from path p join multi m on p.lang is not distinct from m.tree and m.run = p.idx // (8 ** (m.level + 1))::bigint
+  union all
+  select p.doc_id, p.leaf, p.idx, p.lang, 1000 + m.level, m.hs, ((p.seat // (8 ** m.level)::bigint) % 8)::bigint from path p join tmulti m on m.run = p.seat // (8 ** (m.level + 1))::bigint),
+way as (select lang, idx, list({{hs: hs, place: place}} order by step) as way from steps group by all),
+f as (select p.*, coalesce(way, []) as way from path p left join way w on p.lang is not distinct from w.lang and p.idx = w.idx),
+g as (select doc_id, leaf, subroot, sha256(array_to_string(flatten(list_transform(way, lambda x: list_concat(x.hs[: x.place], x.hs[x.place + 2 :]))), '')) as proof_sha256,
+  list_reduce(list_prepend({{hs: [tested], place: 0::bigint}}, way), lambda a, x: {{hs: [sha256(array_to_string(list_concat(x.hs[: x.place], a.hs, x.hs[x.place + 2 :]), ''))], place: 0::bigint}}).hs[1] as folded_root from f)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from g, root""",
     "op1_revisits": rf"""
 with k as (select *, unnest(range(0, (page_id % 5) + 1)) as k from pages),
 a as (select (page_id * 8 + k)::bigint as record_id, url, page_id as p, k, (1600000000 + (page_id * 977) % 5000000 + k * 40000)::bigint as ts, sha1(coalesce(html, '')) as sha, octet_length(encode(coalesce(html, '')))::bigint as bytes,
