@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, case_by_thresholds, contains_ci, prefix_count, smoothed_idf, substring_count, tokens, word_count
+from ..functions.text import any_of, case_by_thresholds, contains_ci, smoothed_idf, tokens
 from ..sources.shared import saved
 from .graph import ranked, top_k_per_doc
+from .keywords import counted
 
 #: Scores: 100 occurrences per word count as much as one more keyword. A category is kept from LEAST_SCORE on if it has
 #: LEAST_TYPES keywords, LEAST_OCCURRENCES occurrences or a topic-defining keyword.
@@ -19,11 +20,13 @@ PER_HUNDRED, LEAST_SCORE, LEAST_TYPES, LEAST_OCCURRENCES, BOOST, TOP = 100, 1.15
 
 def keyword_counts(docs: DataFrame, keywords: Sequence[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, keyword, n, words), n > 0. Keywords with a blank or more than five letters count as parts of the text, others
-    as beginnings of words. One projection over each text, no join."""
-    low = docs.select(F.col(doc).alias("doc"), F.lower(text).alias("_t"), word_count(F.col(text)).alias("words"))
-    count = lambda k: substring_count(F.col("_t"), k) if " " in k or len(k) > 5 else prefix_count(F.col("_t"), k)
-    pairs = F.array(*(F.struct(F.lit(k).alias("keyword"), count(k).alias("n")) for k in keywords))
-    return low.select("doc", "words", F.inline(pairs)).where("n > 0").select("doc", "keyword", "n", "words")
+    as beginnings of words. One pass over each text, however many keywords there are, and no join."""
+    return hit_rows(counted(docs, keywords, doc, text))
+
+
+def hit_rows(table: DataFrame) -> DataFrame:
+    """(doc, keyword, n, words) of what `counted` has found."""
+    return table.select("doc", "words", F.inline("hits")).select("doc", "keyword", "n", "words")
 
 
 def category_scores(counts: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import limit_per_group, priority_cap, ranked, top_k_per_doc
-from ..operators.lexicon import apply_path, bias_path, category_scores, inject_category, keyword_counts, recap_top_k, salience_gate, smoothed_idf, two_pool_rank
+from ..operators.keywords import counted
+from ..operators.lexicon import apply_path, bias_path, category_scores, hit_rows, inject_category, keyword_counts, recap_top_k, salience_gate, smoothed_idf, two_pool_rank
 from ..sources.shared import saved
 
 
@@ -29,13 +30,15 @@ def retrieve(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requireme
 
 
 def matched(docs: DataFrame, lexicon: DataFrame, keywords: list[str], inject: dict, bias: dict) -> DataFrame:
-    """(doc, category): the best categories, an injected one, those that disambiguation drops or adds, then the best again."""
-    counts = keyword_counts(docs, keywords)
-    scores = category_scores(counts, lexicon)
+    """(doc, category): the best categories, an injected one, those that disambiguation drops or adds, then the best again.
+    One pass over the texts writes each document's keywords and its path of disambiguation; the rest reads that table."""
+    table = saved(counted(docs, keywords, path=bias_path(F.col("text"), bias["bias"], bias["systemic"], bias["individual"])), "counted")
+    counts = hit_rows(table)
+    scores = saved(category_scores(counts, lexicon), "scores")
     gate = salience_gate(scores)
     extra = inject_category(counts, inject["signals"], inject["strong"], inject["category"])
     start = top_k_per_doc(gate).select("doc", "category").unionByName(extra).distinct()
-    path = docs.groupBy(F.col("doc_id").alias("doc")).agg(F.max(bias_path(F.col("text"), bias["bias"], bias["systemic"], bias["individual"])).alias("path"))
+    path = table.groupBy("doc").agg(F.max("path").alias("path"))
     rows = path.join(start.groupBy("doc").agg(F.collect_list("category").alias("categories")), "doc", "left")
     rows = rows.withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
     chosen = apply_path(rows, bias["drop"], bias["systemic_adds"], bias["individual_adds"]).select("doc", F.explode("categories").alias("category"))
@@ -50,7 +53,7 @@ def retrieve_all(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requi
     without a document, which has those of all its categories. incident: three a category, the first six categories,
     eight in all. risk: ten risk categories of its requirements and incidents, ranked in two pools. mitigation: the distinct
     ones of its requirements, in order of name."""
-    top = matched(docs, lexicon, keywords, inject, bias)
+    top = saved(matched(docs, lexicon, keywords, inject, bias), "matched")
     reqs = requirements.select("category", "id").distinct().join(top.select("category").distinct(), "category", "left_semi")
     # Requirements of equal sets of categories belong to the same documents: they are counted before documents are joined.
     own = requirements.select("id", "category").distinct().groupBy("id").agg(F.array_sort(F.collect_set("category")).alias("cats"))
