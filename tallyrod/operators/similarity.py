@@ -1,16 +1,28 @@
-"""Similar vectors: thresholded pairs, greatest similarity across groups, groups of near duplicates.
+"""Similar vectors: thresholded pairs, greatest similarity across groups, complete-linkage groups.
 
-Unit vectors with cosine >= t agree in sign patterns of random projections often, but never surely; exact pairs need the
-blocks below: rows are cut into blocks of about BLOCK rows, each pair of blocks meets once in one task and is multiplied
-there, so a task's memory is the same at any size. The work is quadratic by nature; `buckets` makes a candidate set first
-(hyperplanes), for corpora where that is too much. Null and empty vectors take no part."""
+Equal vectors are one class first. Classes lie in balls: each belongs to the nearest of some pivots, which are far
+from one another among DRAWN times as many classes drawn by a hash of their ids, at most PIVOTS; a ball's radius is the greatest angle of its members to its pivot. By the
+triangle inequality on angles, a vector x of ball p can have a partner within angle t in ball q only if its angle to q's
+pivot is at most the radius of q plus t, and at most its angle to its own pivot plus 2 t. So x is sent to those balls
+only, and a pair of balls that neither side reaches never meets. Balls are cut into blocks of about BLOCK rows; two blocks
+meet in one task, so a task's memory is the same at any size, and a ball that holds most rows is many blocks.
+
+Where vectors have clusters closer than the threshold, a row goes to few balls; where they have none (random directions,
+or a threshold near 0) it goes to all, which are n / BLOCK, as the exact work is quadratic there by nature.
+`buckets` makes a candidate set by hyperplanes, for corpora where that is too much.
+
+Defined cases: null and empty vectors, those with null or infinite components and zero vectors take no part; vectors of
+several lengths are an error; ids are taken to be distinct.
+"""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +31,14 @@ from ..sources.shared import saved
 from .components import components
 from .setmetrics import percentiles
 
-#: Rows of a block.
-BLOCK = 2_048
+#: Rows of a block; rows of a ball, about; pivots at most (their vectors go to every task).
+BLOCK, BALL, PIVOTS = 2_048, 1_024, 4_096
+#: Rows drawn for each pivot; pivots are those of them that are farthest from one another.
+DRAWN = 4
+#: Angles are compared with this much to spare.
+_SPARE = 1e-6
+#: Edges whose groups one task merges.
+EDGES = 20_000
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -28,53 +46,172 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n > 0, n, 1)
 
 
-def _blocks(vectors: DataFrame, n_blocks: int | None) -> DataFrame:
-    """Each row once for every pair of blocks (x <= y) that its own block is in."""
-    rows = vectors.where(F.col("v").isNotNull() & (F.size("v") > 0))
-    n_blocks = n_blocks or max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    rows = rows.withColumn("_o", other)
-    return rows.withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")}).drop("_o")
+def _matrix(v: pa.Array) -> np.ndarray:
+    """Unit rows of a list column."""
+    if isinstance(v, pa.ChunkedArray):
+        v = v.combine_chunks()
+    sizes = np.unique(v.value_lengths().to_numpy(zero_copy_only=False)) if len(v) else np.ones(1, "int64")
+    if len(sizes) != 1:
+        raise ValueError(f"vectors of several lengths: {sizes[:5].tolist()}")
+    return _unit(v.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(v), int(sizes[0])))
+
+
+def _spread(rows: np.ndarray, n: int) -> list[int]:
+    """The first row, and then ever the one that is farthest from those taken."""
+    out, near = [0], rows @ rows[0]
+    while len(out) < min(n, len(rows)):
+        out.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[out[-1]])
+    return out
+
+
+def classes(vectors: DataFrame, by_group: bool) -> tuple[DataFrame, DataFrame]:
+    """((id, grp, v, n), (class, id, grp)) of vectors (id, grp, v): one row per distinct vector (and group, if by_group)
+    with its least id, least group and number of rows; and which class each row belongs to. Equal rows are counted before
+    they are shuffled; the membership is an equi-join with one row a class, which Spark may split."""
+    sound = F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select("id", "grp", "v").where(F.coalesce(sound, F.lit(False)))
+    keys = ["v", "grp"] if by_group else ["v"]
+    own = rows.groupBy(*keys).agg(F.min("id").alias("id"), *([] if by_group else [F.min("grp").alias("grp")]), F.count(F.lit(1)).alias("n"))
+    own = saved(own.select("id", "grp", "v", "n"), "classes")
+    of = own.select(F.col("id").alias("class"), F.col("v").alias("_v"), F.col("grp").alias("_g"))
+    same = rows["v"] == of["_v"]
+    if by_group:
+        same = same & rows["grp"].eqNullSafe(of["_g"])
+    return own, rows.join(of, same).select("class", "id", "grp")
+
+
+class Balls:
+    """Classes (id, grp, v) in balls, and the blocks of which each row must meet which."""
+
+    def __init__(self, rows: DataFrame, n_pivots: int | None = None, block: int = BLOCK):
+        n = rows.count()
+        n_pivots = n_pivots or min(PIVOTS, max(1, -(-n // BALL)))
+        drawn = rows.orderBy(F.xxhash64("id"), "id").limit(DRAWN * n_pivots).select("grp", "v").toArrow()
+        self.pivots, self.groups = (_matrix(drawn.column("v")), np.array(drawn.column("grp").to_pylist(), object)) if n else (np.zeros((1, 1)), np.array([None], object))
+        far = _spread(self.pivots, n_pivots)
+        self.pivots, self.groups = self.pivots[far], self.groups[far]
+        pivots, groups = self.pivots, self.groups
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                angle = np.arccos(np.clip(_matrix(b.column("v")) @ pivots.T, -1, 1)) if b.num_rows else np.zeros((0, len(pivots)))
+                ball = angle.argmin(1)
+                grp = np.array(b.column("grp").to_pylist(), object)
+                # The nearest pivot of another group: what a row's best partner surely reaches.
+                other = np.where(grp[:, None] == groups[None, :], np.pi, angle).min(1)
+                at = np.arange(len(ball))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "grp", "v")), pa.array(ball.astype("int32")), pa.array(angle[at, ball]), pa.array(other)], names=["id", "grp", "v", "ball", "angle", "other"])
+
+        kinds = dict(rows.dtypes)
+        self.kinds = f"id {kinds['id']}, grp {kinds['grp']}, v {kinds['v']}"
+        self.rows = saved(rows.select("id", "grp", "v").mapInArrow(placed, f"{self.kinds}, ball int, angle double, other double"), "balls")
+        size, self.radius, self.reach = np.zeros(len(pivots), "int64"), np.zeros(len(pivots)), np.zeros(len(pivots))
+        for r in self.rows.groupBy("ball").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a"), F.max("other").alias("o")).collect():  # one row a pivot
+            size[r["ball"]], self.radius[r["ball"]], self.reach[r["ball"]] = r["n"], r["a"], r["o"]
+        self.blocks = -(-size // block)
+        self.first = np.concatenate([[0], np.cumsum(self.blocks)])
+
+    def meetings(self, within: float | None) -> DataFrame:
+        """(lo, hi, own, id, grp, v): each row once for each pair of blocks (lo <= hi) in which it may have a partner
+        within the angle, own being its own block. None: a partner of another group nearer than any pivot of one."""
+        pivots, radius, reach, blocks, first = self.pivots, self.radius, self.reach, self.blocks, self.first
+
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1_000):
+                    b = whole.slice(start, 1_000)
+                    angle = np.arccos(np.clip(_matrix(b.column("v")) @ pivots.T, -1, 1))
+                    ball, near, other = (b.column(c).to_numpy() for c in ("ball", "angle", "other"))
+                    if within is None:
+                        ok = angle <= radius + np.maximum(other[:, None], reach) + _SPARE
+                    else:
+                        ok = (angle <= radius + within + _SPARE) & (angle <= near[:, None] + 2 * within + _SPARE)
+                    ok[np.arange(len(ball)), ball] = True
+                    ok &= blocks > 0
+                    own = first[ball] + b.column("__h").to_numpy() % blocks[ball]
+                    i, q = np.nonzero(ok)
+                    row = np.repeat(i, blocks[q])
+                    to = np.arange(len(row)) - np.repeat(np.cumsum(blocks[q]) - blocks[q], blocks[q]) + np.repeat(first[q], blocks[q])
+                    keep = (to != own[row]) | (ball[row] == np.repeat(q, blocks[q]))
+                    row, to = row[keep], to[keep]
+                    taken = b.select(["id", "grp", "v"]).take(pa.array(row))
+                    lo, hi = np.minimum(to, own[row]), np.maximum(to, own[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype("int64")) for x in (lo, hi, own[row])] + [taken.column(k) for k in range(3)], names=["lo", "hi", "own", "id", "grp", "v"])
+
+        own = self.rows.withColumn("__h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+        return own.mapInArrow(sent, f"lo long, hi long, own long, {self.kinds}")
 
 
-def similar_pairs(vectors: DataFrame, min_cos: float, cross_group: bool = False, n_blocks: int | None = None) -> DataFrame:
-    """(a, b, cos) with a < b of vectors (id, grp, v); cross_group: only pairs of different groups."""
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray] | None:
+    x, y = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    left, right = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
+    if left.empty or right.empty:
+        return None
+    return left, right, _unit(np.stack(left["v"].to_list()).astype("float64")) @ _unit(np.stack(right["v"].to_list()).astype("float64")).T
+
+
+def class_pairs(own: DataFrame, min_cos: float, cross_group: bool = False, n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, cos) with a < b of different classes (id, grp, v); cross_group: only those of different groups."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["_x"].iloc[0]), int(pdf["_y"].iloc[0])
-        left, right = pdf[pdf["_b"] == x], pdf[pdf["_b"] == y]
-        if left.empty or right.empty:
+        sides = _sides(pdf)
+        if sides is None:
             return pd.DataFrame({"a": [], "b": [], "cos": []})
-        cos = _unit(np.stack(left["v"].to_list()).astype("float64")) @ _unit(np.stack(right["v"].to_list()).astype("float64")).T
+        left, right, cos = sides
         i, j = np.nonzero(cos >= min_cos)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if x == y else a != b
+        keep = a < b if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else a != b
         if cross_group:
             keep &= left["grp"].to_numpy()[i] != right["grp"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cos": cos[i, j][keep]})
 
-    return _blocks(vectors, n_blocks).groupBy("_x", "_y").applyInPandas(meet, "a long, b long, cos double")
+    sent = Balls(own, n_pivots, block).meetings(float(np.arccos(np.clip(min_cos, -1, 1))))
+    return sent.groupBy("lo", "hi").applyInPandas(meet, "a long, b long, cos double")
+
+
+def similar_classes(vectors: DataFrame, min_cos: float, cross_group: bool = False, n_pivots: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((a, b, cos), (class, id, grp)): pairs of classes of equal vectors, and the classes' members. Members of one class
+    are similar to each other, too (cross_group: they are of one group and so no pairs); n equal vectors are n rows."""
+    own, members = classes(vectors, cross_group)
+    return class_pairs(own, min_cos, cross_group, n_pivots, block), members
 
 
-def cross_group_similarity(vectors: DataFrame, n_blocks: int | None = None) -> DataFrame:
-    """(id, max_cos): the greatest cosine of each vector with one of another group."""
+def similar_pairs(vectors: DataFrame, min_cos: float, cross_group: bool = False, n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, cos) with a < b of vectors (id, grp, v), every pair of rows spelled out; cross_group: only pairs of different
+    groups. `similar_classes` is the form for many equal vectors."""
+    pairs, members = similar_classes(vectors, min_cos, cross_group, n_pivots, block)
+    members = saved(members, "members")
+    x, y = (members.select(F.col("class").alias(f"_{k}"), F.col("id").alias(k)) for k in ("p", "q"))
+    far = pairs.join(x, F.col("a") == F.col("_p")).join(y, F.col("b") == F.col("_q"))
+    out = far.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cos")
+    if not cross_group and min_cos <= 1:
+        several = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("_c"))
+        inside = x.join(several, F.col("_p") == F.col("_c")).join(y, F.col("_p") == F.col("_q")).where("p < q")
+        out = out.unionByName(inside.select(F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("cos")))
+    return out
+
+
+def cross_group_similarity(vectors: DataFrame, n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, max_cos): the greatest cosine of each vector with one of another group. A row's nearest pivot of another group
+    bounds how far its best partner can be, so it meets only balls that reach nearer."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["_x"].iloc[0]), int(pdf["_y"].iloc[0])
-        left, right = pdf[pdf["_b"] == x], pdf[pdf["_b"] == y]
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "cos": []})
-        cos = _unit(np.stack(left["v"].to_list()).astype("float64")) @ _unit(np.stack(right["v"].to_list()).astype("float64")).T
+        sides = _sides(pdf)
+        if sides is None:
+            return pd.DataFrame({"c": [], "cos": []})
+        left, right, cos = sides
         cos[left["grp"].to_numpy()[:, None] == right["grp"].to_numpy()[None, :]] = -np.inf
-        out = pd.DataFrame({"id": np.concatenate([left["id"], right["id"]]), "cos": np.concatenate([cos.max(1), cos.max(0)])})
+        out = pd.DataFrame({"c": np.concatenate([left["id"], right["id"]]), "cos": np.concatenate([cos.max(1), cos.max(0)])})
         return out[np.isfinite(out["cos"])]
 
-    return _blocks(vectors, n_blocks).groupBy("_x", "_y").applyInPandas(meet, "id long, cos double").groupBy("id").agg(F.max("cos").alias("max_cos"))
+    own, members = classes(vectors, True)
+    best = Balls(own, n_pivots, block).meetings(None).groupBy("lo", "hi").applyInPandas(meet, "c long, cos double").groupBy("c").agg(F.max("cos").alias("max_cos"))
+    return members.join(best, F.col("class") == F.col("c")).select("id", "max_cos")
 
 
-def similarity_percentiles(vectors: DataFrame, n_blocks: int | None = None) -> DataFrame:
-    return percentiles(cross_group_similarity(vectors, n_blocks), "max_cos", [0.5, 0.75, 0.9, 0.95, 0.99])
+def similarity_percentiles(vectors: DataFrame, n_pivots: int | None = None) -> DataFrame:
+    return percentiles(cross_group_similarity(vectors, n_pivots), "max_cos", [0.5, 0.75, 0.9, 0.95, 0.99])
 
 
 def buckets(vectors: DataFrame, planes: int = 12, tables: int = 8, seed: int = 7) -> DataFrame:
@@ -101,6 +238,95 @@ def near_duplicate_groups(pairs: DataFrame) -> DataFrame:
     sizes = sizes.withColumn("clique", 2 * F.col("n_pairs") == F.col("n") * (F.col("n") - 1))
     return roots.join(sizes, "root").select("root", F.col("node").alias("id"), "n", "n_pairs", "clique")
 
+def merged(a: list[int], b: list[int], d: list[float]) -> list[tuple[int, int]]:
+    """(kept, merged into it) of complete linkage over edges, nearest first, ties by ids: two clusters have a distance,
+    their greatest, while all their pairs are edges. A cluster is named by its least id."""
+    near: dict[int, dict[int, float]] = {}
+    heap = []
+    for x, y, far in zip(a, b, d, strict=True):
+        x, y = min(x, y), max(x, y)
+        near.setdefault(x, {})[y] = far
+        near.setdefault(y, {})[x] = far
+        heap.append((far, x, y))
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        far, x, y = heapq.heappop(heap)
+        if near.get(x, {}).get(y) != far:
+            continue
+        out.append((x, y))
+        p, q = near.pop(x), near.pop(y)
+        for own, gone in ((p, x), (q, y)):
+            for c in own:
+                if c in near:
+                    del near[c][gone]
+        both = {c: max(p[c], q[c]) for c in p.keys() & q.keys()}
+        for c, far in both.items():
+            near[c][x] = far
+            heapq.heappush(heap, (far, min(c, x), max(c, x)))
+        near[x] = both
+    return out
+
+
+def complete_linkage(pairs: DataFrame, edges: int = EDGES) -> DataFrame:
+    """(root, id, n), one row a member of a group of several: agglomerative clusters of complete linkage, cut at the
+    distance up to which pairs (a, b, d) are given. All pairs within that distance must be there, each once; what is not
+    there is farther. root is a group's least id.
+
+    Components of few edges are merged by tasks that take about `edges` edges each. The others go in rounds, by joins:
+    clusters that are each other's nearest are merged, all at once, which gives the same groups as one after the other,
+    since a merge brings no cluster nearer; an edge to a merged cluster stays if both parts have one, and takes the greater
+    distance. Rounds end when few edges are left, which one task takes. Ties are in order of ids. There are as many rounds
+    as the longest chain of ever nearer neighbours has links."""
+    links = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("d").cast("double").alias("d")).groupBy("a", "b").agg(F.min("d").alias("d")), "links")
+    root = components(links)
+    links = saved(links.join(root, links["a"] == root["node"]).select("a", "b", "d", "root"), "rooted")
+    size = links.groupBy("root").agg(F.count(F.lit(1)).alias("n_edges")).withColumnRenamed("root", "r")
+    links = saved(links.join(size, F.col("root") == F.col("r")).select("a", "b", "d", "root", "n_edges"), "sized")
+    small = links.where(F.col("n_edges") <= edges)
+    tasks = max(1, -(-small.count() // edges))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"])
+        return pd.DataFrame(merged(pdf["a"].tolist(), pdf["b"].tolist(), pdf["d"].tolist()), columns=["a", "b"], dtype="int64")
+
+    found = [small.groupBy(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task")).applyInPandas(merge, "a long, b long")]
+    rest = saved(links.where(F.col("n_edges") > edges).select("a", "b", "d"), "rest")
+    while (left := rest.count()) > edges:
+        edge = F.struct("d", "a", "b").alias("edge")
+        near = rest.select(F.col("a").alias("x"), edge).unionByName(rest.select(F.col("b").alias("x"), edge)).groupBy("x").agg(F.min("edge").alias("edge"))
+        mutual = saved(near.groupBy("edge").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("edge.a", "edge.b"), "mutual")
+        found.append(mutual)
+        moved = mutual.select(F.col("b").alias("old"), F.col("a").alias("new")).unionByName(mutual.select(F.col("a").alias("old"), F.col("a").alias("new")))
+        for end in ("a", "b"):
+            to = moved.select(F.col("old").alias(f"_{end}"), F.col("new").alias(f"new_{end}"))
+            rest = rest.join(to, F.col(end) == F.col(f"_{end}"), "left")
+        both = lambda c: F.when(F.col(f"new_{c}").isNotNull(), 2).otherwise(1)
+        x, y = (F.coalesce(f"new_{c}", c) for c in ("a", "b"))
+        rest = rest.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "d", (both("a") * both("b")).alias("want")).where("a <> b")
+        rest = rest.groupBy("a", "b", "want").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("have")).where("have = want").select("a", "b", "d")
+        rest = saved(rest, "rest")
+    if left:
+        found.append(rest.groupBy(F.lit(0).alias("task")).applyInPandas(merge, "a long, b long"))
+    merges = found[0]
+    for more in found[1:]:
+        merges = merges.unionByName(more)
+    groups = saved(components(saved(merges, "merges")), "groups")
+    n = groups.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.join(n, F.col("root") == F.col("r")).select("root", F.col("node").alias("id"), "n")
+
+
+def vector_clusters(vectors: DataFrame, max_distance: float = 0.33, n_pivots: int | None = None) -> DataFrame:
+    """(root, id, n), one row a member of a group of several: complete linkage of vectors (id, grp, v) by cosine distance.
+    Equal vectors are one item, whose members all are in its group. Distances are rounded to nine digits."""
+    pairs, members = similar_classes(vectors, 1 - max_distance, False, n_pivots)
+    members = saved(members, "members")
+    groups = complete_linkage(pairs.select("a", "b", F.round(1 - F.col("cos"), 9).alias("d")))
+    of = members.join(groups.select(F.col("id").alias("_i"), "root"), F.col("class") == F.col("_i"), "left")
+    of = of.select(F.coalesce("root", "class").alias("root"), "id")
+    n = of.groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return of.join(n, F.col("root") == F.col("_r")).select("root", "id", "n")
+
 
 def cluster_stats(groups: DataFrame, n_items: int, kinds: DataFrame) -> DataFrame:
     """(size, n, cross, compression) of groups (root, id, n): group sizes, how many span several kinds (id, grp), and the

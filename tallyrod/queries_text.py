@@ -680,12 +680,26 @@ def similarity_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.similarity_percentiles(_vectors(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+@query(f"""with recursive {_VEC}, e as (select a, b from p where cos >= 0.35), w as (select a as x, b as y from e union select b, a from e),
+r as (select x, y from w union select r.x, w.y from r join w on r.y = w.x), c as (select x as id, least(x, min(y)) as root from r group by 1),
+k as (select root, count(*) as n from c group by 1), m as (select root, count(*) as n_pairs from e join c on e.a = c.id group by 1)
+select root, id, n, n_pairs, 2 * n_pairs = n * (n - 1) as clique from c join k using (root) join m using (root)""")
+def vector_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.near_duplicate_groups(S.similar_pairs(_vectors(spark, sf_dir), 0.35))
+
+
+@query(f"with {_VEC} select a, b, round(cos, 6) as cos from p where cos >= 0.4")
+def similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes; the given vectors all differ, so classes are rows."""
+    return S.similar_classes(_vectors(spark, sf_dir), 0.4)[0].withColumn("cos", F.round("cos", 6))
+
+
 @query()
 def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.near_duplicate_groups(S.similar_pairs(_vectors(spark, sf_dir), 0.35))
+    return S.vector_clusters(_vectors(spark, sf_dir), 0.65)
 
 
 @query()
 def vector_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return S.cluster_stats(S.near_duplicate_groups(S.similar_pairs(v, 0.35)), v.count(), v.select("id", "grp"))
+    return S.cluster_stats(S.vector_clusters(v, 0.65), v.count(), v.select("id", "grp"))
