@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import BANDS, case_by_thresholds, negated_before
+from ..sources.shared import saved
 from .graph import evidence_tier
 from .setmetrics import set_prf
 
@@ -35,16 +36,47 @@ def negation_guard(text: Column, pattern: str, negations: Sequence[str], window:
     return ~negated_before(text, pattern, negations, window)
 
 
-def apply_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
+#: Up to so many rules each document is held against each; beyond that rules are found by an index. Entries of the index
+#: that are broadcast, a few hundred bytes each.
+FEW_RULES, BROADCAST_ENTRIES = 64, 100_000
+
+
+def apply_rules(features: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
     """(doc, rule_id, dimension, priority, severity, message): rules one of whose triggers any_of (if any are given) and
-    all of whose all_of are present, and none of none_of. The rule table is small and goes to every task."""
-    rows = features.crossJoin(F.broadcast(rules))
+    all of whose all_of are present, and none of none_of. A few rules go to every task; many are found by `candidates`."""
+    rows = features.crossJoin(F.broadcast(rules)) if rules.limit(few + 1).count() <= few else candidates(features, rules)
     some = (F.size("any_of") == 0) | F.arrays_overlap("features", "any_of")
     every = F.size(F.array_except("all_of", "features")) == 0
     rows = rows.where(some & every & ~F.arrays_overlap("features", "none_of"))
     return rows.select("doc", "rule_id", "dimension", F.coalesce("priority", F.lit(DEFAULT_PRIORITY)).alias("priority"), F.coalesce("severity", F.lit(DEFAULT_SEVERITY)).alias("severity"), "message")
 
 
+def candidates(features: DataFrame, rules: DataFrame, most: int = BROADCAST_ENTRIES) -> DataFrame:
+    """Documents beside the rules that they may meet, each pair once: an index names each rule under the one of its all_of
+    that the fewest documents have, or, if it has none, under each of its any_of. So pairs are in proportion to the
+    documents that have a rule's rarest feature. Rules without a positive condition meet every document, as they may
+    fire on any. The features are written once. Up to `most` entries of the index are broadcast; beyond that documents and
+    rules are joined by feature."""
+    features = saved(features.select("doc", F.array_distinct("features").alias("features")), "features")
+    numbered = saved(rules.withColumn("_rule", F.monotonically_increasing_id()), "rules")
+    each = features.select(F.explode("features").alias("feature"))
+    frequency = each.groupBy("feature").agg(F.count(F.lit(1)).alias("docs"))
+    needed = numbered.where(F.size("all_of") > 0).select("_rule", F.explode("all_of").alias("feature"))
+    rarest = needed.join(frequency, "feature", "left").groupBy("_rule").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "feature"))["feature"].alias("feature"))
+    any_ = numbered.where((F.size("all_of") == 0) & (F.size("any_of") > 0)).select("_rule", F.explode(F.array_distinct("any_of")).alias("feature"))
+    entries = saved(rarest.unionByName(any_).join(numbered, "_rule").withColumnRenamed("feature", "_feature"), "index")
+    n = entries.count()
+    free = numbered.where((F.size("all_of") == 0) & (F.size("any_of") == 0))
+    # Of the any_of of a rule a document may have several: the first of them in its list counts.
+    first = F.array_intersect("features", "any_of")
+    found = features.withColumn("_f", F.explode("features")).join(F.broadcast(entries) if n <= most else entries, F.col("_f") == F.col("_feature"))
+    found = found.where((F.size("all_of") > 0) | (F.col("_f") == F.get(first, F.lit(0)))).drop("_f", "_feature")
+    out = found.select("doc", "features", *rules.columns)
+    if free.limit(1).count():
+        out = out.unionByName(features.crossJoin(F.broadcast(free)).select("doc", "features", *rules.columns))
+    return out
+
+
 def apply_compound_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of rules with all_of, one row each, with `dimensions`: the rule's list of contributing ones."""
     found = apply_rules(features, rules.where(F.size("all_of") > 0))

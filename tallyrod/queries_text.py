@@ -660,6 +660,24 @@ def unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.unfilled_fields(rows.withColumn("section", F.left("section", F.lit(20))), "tion")
 
 
+@query("""with d as (select l_orderkey as doc, list_distinct(list(distinct 's' || (l_suppkey % 18)) || list(distinct 'r' || l_returnflag) || list(distinct 'p' || (l_partkey % 100))) as f from lineitem group by 1),
+r as (select 'part ' || p_partkey as rule_id, p_brand as dimension, case when p_size > 40 then null else p_size end as priority, case when p_partkey % 4 = 0 then ['rA', 'rN'] else [] end as a, case when p_partkey % 4 = 0 then [] else ['p' || (p_partkey % 100), 's' || (p_size % 18)] end as e,
+  case when p_partkey % 4 = 0 then ['p' || (p_size * 2), 's0', 's1', 's2', 's3', 's4', 's5', 's6', 's7', 's8', 's9'] else ['rR'] end as n from part)
+select doc, rule_id, dimension, coalesce(priority, 99)::int as priority, 'Violation' as severity, rule_id as message from d, r where (len(a) = 0 or list_has_any(f, a)) and list_has_all(f, e) and not list_has_any(f, n)""")
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rules as parts, over the features of orders."""
+    line, part = M.read(spark, sf_dir, "lineitem", "part")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    features = line.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_union(F.array_union(F.collect_set(name("s", F.col("l_suppkey") % 18)), F.collect_set(name("r", F.col("l_returnflag")))), F.collect_set(name("p", F.col("l_partkey") % 100))).alias("features"))
+    fourth, none = F.col("p_partkey") % 4 == 0, F.array().cast("array<string>")
+    rules = part.select(
+        name("part ", F.col("p_partkey")).alias("rule_id"), F.col("p_brand").alias("dimension"), F.when(F.col("p_size") <= 40, F.col("p_size")).cast("int").alias("priority"), F.lit(None).cast("string").alias("severity"),
+        F.when(fourth, F.array(F.lit("rA"), F.lit("rN"))).otherwise(none).alias("any_of"), F.when(fourth, none).otherwise(F.array(name("p", F.col("p_partkey") % 100), name("s", F.col("p_size") % 18))).alias("all_of"),
+        F.when(fourth, F.array(name("p", F.col("p_size") * 2), *(F.lit(f"s{k}") for k in range(10)))).otherwise(F.array(F.lit("rR"))).alias("none_of"), name("part ", F.col("p_partkey")).alias("message"),
+    )
+    return R.apply_rules(features, rules)
+
+
 # Vectors
 
 _VEC = "v as (select vec_id as id, label as grp, list_transform(embedding, lambda x: x::double) as e from embeddings), p as (select x.id as a, y.id as b, x.grp as ga, y.grp as gb, list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) as cos from v x join v y on x.id < y.id)"
