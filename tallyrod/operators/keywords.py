@@ -104,7 +104,7 @@ class Scanner:
         return -1 if unicodedata.category(bytes(raw[a:p]).decode("utf-8", "replace"))[0] in "LN" else a
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], "int64", n + 1, texts.offset * 8) if n else np.zeros(1, "int64")
@@ -144,7 +144,7 @@ def counted(docs: DataFrame, keywords: Sequence[str], doc: str = "doc_id", text:
         known = pa.array(keywords, pa.string())
         kinds = pa.struct([("keyword", pa.string()), ("n", pa.int32())])
         for b in batches:
-            data, offsets = _buffers(b.column("__t"))
+            data, offsets = text_buffers(b.column("__t"))
             hits = scanner[0].count(data, offsets)
             keys = np.array(sorted(hits), "int64").reshape(-1, 2)
             ends = np.searchsorted(keys[:, 0], np.arange(b.num_rows + 1)).astype("int32")

@@ -1,4 +1,4 @@
-"""Keyword lists and ranking formulas over texts. Lexicons, patterns and stop lists are arguments."""
+"""Keyword lists and ranks over texts. Lexicons, patterns and stop lists are arguments."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, case_by_thresholds, contains_ci, smoothed_idf, tokens
-from ..sources.shared import saved
 from .graph import ranked, top_k_per_doc
 from .keywords import counted
 
@@ -165,36 +164,6 @@ def term_counts(docs: DataFrame, id_col: str, text: str, pattern: str, stop: Seq
     return rows.groupBy("doc", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, n_docs: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """(query, doc, score) of term tables; n_docs: one row (n, avg_len) of the corpus. Negative idf becomes `floor` times
-    the mean idf. The corpus's counts are written once and read by each step; terms that queries lack are dropped by the
-    scan's side of the join."""
-    corpus = saved(corpus, "terms")
-    df = corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(n_docs)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    wanted = queries.select(F.col("doc").alias("query"), "term", F.col("tf").alias("qtf"))
-    terms = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"), "avg_len")
-    terms = terms.join(wanted.select("term").distinct(), "term", "left_semi")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = corpus.join(terms, "term").select("doc", "term", part.alias("part"))
-    return hits.join(wanted, "term").groupBy("query", "doc").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
-
-
-def tfidf_cosine(queries: DataFrame, corpus: DataFrame, n: DataFrame) -> DataFrame:
-    """(query, doc, score): cosine of tf times smooth idf; terms outside the corpus are dropped from queries. n: one row (n)."""
-    corpus = saved(corpus, "terms")
-    idf = corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", smoothed_idf(F.col("df"), F.col("n")).alias("idf"))
-
-    def weighted(rows: DataFrame) -> DataFrame:
-        x = rows.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
-        norm = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return x.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-    a = weighted(queries).select(F.col("doc").alias("query"), "term", F.col("w").alias("wq"))
-    return a.join(weighted(corpus), "term").groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
-
-
 def rank_results(scores: DataFrame, digits: int = 9) -> DataFrame:
     """Adds rank within a query: by falling score (rounded, so that sums in another order rank alike), ties by doc."""
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", digits)), "doc")))

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import graph as G
 from .operators import lexicon as L
+from .operators import postings as P
 from .operators import reports as D
 from .operators import rules as R
 from .operators import similarity as S
+from .operators.passages import find_passages
 from .plans import mirror as M
 from .plans.retrieval import retrieve as retrieve_plan
 from .plans.retrieval import retrieve_all as retrieve_all_plan
 from .registry import query
 from .sources import tables as X
+from .sources.shared import saved
 
 KEYS = [k for k, _, _ in M.LEXICON]
 
@@ -479,8 +482,7 @@ s as (select query, doc, sum(f.idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len /
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = M.read(spark, sf_dir, "documents", "benchmark")
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avg_len"))
-    return L.rank_results(L.bm25(L.term_counts(b, "item_id", "text", "[a-z]+"), L.term_counts(d, "doc_id", "text", "[a-z]+"), stats))
+    return L.rank_results(P.bm25(L.term_counts(b, "item_id", "text", "[a-z]+"), P.build(d, "doc_id", "text")))
 
 
 @query(f"with {_BM} select query, doc, round(score, 6) as score, rank::int as rank from r where rank <= 10")
@@ -491,13 +493,9 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_BM}, e as (select item_id as query, doc_id as doc from benchmark b join documents d on contains(d.text, b.text)), h as (select e.query, rank, (select count(*) from e e2 where e2.query = e.query) as size from e left join r using (query, doc)),
 p as (select query, unnest([10, 25, 50, 100, 0]) as k, unnest([count(*) filter (rank <= 10) / count(*), count(*) filter (rank <= 25) / count(*), count(*) filter (rank <= 50) / count(*), count(*) filter (rank <= 100) / count(*), count(*) filter (rank <= size) / count(*)]) as v from h group by query) select k, avg(v) as recall from p group by 1""")
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage, found by hashed 8-word starts and then checked, against the BM25 ranks."""
+    """Documents that hold a benchmark passage, against the BM25 ranks."""
     d, b = M.read(spark, sf_dir, "documents", "benchmark")
-    first = lambda t: F.split(t, "\\s+")
-    keys = b.select(F.col("item_id").alias("query"), F.col("text").alias("passage"), F.array_join(F.slice(first(F.col("text")), 2, 6), " ").alias("key"))
-    w = d.select(F.col("doc_id").alias("doc"), "text", first(F.col("text")).alias("w"))
-    grams = w.select("doc", "text", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.array_join(F.slice("w", i + 1, 6), " ")))).alias("key"))
-    expected = grams.join(F.broadcast(keys), "key").where(F.col("text").contains(F.col("passage"))).select("query", "doc").distinct()
+    expected = saved(find_passages(d, b.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))), "expected")
     sizes = expected.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
     return L.recall_at_k(_bm25(spark, sf_dir), expected, [10, 25, 50, 100], sizes)
 
@@ -509,7 +507,7 @@ cn as (select doc, sqrt(sum(w * w)) as n from cw group by 1), qn as (select quer
 select query, doc, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from s) where rank <= 10""")
 def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = M.read(spark, sf_dir, "documents", "benchmark")
-    s = L.tfidf_cosine(L.term_counts(b, "item_id", "text", "[a-z][a-z]+", _STOP), L.term_counts(d, "doc_id", "text", "[a-z][a-z]+", _STOP), d.agg(F.count(F.lit(1)).alias("n")))
+    s = P.tfidf_cosine(L.term_counts(b, "item_id", "text", "[a-z][a-z]+", _STOP), P.build(d, "doc_id", "text", "[a-z][a-z]+", _STOP))
     return L.rank_results(s).where("rank <= 10").withColumn("score", F.round("score", 6))
 
 

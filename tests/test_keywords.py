@@ -18,7 +18,7 @@ def brute(text, keyword):
 
 
 def scanned(keywords, texts):
-    data, offsets = K._buffers(pa.array(texts, pa.string()))
+    data, offsets = K.text_buffers(pa.array(texts, pa.string()))
     return K.Scanner(keywords).count(data, offsets), K._word_counts(data, offsets)
 
 
