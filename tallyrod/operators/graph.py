@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+
 
 def star(triples: DataFrame, type_: str, props: Mapping[str, bool], type_p: str = "type") -> DataFrame:
     """One row a subject of that type with a column for each property: the least value of a single one, a sorted array of
@@ -52,18 +54,39 @@ def duplicate_keys(df: DataFrame, id_col: str, subject: str) -> DataFrame:
 
 
 def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
-    """(node, ancestor) over edges (child, parent), each node itself included. Paths double in length each round; fails
-    loudly where a cycle or depth keeps it from settling. Hierarchies are small next to the data they classify."""
+    """(node, ancestor) over edges (child, parent), each node itself included. Round k knows the paths of up to 2**k edges
+    and those of just so many; the latter, one a node in a tree, are joined to the former, which gives only paths that are
+    longer, so each round makes new rows and no round makes one again, but where several ways lead to an ancestor. Rounds
+    are as many as doublings of the depth; each is written to the shared folder, which ends its lineage, and nothing is
+    held in memory. A cycle, whose paths never end, is an error. The rows are nodes times depth: `ancestors_of` makes only
+    those of some nodes."""
+    edges = saved(edges.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct(), "edges")
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
-    paths = nodes.select("node", F.col("node").alias("ancestor")).unionByName(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))).distinct().persist()
-    n = paths.count()
+    leap = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+    known = saved(nodes.select("node", F.col("node").alias("ancestor")).unionByName(leap).distinct(), "paths")
+    for _ in range(most_rounds):
+        first = leap.select("node", F.col("ancestor").alias("mid"))
+        longer = first.join(known.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor")
+        leap = saved(first.join(leap.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").distinct(), "leaps")
+        if not leap.limit(1).count():
+            return known.unionByName(longer).distinct()
+        known = saved(known.unionByName(longer).distinct(), "paths")
+    raise RuntimeError(f"closure did not settle in {most_rounds} rounds: there is a cycle")
+
+
+def ancestors_of(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(node, ancestor) for some nodes (node) only, each itself included: a step a round, which joins the ends that the
+    round before has added. For a few nodes of a large hierarchy; a cycle's nodes are each other's ancestors."""
+    edges = saved(edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("up")).distinct(), "edges")
+    new = saved(nodes.select("node", F.col("node").alias("ancestor")).distinct(), "ends")
+    known = new
     for _ in range(most_rounds):
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor").distinct().persist()
-        m = longer.count()
-        if m == n:
-            return longer
-        paths, n = longer, m
-    raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
+        step = new.join(edges, "ancestor").select("node", F.col("up").alias("ancestor")).distinct()
+        new = saved(step.join(known, ["node", "ancestor"], "left_anti"), "ends")
+        if not new.limit(1).count():
+            return known
+        known = saved(known.unionByName(new), "known")
+    raise RuntimeError(f"ancestors did not settle in {most_rounds} rounds")
 
 
 def inherit_type(instances: DataFrame, closed: DataFrame) -> DataFrame:
@@ -207,13 +230,46 @@ def last_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
     return last.select(*key, *(F.col(f"_x.{c}").alias(c) for c in [*order, *rest]))
 
 
-def upper_median(df: DataFrame, col: str, part: Sequence[str] = ()) -> DataFrame:
-    """(part, value): the element at place n div 2, counting from 0, of the sorted values."""
-    # Equal values are counted first, so the window holds a row a distinct value.
-    n = df.where(F.col(col).isNotNull()).groupBy(*part, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*(part or [F.lit(1)]))
-    n = n.withColumns({"_to": F.sum("_n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "_i": F.floor(F.sum("_n").over(w) / 2)})
-    return n.where((F.col("_to") - F.col("_n") <= F.col("_i")) & (F.col("_i") < F.col("_to"))).select(*part, "value")
+#: Distinct values that one task sorts; ranges that are counted at once.
+SORTED, RANGES = 100_000, 64
+
+
+def upper_median(df: DataFrame, col: str, part: Sequence[str] = (), most: int = SORTED) -> DataFrame:
+    """(part, value): the element at place n div 2, counting from 0, of the sorted values. Equal values are counted first.
+    With parts, a part's distinct values meet in a window; without, see `element_at_place`."""
+    rows = df.where(F.col(col).isNotNull()).groupBy(*part, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+    if not part:
+        rows = saved(rows, "values")
+        total = rows.agg(F.sum("_n")).first()[0] or 0
+        return element_at_place(rows, total // 2, most)
+    w = W.partitionBy(*part)
+    rows = rows.withColumns({"_to": F.sum("_n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "_i": F.floor(F.sum("_n").over(w) / 2)})
+    return rows.where((F.col("_to") - F.col("_n") <= F.col("_i")) & (F.col("_i") < F.col("_to"))).select(*part, "value")
+
+
+def element_at_place(values: DataFrame, place: int, most: int = SORTED) -> DataFrame:
+    """(value), one row, or none if there are too few: the element at a place, from 0, of the sorted values (value, _n),
+    each distinct and with its count. RANGES splitters are drawn by a hash, a count of each range is taken, and only the
+    range that holds the place goes on, until it has at most `most` values, which one task sorts. The driver gets the
+    splitters and the counts."""
+    while values.limit(most + 1).count() > most:
+        drawn = values.select("value").orderBy(F.xxhash64("value"), "value").limit(RANGES - 1)
+        cuts = [r[0] for r in drawn.orderBy("value").collect()]
+        # A value's range is the number of splitters up to it.
+        number = lambda v: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= v))
+        counts = {r["r"]: r["n"] for r in values.groupBy(number(F.col("value")).alias("r")).agg(F.sum("_n").alias("n")).collect()}
+        for r in sorted(counts):
+            if place < counts[r]:
+                break
+            place -= counts[r]
+        else:
+            return values.where("false").select("value")
+        if r:
+            values = values.where(F.col("value") >= F.lit(cuts[r - 1]))
+        if r < len(cuts):
+            values = values.where(F.col("value") < F.lit(cuts[r]))
+    to = F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("value").rowsBetween(W.unboundedPreceding, 0))  # `most` rows
+    return values.withColumn("_to", to).where((F.col("_to") - F.col("_n") <= place) & (F.col("_to") > place)).select("value")
 
 
 def order_stat_ci(replicates: DataFrame, col: str, part: Sequence[str] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:

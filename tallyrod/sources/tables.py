@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,9 +80,25 @@ def read_template(spark: SparkSession, template: Mapping[str, Sequence[tuple[str
 
 
 def scan_sections(docs: DataFrame, doc: str, text: str, mark: str = "## ") -> DataFrame:
-    """(doc, pos, section, line): each line with the last heading at or above it. A window over a document's lines."""
-    lines = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return carry_forward(lines.withColumn("section", F.when(F.col("line").startswith(mark), F.expr(f"substring(line, {len(mark) + 1})"))), "section", "doc", "pos").select("doc", "pos", "section", "line")
+    """(doc, pos, section, line): each line with the last heading at or above it. One walk over a text's lines inside its
+    row, so nothing is shuffled and a stream can be read as well. A null text has no lines."""
+    own = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, at, heads, lines = [], [], [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                head = None
+                for pos, line in enumerate([] if t is None else t.split("\n")):
+                    if line.startswith(mark):
+                        head = line[len(mark) :]
+                    rows.append(i)
+                    at.append(pos)
+                    heads.append(head)
+                    lines.append(line)
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(heads, pa.string()), pa.array(lines, pa.string())], names=["doc", "pos", "section", "line"])
+
+    return own.mapInArrow(run, f"doc {own.schema['doc'].dataType.simpleString()}, pos int, section string, line string")
 
 
 def carry_forward(df: DataFrame, col: str, part: str, order: str) -> DataFrame:
