@@ -72,3 +72,27 @@ def small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     (e,) = M.read(spark, sf_dir, "events")
     return R.evidence_priority(e, "event_type", "user_id")
+
+
+@query("""select n_nationkey as nation, n_name as name, (select list(distinct c_mktsegment order by c_mktsegment) from customer where c_nationkey = n_nationkey) as risks from nation where n_nationkey % 7 <> 3 and n_nationkey in (select c_nationkey from customer)""")
+def assessments_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document a nation, of which some failed, written and read again."""
+    n, c = M.read(spark, sf_dir, "nation", "customer")
+    risks = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("risks"))
+    rows = n.join(risks, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    failed = F.when(F.pmod("n_nationkey", F.lit(7)) == 3, F.lit("timed out"))
+    rows = rows.select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"), F.struct(F.col("risks").alias("identified_risks"), failed.alias("error")).alias("assessment"))
+    path = f"{shared_dir(spark)}/assessments"
+    rows.select(F.col("nation").alias("file"), F.to_json(F.struct("nation", "name", "assessment")).alias("value")).write.partitionBy("file").text(path)
+    schema = "nation int, name string, assessment struct<identified_risks: array<string>, error: string>"
+    return X.read_assessments(spark, f"{path}/*", schema, name_glob="*.txt").select("nation", "name", F.col("assessment.identified_risks").alias("risks"))
+
+
+@query("select doc_id, quality, toxic from labels")
+def annotations_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels as JSON arrays in files, read again, with a least number of them."""
+    (lab,) = M.read(spark, sf_dir, "labels")
+    rows = lab.groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "quality", "toxic"))).alias("value"))
+    path = f"{shared_dir(spark)}/annotations"
+    rows.write.partitionBy("part").text(path)
+    return X.read_annotations(spark, f"{path}/*", 1, "doc_id long, quality int, toxic int")

@@ -295,7 +295,15 @@ def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.headline_test(M.annotations(spark, sf_dir), REPS, (1, 2))
 
 
-@query()
+_HELD = """o{x} as ({cells}), t{x} as (select {keys}, a, b, sum(n) as t from o{x} group by all), i{x} as (select distinct item as out from o{x}),
+h{x} as (select * from (select i{x}.out, h.* exclude (t), t - coalesce(n, 0) as n from i{x} cross join t{x} h left join o{x} o on o.item = i{x}.out and {on} and h.a = o.a and h.b = o.b) where n > 0)"""
+
+
+@query(f"""with {_CELLS}, {_HELD.format(x="w", cells="select item, sa as stratum, ra as a_run, rb as b_run, a, b, count(*) as n from pr where sa = sb group by all", keys="stratum, a_run, b_run", on="h.stratum = o.stratum and h.a_run = o.a_run and h.b_run = o.b_run")},
+{_HELD.format(x="x", cells="select item, sa as a_stratum, sb as b_stratum, a, b, count(*) as n from pr where ra = 1 and rb = 1 and sa < sb group by all", keys="a_stratum, b_stratum", on="h.a_stratum = o.a_stratum and h.b_stratum = o.b_stratum")},
+{M.kappa_sql("kw", "select out, stratum, a_run, b_run, a, b, n from hw", "out, stratum, a_run, b_run")}, {M.kappa_sql("kx", "select out, a_stratum, b_stratum, a, b, n from hx", "out, a_stratum, b_stratum")},
+pw as (select out, avg(mean) as within, max(mean) as ceiling from (select out, stratum, avg(kappa) as mean from kw group by all) group by 1), px as (select out, avg(kappa) as m from kx group by 1)
+select 'within' as measure, min(within) as least, max(within) as most from pw union all select 'cross', min(m), max(m) from px union all select 'ceiling', min(ceiling), max(ceiling) from pw""")
 def held_out_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.leave_one_out(M.annotations(spark, sf_dir))
 
@@ -311,17 +319,23 @@ def specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.spec_curve(M.annotations(spark, sf_dir), *M.assessor_labels(spark, sf_dir), _STRATA, _RUNS)
 
 
-@query()
+@query(f"""with c as ({ORACLE['specifications']}) select stat, count(*) as specs, count(*) filter (n_discriminable = 0) as "none", avg((n_discriminable = 0)::int) as share_none from c group by 1""")
 def specification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.spec_summary(specifications(spark, sf_dir))
 
 
-@query()
+@query(f"""with {ANN}, {_REF}, h as (select *, case when item % 2 = 0 then 'even' else 'odd' end as half from ann union all select *, 'full' from ann),
+{M.kappa_sql("w", "select x.half, x.stratum, x.run as a_run, y.run as b_run, x.label as a, y.label as b, count(*) as n from h x join h y on x.half = y.half and x.item = y.item and x.stratum = y.stratum and x.rater < y.rater group by all", "half, stratum, a_run, b_run")},
+c as (select half, max(m) as ceiling, 1 - max(m) as noise_band from (select half, stratum, avg(kappa) as m from w group by all) group by 1), lh as (select *, case when item % 2 = 0 then 'even' else 'odd' end as half from lab join ref using (item) union all select *, 'full' from lab join ref using (item)),
+{M.kappa_sql("lk", "select half, assessor, label as a, ref_label as b, count(*) as n from lh group by all", "half, assessor")}, g as (select x.half, abs(x.kappa - y.kappa) as gap from lk x join lk y on x.half = y.half and x.assessor < y.assessor)
+select half, ceiling, noise_band, count(*) filter (gap >= noise_band) as n_discriminable from c left join g using (half) group by all""")
 def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.split_half(M.annotations(spark, sf_dir), *M.assessor_labels(spark, sf_dir), F.when(F.pmod("item", F.lit(2)) == 0, "even").otherwise("odd"))
 
 
-@query()
+@query(f"""with {_CELLS}, q as (select *, case when item % 2 = 0 then 'a' else 'b' end as corpus from pr), {M.kappa_sql("w", _W.replace("select sa", "select corpus, sa").replace("from pr", "from q"), "corpus, stratum, a_run, b_run")},
+{M.kappa_sql("x", _X.replace("select sa", "select corpus, sa").replace("from pr", "from q"), "corpus, a_stratum, b_stratum")}, m as (select corpus, avg(m) as within, max(m) as ceiling from (select corpus, stratum, avg(kappa) as m from w group by all) group by 1), c as (select corpus, avg(kappa) as "cross" from x group by 1)
+select corpus, within, "cross", ceiling, within - first_value(within) over (order by corpus) as within_diff, "cross" - first_value("cross") over (order by corpus) as cross_diff from m join c using (corpus)""")
 def replication(spark: SparkSession, sf_dir: str) -> DataFrame:
     ann = M.annotations(spark, sf_dir)
     return A.replicate(ann.where(F.pmod("item", F.lit(2)) == 0), ann.where(F.pmod("item", F.lit(2)) == 1))
@@ -359,11 +373,13 @@ def recovery_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.is_monotone(recovery(spark, sf_dir))
 
 
-@query()
+@query(f"""with {ANN}, s as (select count(*) filter (b.label = a.label and c.label <> a.label) as only_a, count(*) filter (b.label <> a.label and c.label = a.label) as only_b from ann a join ann b using (item) join ann c using (item) where a.rater = 1 and b.rater = 2 and c.rater = 3),
+n as (select *, only_a + only_b as n, least(only_a, only_b) as k from s), i as (select *, unnest(range(0, k + 1)) as i from n)
+select only_a, only_b, round(case when n = 0 then 1.0 else least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) end, 9) as p from i group by only_a, only_b, n""")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     ann = M.annotations(spark, sf_dir)
     of = lambda r: ann.where(F.col("rater") == r).select("item", F.col("label").alias(f"l{r}"))
-    return A.mcnemar_exact(of(1).join(of(2), "item").join(of(3), "item"), "l2", "l3", "l1")
+    return A.mcnemar_exact(of(1).join(of(2), "item").join(of(3), "item"), "l2", "l3", "l1").withColumn("p", F.round("p", 9))
 
 
 # Variants, runs and properties
@@ -425,7 +441,9 @@ def clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.score_means(e.select(F.col("event_type").alias("assessor"), F.when(F.pmod("user_id", F.lit(7)) != 0, F.col("value") / 20).alias("score")))
 
 
-@query()
+@query("""with p as (select event_type as assessor, avg((value > 50)::int) as stability, avg((value > 20)::int) as trace, avg((user_id % 3 = 0)::int) as collateral, avg(greatest(1.0, least(5.0, coalesce(value / 20, 3.0)))) as clarity from events group by 1),
+f as (select *, max(stability) over () - min(stability) over () < 0.05 as flat_stability, max(trace) over () - min(trace) over () < 0.05 as flat_trace, max(clarity) over () - min(clarity) over () < 1 as flat_clarity, max(collateral) over () - min(collateral) over () < 0.3 as flat_collateral from p)
+select *, flat_stability and flat_trace as degenerate from f""")
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     (e,) = M.read(spark, sf_dir, "events")
     per = e.groupBy(F.col("event_type").alias("assessor"))
