@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import divergence_note, kappa_band, spearman_brown
+from ..sources.shared import saved
 from .graph import average_rank, most_common, order_stat_ci, upper_median
 from .setmetrics import nan_to_null
 
@@ -309,22 +310,35 @@ def quadrants(ann: DataFrame, cut: float = 3) -> DataFrame:
 
 
 def leave_one_out(ann: DataFrame) -> DataFrame:
-    """(measure, least, most) of within, cross and ceiling when one item is held out: totals less the item's own cells,
-    once for each pattern of cells that items have. Totals are a row a cell: few, whatever the number of items."""
-
-    def held(pairs: DataFrame, keys: Sequence[str], then: Sequence[str]) -> DataFrame:
-        own = item_cells(pairs, keys)
-        all_ = own.groupBy(*keys, "a", "b").agg(F.sum("n").alias("t"))
-        some = patterns(own).select(F.col("pattern").alias("out"), "rows")
-        rows = some.select("out").crossJoin(F.broadcast(all_)).join(some.select("out", F.inline("rows")), ["out", *keys, "a", "b"], "left")
-        rows = rows.select("out", *keys, "a", "b", (F.col("t") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
-        k = cohen_kappa(rows, ["out", *keys])
-        return k.groupBy("out", *then).agg(F.avg(nan_to_null("kappa")).alias("mean"))
-
-    w = held(within_pairs(ann).withColumn("stratum", F.col("a_stratum")), ["stratum", "a_run", "b_run"], ["stratum"])
-    c = held(cross_pairs(ann), ["a_stratum", "b_stratum"], [])
+    """(measure, least, most) of within, cross and ceiling when one item is held out, once for each pattern of cells that
+    items have. Kappa's sums change only by the pattern's own cells, so a pattern joins the margins of its own labels and
+    the sums of its own groups; groups that it has no cells in keep their kappa. The driver gets a mean a stratum."""
+
+    def held(pairs: DataFrame, keys: Sequence[str], then: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """((out, then, mean) where something changes, (then, mean) of all items)."""
+        own = saved(item_cells(pairs, keys), "cells")
+        all_ = saved(own.groupBy(*keys, "a", "b").agg(F.sum("n").alias("n")), "totals")
+        ends = lambda rows, *more: rows.select(*more, *keys, F.inline(F.array(*(F.struct(F.col(c).alias("label"), *((F.col("n") if c == d else F.lit(0)).cast("double").alias(x) for d, x in (("a", "x"), ("b", "y"))), F.when((F.col("a") == F.col("b")) & F.lit(c == "a"), F.col("n")).otherwise(0).cast("double").alias("same")) for c in "ab"))))
+        margins = ends(all_).groupBy(*keys, "label").agg(F.sum("x").alias("all_x"), F.sum("y").alias("all_y"))
+        base = _sums(all_, keys).withColumn("old", nan_to_null(_kappa()))
+        less = ends(patterns(own).select(F.col("pattern").alias("out"), F.inline("rows")), "out").groupBy("out", *keys, "label").agg(*(F.sum(c).alias(c) for c in ("x", "y", "same")))
+        less = less.join(margins, [*keys, "label"]).groupBy("out", *keys).agg(F.sum("x").alias("t"), F.sum("same").alias("s"), F.sum(F.col("x") * F.col("all_y") + F.col("y") * F.col("all_x") - F.col("x") * F.col("y")).alias("c"))
+        new = less.join(base, list(keys)).select("out", *keys, "old", (F.col("total") - F.col("t")).alias("total"), (F.col("agree") - F.col("s")).alias("agree"), (F.col("xy") - F.col("c")).alias("xy"))
+        new = new.withColumn("new", nan_to_null(_kappa()))
+        changed = new.groupBy("out", *then).agg((F.coalesce(F.sum("new"), F.lit(0.0)) - F.coalesce(F.sum("old"), F.lit(0.0))).alias("more"), (F.count("new") - F.count("old")).alias("more_n"))
+        whole = base.groupBy(*then).agg(F.coalesce(F.sum("old"), F.lit(0.0)).alias("sum"), F.count("old").alias("n"))
+        both = changed.join(whole, list(then)) if then else changed.withColumns({c: F.lit(v) for c, v in whole.first().asDict().items()})
+        n = F.col("n") + F.col("more_n")
+        return both.select("out", *then, F.when(n > 0, (F.col("sum") + F.col("more")) / n).alias("mean")), whole.select(*then, F.when(F.col("n") > 0, F.col("sum") / F.col("n")).alias("mean"))
+
+    w, strata = held(within_pairs(ann).withColumn("stratum", F.col("a_stratum")), ["stratum", "a_run", "b_run"], ["stratum"])
+    c, _ = held(cross_pairs(ann), ["a_stratum", "b_stratum"], [])
     ends = lambda d, v, name: d.agg(F.min(v).alias("least"), F.max(v).alias("most")).select(F.lit(name).alias("measure"), "least", "most")
-    per = w.groupBy("out").agg(F.avg("mean").alias("within"), F.max("mean").alias("ceiling"))
+    kept = [x for r in strata.collect() if r["mean"] is not None for x in (F.lit(r["stratum"]), F.lit(r["mean"]))]
+    changed = w.groupBy("out").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "mean"))).alias("changed"))
+    rest = F.map_values(F.map_filter(F.create_map(*kept), lambda k, _: ~F.map_contains_key("changed", k))) if kept else F.array().cast("array<double>")
+    means = F.filter(F.concat(rest, F.map_values("changed")), lambda x: x.isNotNull())
+    per = changed.select("out", means.alias("m")).select("out", F.when(F.size("m") > 0, F.aggregate("m", F.lit(0.0), lambda a, x: a + x) / F.size("m")).alias("within"), F.array_max("m").alias("ceiling"))
     return ends(per, "within", "within").unionByName(ends(c, "mean", "cross")).unionByName(ends(per, "ceiling", "ceiling"))
 
 

@@ -73,9 +73,14 @@ def test_mcnemar(spark):
 def test_leave_one_out_equals_reruns(spark):
     data = [(i, r, 1 if r <= 3 else 2, (r - 1) % 3 + 1, "xyz"[(i * r + i // 3) % 3]) for i in range(9) for r in range(1, 7)]
     ann = spark.createDataFrame(data, "item int, rater int, stratum int, run int, label string")
-    each = [A.overall(A.within_stratum(ann.where(F.col("item") != i))).first()[0] for i in range(9)]
+    data += [(20, 1, 1, 1, "x"), (20, 2, 1, 2, "w"), (21, 4, 2, 1, "x"), (21, 5, 2, 2, "x"), (22, 1, 1, 1, "z")]  # few pairs, a label of their own
+    ann = spark.createDataFrame(data, "item int, rater int, stratum int, run int, label string")
     got = {r["measure"]: (r["least"], r["most"]) for r in A.leave_one_out(ann).collect()}
-    assert got["within"] == (pytest.approx(min(each)), pytest.approx(max(each)))
+    left = lambda i: ann.where(F.col("item") != i)
+    items = [*range(9), 20, 21]
+    within = [A.within_stratum(left(i)) for i in items]
+    for name, each in (("within", [A.overall(w).first()[0] for w in within]), ("ceiling", [A.ceiling(w).first()["ceiling"] for w in within]), ("cross", [A.cross_stratum(left(i)).first()[0] for i in range(9)])):
+        assert got[name] == (pytest.approx(min(each)), pytest.approx(max(each)))
 
 
 def test_bootstrap_is_like_redrawn_items(spark):
