@@ -137,18 +137,19 @@ def _counts(text: str) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine: dual coordinate descent on the hinge loss, rows in a fixed
     order. y is 1 or -1. Features are scaled by the root of their mean, so that rare ones count."""
-    scale = 1 / np.sqrt(x.mean(0) + 1e-6)
-    x = np.concatenate([x * scale, np.ones((len(x), 1))], 1)
-    norm = (x * x).sum(1)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    scale = 1 / np.sqrt(x.mean(0, dtype="float64") + 1e-6)
+    x *= scale.astype(x.dtype)  # in place: the rows are what a task holds most of
+    norm = 1 + np.array([float(r @ r) for r in x])  # 1 for the bias
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(x))
     order = np.random.default_rng(5)
     for _ in range(PASSES):
         for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), COST)
+            new = min(max(alpha[i] - (y[i] * (x[i] @ w + bias) - 1) / norm[i], 0.0), COST)
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
+                bias += (new - alpha[i]) * y[i]
                 alpha[i] = new
-    return w[:-1] * scale, float(w[-1])
+    return w * scale, float(bias)
 
 
 @dataclass
@@ -200,7 +201,9 @@ def learn(docs: DataFrame, where: Column, sample: int = SAMPLE) -> Model:
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lang", "key"])
         cuts = [t.encode()[k % max(1, len(t.encode()) - PIECE) :][:PIECE].decode("utf-8", "ignore") for t, k in zip(pdf["text"], pdf["key"], strict=True)]
-        x = np.stack([_counts(t) for t in [*pdf["text"], *cuts]])
+        x = np.empty((2 * len(pdf), 1 << BITS), "float32")
+        for i, t in enumerate(itertools.chain(pdf["text"], cuts)):
+            x[i] = _counts(t)
         w, bias = fit(x, np.tile(pdf["side"].to_numpy("float64"), 2))
         return pd.DataFrame({"machine": [int(pdf["machine"].iloc[0])], "weights": [np.rint(w * SCALE).astype("int64")], "bias": [round(bias * SCALE)]})
 
