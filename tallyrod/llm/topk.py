@@ -15,7 +15,7 @@ where each query takes its class's list without its own rows. Lists are longer b
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; shorter vectors count
 as ending in zeros; ties go to the smaller id; rows of one id are not each other's candidates and ask together; repeated
 rows are candidates each; fewer than k others give all of them; rows without an id take no part; an empty table gives an empty result; other columns are not read.
-Scores are exact 64-bit integers; if one could pass 2**63 the job stops with an error.
+Scores are exact 64-bit integers; where one that belongs to the result passes 2**63 the job stops with an error.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ BATCH = 512
 KEY_BITS = 10
 #: Stands for no score; scores are above it.
 NONE = -(2**63)
+#: Stands for a score beyond 64 bits, as a large vector may have with itself.
+FAR = 2**63 - 1
 
 _ROW = "kind string, grp int, ids binary, data binary, floor binary, width int, query_id long, vec_id long, score long"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
@@ -65,13 +67,20 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T as 64-bit integers: by doubles where these are exact. An error if a sum could pass 2**63."""
-    most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
-    if most < 2**53:
-        return (a @ b.T).astype("int64")
-    if most >= 2**63:
-        raise ValueError("inner products may pass 2**63")
-    return a.astype("int64") @ b.astype("int64").T
+    """a @ b.T as 64-bit integers: by doubles where these are exact, which the sum of |a| times the greatest |b| of each
+    term tells for each row, else by integers. These are right modulo 2**64, and so right wherever the sum itself is below
+    2**63; beyond it the sum becomes FAR or -FAR."""
+    most = np.abs(a) @ np.abs(b).max(0, initial=0)
+    sums = a @ b.T
+    wide = np.flatnonzero(most >= 2**53)
+    if not len(wide):
+        return sums.astype("int64")
+    if max(np.abs(a).max(), np.abs(b).max()) >= 2.0**63:
+        raise ValueError("a component passes 2**63")
+    far = np.abs(sums) >= 2.0**63 * (1 - 1e-9)
+    out = np.where(far, 0, sums).astype("int64")
+    out[wide] = a[wide].astype("int64") @ b.astype("int64").T
+    return np.where(far, np.where(sums > 0, FAR, -FAR), out)
 
 
 class Group:
@@ -226,4 +235,5 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     asking = rows.where("asks").select(F.col("id").alias("query_id"), "x").join(kept.where("cls is not null").select("x", "cls"), "x").drop("x")
     out = asking.join(lists, "cls").select("query_id", F.inline("list")).where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*best))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    sure = F.when(F.abs("score") == FAR, F.raise_error(F.lit("a score passes 2**63"))).otherwise(F.col("score"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", sure.cast("long").alias("score"))

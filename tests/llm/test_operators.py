@@ -272,6 +272,20 @@ def test_contexts_find_unseen_identifiers(spark):
 # Top-k, URL filter, revisits
 
 
+def test_top_k_with_one_vector_of_large_components(spark):
+    # Largest score with another row is far below 2**63, though the largest components of all rows would pass it.
+    r = np.random.default_rng(3)
+    vec = [list(map(float, r.standard_normal(64))) for _ in range(200)] + [[1e14, *[0.0] * 63], [*[0.0] * 63, 1e14]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vec)], "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.top_k(df, F.col("vec_id") >= 199, k=3).collect()}
+    q = [[math.floor(64 * x) for x in v] for v in vec]
+    for i in (199, 200, 201):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in range(len(q)) if j != i)[:3]
+        assert [got[i, k + 1] for k in range(3)] == [(j, -s) for s, j in best]
+    with pytest.raises(Exception, match="passes 2"):
+        topk.top_k(df.unionByName(df.where("vec_id = 200").withColumn("vec_id", F.lit(300).cast("long"))), F.col("vec_id") == 200, k=3).collect()
+
+
 def test_top_k_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(topk, "PILOT", 40)  # a part of the rows
     r = np.random.default_rng(8)
