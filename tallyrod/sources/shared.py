@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir. Where that is unset, on one machine, a temporary folder takes its
-    place; on a cluster it is an error."""
+    """A new folder's path below spark.checkpoint.dir, in one folder for each run of an application, named by its id, which
+    can be removed as a whole once the run has ended. Where the setting is unset, on one machine, a temporary folder takes
+    its place; on a cluster it is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = _own_dir()
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 @functools.cache
