@@ -20,6 +20,7 @@ and text are read. The model holds up to 2**31 distinct words, beyond which it s
 from __future__ import annotations
 
 import math
+import hashlib
 import os
 import zlib
 from collections.abc import Iterator
@@ -147,12 +148,15 @@ def _put(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def _map(folder: str, name: str, kind: str) -> np.ndarray:
-    """The array, mapped; from a store that isn't a local folder it is copied once to this worker's temporary folder."""
+    """The array, mapped; from a store that isn't a local folder it is copied once to this machine. Copies are named by a
+    digest of the whole path and lie in the folder that the resource manager gives Spark for its own files and removes with
+    them (the worker's temporary folder where none is named)."""
     system, path = _open(f"{folder}/{name}")
     if not isinstance(system, fs.LocalFileSystem):
         import tempfile
 
-        local = f"{tempfile.gettempdir()}/{zlib.crc32(path.encode()):08x}-{name}"
+        own = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or tempfile.gettempdir()
+        local = f"{own.split(',')[0]}/{hashlib.sha256(path.encode()).hexdigest()}"
         if not os.path.exists(local):
             with system.open_input_stream(path) as f, open(f"{local}.{os.getpid()}", "wb") as g:
                 while data := f.read(1 << 24):
