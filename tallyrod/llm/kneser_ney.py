@@ -22,7 +22,6 @@ from __future__ import annotations
 import math
 import hashlib
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
