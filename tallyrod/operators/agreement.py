@@ -267,6 +267,47 @@ def bootstrap_mean_ci(per_item: DataFrame, metric: str, reps: int, seed: int) ->
     return _ends(rows.agg(F.avg("m").alias("point")), sums.select("rep", (F.col("m") / F.col("one")).alias("value")))
 
 
+def weighted_mean(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each row of weights."""
+    return weights @ values / weights.sum(1)
+
+
+def little_bootstraps_ci(per_item: DataFrame, metric: str, seed: int, stat: Callable[[np.ndarray, np.ndarray], np.ndarray] = weighted_mean, subsets: int = 20, reps: int = 400, power: float = 0.6) -> DataFrame:
+    """(point, lo, hi, mean) of a statistic of real values, few of which are equal, so that patterns would not help: the bag
+    of little bootstraps (Kleiner et al. 2014). Of n items, chosen by a hash, each of `subsets` subsets has about n**power;
+    a replicate gives a subset's items multinomial weights that sum to n, so it is as wide as one of all items, and the
+    subsets' ends are averaged. `stat` takes values and a matrix of weights, a row a replicate. Draws: subsets * reps *
+    n**power in all, in a task a subset, which holds n**power values (a million of 1e10 items) and some replicates at a
+    time. The point is the average of the subsets' own values; for the mean it is that of all items, and the ends are
+    moved by the difference."""
+    rows = per_item.where(F.col(metric).isNotNull()).select("item", F.col(metric).cast("double").alias("m"))
+    rows = saved(rows.withColumn("h", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1 << 40))), "values")
+    n = rows.count()
+    size = max(1, round(n**power))
+    kinds = max(1, n // size)
+    chosen = rows.withColumn("subset", (F.col("h") % kinds).cast("int")).where(F.col("subset") < subsets)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(["h", "m"])["m"].to_numpy()
+        rng = np.random.default_rng([seed, int(pdf["subset"].iloc[0])])
+        some = max(1, 4_000_000 // len(x))
+        got = [stat(x, rng.multinomial(n, np.full(len(x), 1 / len(x)), min(some, reps - at)).astype("float64")) for at in range(0, reps, some)]
+        v = np.sort(np.concatenate(got))
+        v = v[~np.isnan(v)]
+        if not len(v):
+            return pd.DataFrame({"point": [], "lo": [], "hi": [], "mean": []})
+        at = lambda q: float(v[min(int(q * len(v)), len(v) - 1)])
+        return pd.DataFrame({"point": [float(stat(x, np.ones((1, len(x))))[0])], "lo": [at(0.025)], "hi": [at(0.975)], "mean": [float(v.mean())]})
+
+    ends = chosen.groupBy("subset").applyInPandas(run, "point double, lo double, hi double, mean double")
+    out = ends.agg(*(F.round(F.avg(c), 9).alias(c) for c in ("point", "lo", "hi", "mean")))
+    if stat is weighted_mean:  # all items' mean, about which the subsets' ends are put
+        whole = rows.agg(F.round(F.avg("m"), 9).alias("all")).first()["all"]  # rounded: sums differ by order
+        away = F.lit(whole).cast("double") - F.col("point")
+        out = out.select(F.lit(whole).cast("double").alias("point"), *(F.round(F.col(c) + away, 9).alias(c) for c in ("lo", "hi", "mean")))
+    return out
+
+
 def item_cells(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     return pairs.groupBy("item", *by, F.col("a_label").alias("a"), F.col("b_label").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 

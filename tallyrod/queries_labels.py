@@ -290,6 +290,14 @@ def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.bootstrap_mean_ci(rows, "m", REPS, 5)
 
 
+@query()
+def bootstrap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of line items: as many values as items, nearly."""
+    (li,) = M.read(spark, sf_dir, "lineitem")
+    rows = li.select(F.struct("l_orderkey", "l_linenumber").alias("item"), F.col("l_extendedprice").cast("double").alias("m"))
+    return A.little_bootstraps_ci(rows, "m", 3)
+
+
 @query()
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.headline_test(M.annotations(spark, sf_dir), REPS, (1, 2))

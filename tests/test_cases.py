@@ -109,6 +109,21 @@ def test_bootstrap_is_like_redrawn_items(spark):
     assert got["point"] == 4.5 and got["lo"] == pytest.approx(4.5 - half, abs=0.06) and got["hi"] == pytest.approx(4.5 + half, abs=0.06)
 
 
+def test_little_bootstraps_are_near_the_full_one(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.gamma(2.0, 3.0, 20_000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None)], "item int, m double")
+    got = A.little_bootstraps_ci(df, "m", 4).first()
+    full = np.sort([r.choice(x, len(x)).mean() for _ in range(400)])
+    width = full[390] - full[9]
+    assert got["point"] == pytest.approx(x.mean()) and got["mean"] == pytest.approx(x.mean(), abs=0.05 * width)
+    assert abs(got["lo"] - full[9]) < 0.15 * width and abs(got["hi"] - full[390]) < 0.15 * width
+    assert A.little_bootstraps_ci(df.repartition(7), "m", 4).first() == got
+    assert A.little_bootstraps_ci(df.limit(0), "m", 4).first()["lo"] is None
+
+
 def test_headline_is_ordered(spark):
     data = [(i, r, 1 if r <= 3 else 2, (r - 1) % 3 + 1, "xy"[(i + (r > 3) * (i % 2)) % 2]) for i in range(12) for r in range(1, 7)]
     ann = spark.createDataFrame(data, "item int, rater int, stratum int, run int, label string")
