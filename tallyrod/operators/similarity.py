@@ -9,7 +9,6 @@ meet in one task, so a task's memory is the same at any size, and a ball that ho
 
 Where vectors have clusters closer than the threshold, a row goes to few balls; where they have none (random directions,
 or a threshold near 0) it goes to all, which are n / BLOCK, as the exact work is quadratic there by nature.
-`buckets` makes a candidate set by hyperplanes, for corpora where that is too much.
 
 Defined cases: null and empty vectors, those with null or infinite components and zero vectors take no part; vectors of
 several lengths are an error; ids are taken to be distinct.
@@ -214,20 +213,6 @@ def similarity_percentiles(vectors: DataFrame, n_pivots: int | None = None) -> D
     return percentiles(cross_group_similarity(vectors, n_pivots), "max_cos", [0.5, 0.75, 0.9, 0.95, 0.99])
 
 
-def buckets(vectors: DataFrame, planes: int = 12, tables: int = 8, seed: int = 7) -> DataFrame:
-    """(id, bucket): candidate buckets by signs on random hyperplanes, for a search that may miss pairs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            v = np.stack(pdf["v"].to_list()).astype("float64")
-            for t in range(tables):
-                h = np.random.default_rng(seed + t).standard_normal((v.shape[1], planes))
-                bits = ((v @ h) >= 0) @ (1 << np.arange(planes))
-                yield pd.DataFrame({"id": pdf["id"], "bucket": bits + (t << planes)})
-
-    return vectors.select("id", "v").mapInPandas(run, "id long, bucket long")
-
-
 def near_duplicate_groups(pairs: DataFrame) -> DataFrame:
     """(root, id, n, n_pairs, clique), one row a member: connected components of pairs (a, b), of n members and n_pairs
     pairs; those that are no cliques are flagged, as complete linkage would split them."""

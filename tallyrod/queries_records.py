@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import records as X
 from .plans import mirror as M
-from .registry import query
+from .registry import ORACLE, query
 
 
 @query("""with r as (select event_id, event_type as label, case when user_id % 10 = 0 then null else ['a', event_type] end as tags, case when user_id % 11 = 0 then 'x' else (floor(value) % 7)::int::varchar end as n from events),
@@ -52,3 +52,18 @@ def fallback_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     sev = F.when(F.col("value") > 80, F.array(F.lit("low"), F.lit("HIGH"))).when(F.col("value") > 40, F.array(F.lit("moderate"))).when(F.col("value") > 10, F.array(F.lit("low"))).otherwise(none)
     reqs = F.array(F.struct(F.pmod("user_id", F.lit(3)).alias("k"), F.concat(F.lit("v"), F.pmod("user_id", F.lit(5)).cast("string")).alias("v")))
     return e.select("event_id", T.label_with_fallback(F.col("event_type"), sev).alias("label"), T.resolve_category(F.when(F.col("event_type") == "view", F.col("event_type")), [F.col("props"), F.col("event_type")], ["view", "click"]).alias("category"), T.first_match(reqs, lambda r: r["k"] == 0)["v"].alias("hit"))
+
+
+@query(f"with c as ({ORACLE['validated_records']}) select event_id, label, tags, n, coalesce(error, 'none') as error from c")
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid records and those in quarantine, put together again with their kind."""
+    valid, bad = X.split_valid(validated_records(spark, sf_dir))
+    return valid.withColumn("error", F.lit("none")).unionByName(bad)
+
+
+@query("select doc_id, quality, 'known' as kind from documents join labels using (doc_id)")
+def complete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label is known; none of them may lack a required field."""
+    d, lab = M.read(spark, sf_dir, "documents", "labels")
+    filled, missing = X.backfill_defaults(d.select("doc_id", F.lit(None).cast("string").alias("kind")).join(lab.select("doc_id"), "doc_id"), "doc_id", {"kind": F.lit("known")}, {}, lab.select("doc_id", "quality"), ["quality", "kind"])
+    return X.reject_missing(filled, missing).select("doc_id", "quality", "kind")

@@ -16,7 +16,7 @@ from .operators.passages import find_passages
 from .plans import mirror as M
 from .plans.retrieval import retrieve as retrieve_plan
 from .plans.retrieval import retrieve_all as retrieve_all_plan
-from .registry import query
+from .registry import ORACLE, query
 from .sources import tables as X
 from .sources.shared import saved
 
@@ -106,9 +106,14 @@ def event_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+@query(rf"""with a as (select doc_id, text, lower(text) as low, strpos(lower(text), 'version') as p0 from documents)
+select doc_id, regexp_replace(left(text, 80), '([a-z])([A-Z])', '\1 \2', 'g') as split, not (p0 > 0 and regexp_matches(substr(low, greatest(p0 - 40, 1), p0 - greatest(p0 - 40, 1)), '(?:^|{_EDGE})(?:not|no|nicht)(?:$|[^\p{{L}}\p{{N}}_.;!?][^.;!?]*$)')) as guard,
+regexp_matches(text, '(?:^|[^n]|(?:^|[^u])n)tion') as behind, true as stamped from a""")
 def guarded_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-behind and negation windows, which the other engine's patterns lack."""
+    """Look-behind and negation windows; the other engine's patterns say the same without looking behind."""
     (d,) = M.read(spark, sf_dir, "documents")
     return d.select("doc_id", T.camel_split(F.left("text", F.lit(80))).alias("split"), R.negation_guard(F.lower("text"), "version", ["not", "no", "nicht"]).alias("guard"), F.col("text").rlike("(?<!un)tion").alias("behind"), T.now_iso().isNotNull().alias("stamped"))
 
@@ -407,7 +412,9 @@ def injected_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.recap_top_k(cats, scores, gate_.where("n_occ >= 3"), inj, 4)
 
 
-@query()
+@query("with m as (select doc_id as doc, lower(text) as low, list_distinct(list_filter([" + ", ".join(f"case when contains(lower(text), '{k}') then '{c}' end" for k, c, _ in M.LEXICON) + r""", case when regexp_matches(lower(text), 'stupid|idiot') then '9' end], lambda x: x is not null)) as c from documents),
+p as (select *, case when not regexp_matches(low, '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') then 'no bias word' when contains(low, 'data') then 'individual' when contains(low, 'license') then 'systemic' else 'neither' end as path from m)
+select doc, list_sort(list_distinct(case path when 'systemic' then list_concat(list_filter(c, lambda x: x <> '1'), ['10', '11']) when 'individual' then list_append(c, '12') else c end)) as categories, path from p""")
 def disambiguated(spark: SparkSession, sf_dir: str) -> DataFrame:
     (d,) = M.read(spark, sf_dir, "documents")
     rows = L.binary_match(d, [(k, c) for k, c, _ in M.LEXICON], [(["stupid", "idiot"], "9")]).join(d.select(F.col("doc_id").alias("doc"), "text"), "doc")
@@ -659,8 +666,8 @@ def unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with d as (select l_orderkey as doc, list_distinct(list(distinct 's' || (l_suppkey % 18)) || list(distinct 'r' || l_returnflag) || list(distinct 'p' || (l_partkey % 100))) as f from lineitem group by 1),
-r as (select 'part ' || p_partkey as rule_id, p_brand as dimension, case when p_size > 40 then null else p_size end as priority, case when p_partkey % 4 = 0 then ['rA', 'rN'] else [] end as a, case when p_partkey % 4 = 0 then [] else ['p' || (p_partkey % 100), 's' || (p_size % 18)] end as e,
-  case when p_partkey % 4 = 0 then ['p' || (p_size * 2), 's0', 's1', 's2', 's3', 's4', 's5', 's6', 's7', 's8', 's9'] else ['rR'] end as n from part)
+r as (select 'part ' || p_partkey as rule_id, p_brand as dimension, case when p_size > 40 then null else p_size end as priority, case when p_partkey % 4 = 0 then ['p' || (p_partkey % 100), 'p' || (p_size * 2)] else [] end as a, case when p_partkey % 4 = 0 then [] else ['p' || (p_partkey % 100), 's' || (p_size % 18)] end as e,
+  case when p_partkey % 4 = 0 then ['s0', 's1', 's2', 's3', 's4'] else ['rR'] end as n from part)
 select doc, rule_id, dimension, coalesce(priority, 99)::int as priority, 'Violation' as severity, rule_id as message from d, r where (len(a) = 0 or list_has_any(f, a)) and list_has_all(f, e) and not list_has_any(f, n)""")
 def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many rules as parts, over the features of orders."""
@@ -670,12 +677,24 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     fourth, none = F.col("p_partkey") % 4 == 0, F.array().cast("array<string>")
     rules = part.select(
         name("part ", F.col("p_partkey")).alias("rule_id"), F.col("p_brand").alias("dimension"), F.when(F.col("p_size") <= 40, F.col("p_size")).cast("int").alias("priority"), F.lit(None).cast("string").alias("severity"),
-        F.when(fourth, F.array(F.lit("rA"), F.lit("rN"))).otherwise(none).alias("any_of"), F.when(fourth, none).otherwise(F.array(name("p", F.col("p_partkey") % 100), name("s", F.col("p_size") % 18))).alias("all_of"),
-        F.when(fourth, F.array(name("p", F.col("p_size") * 2), *(F.lit(f"s{k}") for k in range(10)))).otherwise(F.array(F.lit("rR"))).alias("none_of"), name("part ", F.col("p_partkey")).alias("message"),
+        F.when(fourth, F.array(name("p", F.col("p_partkey") % 100), name("p", F.col("p_size") * 2))).otherwise(none).alias("any_of"), F.when(fourth, none).otherwise(F.array(name("p", F.col("p_partkey") % 100), name("s", F.col("p_size") % 18))).alias("all_of"),
+        F.when(fourth, F.array(*(F.lit(f"s{k}") for k in range(5)))).otherwise(F.array(F.lit("rR"))).alias("none_of"), name("part ", F.col("p_partkey")).alias("message"),
     )
     return R.apply_rules(features, rules)
 
 
+@query(f"""with t as (select doc_id, lower(text) as low, left(text, 120) as start from documents) select doc_id, regexp_matches(low, 'license|version') as law, contains(low, '!!') as loud,
+array_to_string(list_filter(list_transform(string_split(start, ','), lambda x: trim(x, ' ')), lambda x: x <> ''), ', ') as list from t""")
+def flagged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (d,) = M.read(spark, sf_dir, "documents")
+    return d.select("doc_id", *L.keyword_flags(F.col("text"), {"law": ["license", "version"], "loud": ["!!"]}), T.csv_join(T.csv_split(T.prefix(F.col("text"), 120))).alias("list"))
+
+
+@query(f"with c as ({ORACLE['template_fill']}) select authority, avg(filled / total) as mean from c group by 1")
+def mean_template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.mean_completeness(template_fill(spark, sf_dir))
+
+
 # Vectors
 
 _VEC = "v as (select vec_id as id, label as grp, list_transform(embedding, lambda x: x::double) as e from embeddings), p as (select x.id as a, y.id as b, x.grp as ga, y.grp as gb, list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) as cos from v x join v y on x.id < y.id)"
@@ -710,12 +729,25 @@ def similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.similar_classes(_vectors(spark, sf_dir), 0.4)[0].withColumn("cos", F.round("cos", 6))
 
 
-@query()
+# The nearest two clusters merge, a pair a step; the row of ids -1 keeps the last merge. An edge to the merged cluster stays
+# if both parts have one, with the greater distance.
+_LINKAGE = f"""{_VEC}, e as (select a, b, round(1 - cos, 9) as d from p where cos >= 1 - 0.65),
+s(step, a, b, d, x, y) as (select 0, a, b, d, null::bigint, null::bigint from e union all select 0, -1, -1, 9.0, null, null union all
+  select step, a, b, d, x, y from (select step + 1 as step, least(na, nb) as a, greatest(na, nb) as b, max(d) as d, x, y from (
+    select step, d, x, y, case when a = y then x else a end as na, case when b = y then x else b end as nb, a in (x, y) or b in (x, y) as near
+    from (select step, a, b, d, first_value(a) over w as x, first_value(b) over w as y from s window w as (order by d, a, b)))
+  where x >= 0 and (na <> nb or na = -1) group by step, least(na, nb), greatest(na, nb), x, y having count(*) = 2 or not bool_or(near))),
+m as (select distinct x, y from s where x is not null), u as (select x as i, y as j from m union select y, x from m), r as (select i, j from u union select r.i, u.j from r join u on u.i = r.j),
+g as (select i as id, least(i, min(j)) as root from r group by i), k as (select root, count(*) as n from g group by 1)"""
+
+
+@query(f"with recursive {_LINKAGE} select root, id, n from g join k using (root)")
 def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.vector_clusters(_vectors(spark, sf_dir), 0.65)
 
 
-@query()
+@query(f"""with recursive {_LINKAGE}, t as (select root, count(*) as size, count(distinct grp) as kinds from g join v using (id) group by 1), c as (select size, count(*) as n, count(*) filter (kinds >= 2) as "cross" from t group by 1)
+select size, n, "cross", (select sum((size - 1) * n) from c) / (select count(*) from v) as compression from c""")
 def vector_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return S.cluster_stats(S.vector_clusters(v, 0.65), v.count(), v.select("id", "grp"))

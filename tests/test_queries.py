@@ -12,7 +12,7 @@ from tallyrod.queries import FLAGSHIP, ORACLE, QUERIES
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries that SQL does not express; they are checked in test_cases.py or only run.
-NO_SQL = {"recovery", "recovery_falls", "bootstrap_within", "bootstrap_mean", "bootstrap_values", "headline", "guarded_functions", "disambiguated", "vector_groups", "vector_group_stats"}
+NO_SQL = {"recovery", "recovery_falls", "bootstrap_within", "bootstrap_mean", "bootstrap_values", "headline"}
 
 
 @pytest.fixture(scope="module")
