@@ -13,7 +13,7 @@ beginning's own character in front belongs to it. The empty keyword never occurs
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +131,12 @@ def _word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.maximum(out, 1)
 
 
-def counted(docs: DataFrame, keywords: Sequence[str], doc: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
+def counted(docs: DataFrame, keywords: Sequence[str], doc: str = "doc_id", text: str = "text", **more: Callable[[Column], Column]) -> DataFrame:
     """(doc, words, hits, more...), one row a document: its number of words and its keywords with their occurrences,
-    array<struct<keyword, n>>. more: further columns over the document, read in the same pass. A null text is empty."""
+    array<struct<keyword, n>>. more: further columns, made from the lowered text in the same pass. A null text is empty."""
     keywords = list(dict.fromkeys(keywords))
-    low = docs.select(F.col(doc).alias("doc"), *(c.alias(k) for k, c in more.items()), F.lower(F.coalesce(text, F.lit(""))).alias("__t"))
+    low = docs.select(F.col(doc).alias("doc"), F.lower(F.coalesce(text, F.lit(""))).alias("__t"))
+    low = low.select("doc", *(make(F.col("__t")).alias(k) for k, make in more.items()), "__t")
     names = ["doc", *more]
     scanner: list[Scanner] = []
 

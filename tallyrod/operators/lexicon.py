@@ -53,11 +53,12 @@ def inject_category(counts: DataFrame, signals: Sequence[str], strong: Sequence[
 def disambiguate(docs: DataFrame, bias: Sequence[str], systemic: Sequence[str], individual: Sequence[str], drop: Sequence[str], systemic_adds: Sequence[str], individual_adds: Sequence[str], doc: str = "doc", text: str = "text", categories: str = "categories") -> DataFrame:
     """(doc, categories, path): where a bias word fires, a systemic and not individual reading drops a family of categories
     and adds others; an individual one makes sure of its own; neither keeps. The path taken is returned."""
-    return apply_path(docs.withColumn("path", bias_path(F.col(text), bias, systemic, individual)), drop, systemic_adds, individual_adds, doc, categories)
+    return apply_path(docs.withColumn("path", bias_path(F.lower(text), bias, systemic, individual)), drop, systemic_adds, individual_adds, doc, categories)
 
 
-def bias_path(text: Column, bias: Sequence[str], systemic: Sequence[str], individual: Sequence[str]) -> Column:
-    hit = lambda p: any_of(F.lower(text), p)
+def bias_path(low: Column, bias: Sequence[str], systemic: Sequence[str], individual: Sequence[str]) -> Column:
+    """Which reading of a lowered text the words call for."""
+    hit = lambda p: any_of(low, p)
     return F.when(~hit(bias), "no bias word").when(hit(individual), "individual").when(hit(systemic), "systemic").otherwise("neither")
 
 

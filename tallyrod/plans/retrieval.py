@@ -32,7 +32,7 @@ def retrieve(docs: DataFrame, lexicon: DataFrame, keywords: list[str], requireme
 def matched(docs: DataFrame, lexicon: DataFrame, keywords: list[str], inject: dict, bias: dict) -> DataFrame:
     """(doc, category): the best categories, an injected one, those that disambiguation drops or adds, then the best again.
     One pass over the texts writes each document's keywords and its path of disambiguation; the rest reads that table."""
-    table = saved(counted(docs, keywords, path=bias_path(F.col("text"), bias["bias"], bias["systemic"], bias["individual"])), "counted")
+    table = saved(counted(docs, keywords, path=lambda low: bias_path(low, bias["bias"], bias["systemic"], bias["individual"])), "counted")
     counts = hit_rows(table)
     scores = saved(category_scores(counts, lexicon), "scores")
     gate = salience_gate(scores)
