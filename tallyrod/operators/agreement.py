@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import divergence_note, kappa_band, spearman_brown
 from ..sources.shared import saved
+from .draws import binomial_table, key_number, poisson_table, quantiles, seeds, uniforms
 from .graph import average_rank, most_common, order_stat_ci, upper_median
 from .setmetrics import nan_to_null
 
@@ -205,33 +206,49 @@ def kill_flag(verdicts: DataFrame) -> DataFrame:
 
 
 def patterns(per_item: DataFrame) -> DataFrame:
-    """(pattern, rows, c): the distinct sorted rows that items have, a hash of them, and how many items have them."""
-    own = per_item.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(*(c for c in per_item.columns if c != "item")))).alias("rows"))
-    return own.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).select(F.xxhash64("rows").alias("pattern"), "rows", "c")
+    """(h, rows, c): the distinct sorted rows that items have, a number of their text, and how many items have them."""
+    cols = [c for c in per_item.columns if c != "item"]
+    line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
+    own = per_item.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(line.alias("line"), *cols))).alias("rows"))
+    return own.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).select(key_number(F.array_join("rows.line", ";")), "rows", "c")
+
+
+#: Patterns that are drawn at a time: with 10,000 replicates 10 MB a matrix.
+_STEP = 128
 
 
 def replicate_sums(per_item: DataFrame, values: Sequence[str], reps: int, seed: int) -> DataFrame:
     """(rep, keys, values): sums of `values` over rows (item, keys, values) by keys and replicate, in which each item has a
-    weight of Poisson(1). A pattern of c items has Poisson(c), drawn by a generator that seed and pattern fix, so results
-    do not depend on partitions. Items are not numbered and never repeated; a task holds its sums only."""
+    weight of Poisson(1). A pattern of c items has Poisson(c), a draw that seed and pattern fix (draws.py). Items are not
+    numbered and never repeated; a task holds its sums, one table of a distribution and the draws of _STEP patterns. A
+    table has about 20 sqrt(c) places."""
     kept = per_item.schema
     keys = [c for c in per_item.columns if c not in ("item", *values)]
     schema = T.StructType([T.StructField("rep", T.IntegerType()), *(kept[k] for k in keys), *(T.StructField(v, T.DoubleType()) for v in values)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ab = seeds(seed, reps)
         sums: dict[tuple, np.ndarray] = {}
+        last, table = None, None
         for pdf in batches:
-            for pattern, rows, c in zip(pdf["pattern"], pdf["rows"], pdf["c"], strict=True):
-                weight = np.random.default_rng([seed, int(pattern) % 2**63]).poisson(c, reps)
-                for r in rows:
-                    at = sums.setdefault(tuple(r[k] for k in keys), np.zeros((len(values), reps)))
-                    for i, v in enumerate(values):
-                        at[i] += weight * r[v]
+            for start in range(0, len(pdf), _STEP):
+                some = pdf.iloc[start : start + _STEP]
+                weight, c = uniforms(some["h"].to_numpy(), ab), some["c"].to_numpy()
+                for each in np.unique(c):  # rows come by c
+                    if each != last:
+                        last, table = each, poisson_table(float(each))
+                    weight[c == each] = quantiles(weight[c == each], table)
+                shares: dict[tuple, np.ndarray] = {}
+                for i, rows in enumerate(some["rows"]):
+                    for r in rows:
+                        at = shares.setdefault(tuple(r[k] for k in keys), np.zeros((len(values), len(some))))
+                        at[:, i] += [r[v] for v in values]
+                for k, share in shares.items():
+                    sums[k] = sums.get(k, 0) + share @ weight
         for k, at in sums.items():
             yield pd.DataFrame({"rep": np.arange(reps, dtype="int32")} | {n: [x] * reps for n, x in zip(keys, k, strict=True)} | dict(zip(values, at, strict=True)))
 
-    # Sorted, as sums of doubles depend on their order.
-    found = patterns(per_item).repartition("pattern").sortWithinPartitions("pattern").mapInPandas(run, schema)
+    found = patterns(per_item).repartition("h").sortWithinPartitions("c", "h").mapInPandas(run, schema)
     return found.groupBy("rep", *keys).agg(*(F.round(F.sum(v), 6).alias(v) for v in values))
 
 
@@ -275,23 +292,24 @@ def weighted_mean(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def little_bootstraps_ci(per_item: DataFrame, metric: str, seed: int, stat: Callable[[np.ndarray, np.ndarray], np.ndarray] = weighted_mean, subsets: int = 20, reps: int = 400, power: float = 0.6) -> DataFrame:
     """(point, lo, hi, mean) of a statistic of real values, few of which are equal, so that patterns would not help: the bag
     of little bootstraps (Kleiner et al. 2014). Of n items, chosen by a hash, each of `subsets` subsets has about n**power;
-    a replicate gives a subset's items multinomial weights that sum to n, so it is as wide as one of all items, and the
+    a replicate gives each of a subset's items a weight of Poisson(n / size), so it is as wide as one of all items, and the
     subsets' ends are averaged. `stat` takes values and a matrix of weights, a row a replicate. Draws: subsets * reps *
     n**power in all, in a task a subset, which holds n**power values (a million of 1e10 items) and some replicates at a
     time. The point is the average of the subsets' own values; for the mean it is that of all items, and the ends are
     moved by the difference."""
-    rows = per_item.where(F.col(metric).isNotNull()).select("item", F.col(metric).cast("double").alias("m"))
-    rows = saved(rows.withColumn("h", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1 << 40))), "values")
+    rows = per_item.where(F.col(metric).isNotNull()).select(F.concat_ws(":", F.lit(str(seed)), F.col("item").cast("string")).alias("item"), F.col(metric).cast("double").alias("m"))
+    rows = saved(rows.select(key_number(F.concat(F.col("item"), F.lit(":set"))).alias("place"), key_number(F.col("item")), "m"), "values")
     n = rows.count()
     size = max(1, round(n**power))
     kinds = max(1, n // size)
-    chosen = rows.withColumn("subset", (F.col("h") % kinds).cast("int")).where(F.col("subset") < subsets)
+    chosen = rows.withColumn("subset", (F.col("place") % kinds).cast("int")).where(F.col("subset") < subsets)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["h", "m"])["m"].to_numpy()
-        rng = np.random.default_rng([seed, int(pdf["subset"].iloc[0])])
+        pdf = pdf.sort_values(["h", "m"])
+        x, h, table = pdf["m"].to_numpy(), pdf["h"].to_numpy(), poisson_table(n / len(pdf))
+        a, b = seeds(seed, reps)
         some = max(1, 4_000_000 // len(x))
-        got = [stat(x, rng.multinomial(n, np.full(len(x), 1 / len(x)), min(some, reps - at)).astype("float64")) for at in range(0, reps, some)]
+        got = [stat(x, quantiles(uniforms(h, (a[at : at + some], b[at : at + some])), table).T.astype("float64")) for at in range(0, reps, some)]
         v = np.sort(np.concatenate(got))
         v = v[~np.isnan(v)]
         if not len(v):
@@ -452,17 +470,28 @@ def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
 def recovery_test(ref: DataFrame, rates: Sequence[float], reps: int, labels: Sequence[str], seed: int) -> DataFrame:
     """(rate, kappa): mean agreement with a reference (item, label) of which each label was replaced, at that rate, by one
     of the others drawn evenly. Items of one label are alike, so a repetition draws how many of them turn into which other
-    label; a row a label is drawn from, whatever the number of items. Other labels than `labels` are left out."""
-    per = ref.where(F.col("label").isin(*labels)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    label, one label after the other (binomial of those left); a row a label is drawn from, whatever the number of items.
+    Other labels than `labels` are left out."""
+    per = ref.where(F.col("label").isin(*labels)).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", "n", key_number(F.col("label")))
+
+    def taken(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(n)
+        for each in np.unique(n):
+            out[n == each] = quantiles(u[n == each], binomial_table(int(each), p))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for label, n in zip(pdf["label"], pdf["n"], strict=True):
+            for label, n, h in zip(pdf["label"], pdf["n"], pdf["h"], strict=True):
                 others = [x for x in labels if x != label]
                 for i, rate in enumerate(rates):
-                    rng = np.random.default_rng([seed, labels.index(label), i])
-                    moved = rng.multinomial(rng.binomial(n, rate, reps), [1 / len(others)] * len(others))
-                    for to, k in [(label, n - moved.sum(1)), *zip(others, moved.T, strict=True)]:
+                    u = [uniforms(np.array([h]), seeds(f"{seed}:{i}:{step}", reps))[0] for step in range(len(others))]
+                    left = taken(np.full(reps, n), rate, u[0]) if others else np.zeros(reps, dtype="int64")
+                    counts = [(label, n - left)]
+                    for step, to in enumerate(others, 1):
+                        k = left if step == len(others) else taken(left, 1 / (len(others) - step + 1), u[step])
+                        counts, left = [*counts, (to, k)], left - k
+                    for to, k in counts:
                         yield pd.DataFrame({"rate": rate, "rep": np.arange(reps, dtype="int32"), "a": label, "b": to, "n": k})[k > 0]
 
     k = cohen_kappa(per.mapInPandas(run, "rate double, rep int, a string, b string, n long"), ["rate", "rep"])

@@ -82,3 +82,38 @@ def kappa_sql(name: str, source: str, by: str, stat: str = "kappa") -> str:
     return f"""{name}_c as ({source}), {name}_m as (select {sel}x, sum(na)::double as na, sum(nb)::double as nb from (select {sel}a as x, n as na, 0 as nb from {name}_c union all select {sel}b, 0, n from {name}_c) group by {sel}x),
 {name}_t as (select {sel}sum(n)::double as t, sum(case when a = b then n else 0 end)::double as s from {name}_c {grp}), {name}_e as (select {sel}sum(na * nb) as e, sum((na + nb) * (na + nb)) as sq, count(*) filter (na > 0) as ka, count(*) filter (nb > 0) as kb from {name}_m {grp}),
 {name} as (select {sel}case when e = t * t then 1.0 else (s / t - e / (t * t)) / (1 - e / (t * t)) end as kappa, case when 2 * t <= 1 or 4 * t * t = sq then null else 1 - (1 - s / t) / ((4 * t * t - sq) / (2 * t * (2 * t - 1))) end as alpha, s / t as raw, ka, kb, t from {name}_t join {name}_e {using})"""
+
+
+def _number(text: str, at: int = 1) -> str:
+    return f"('0x' || substr(md5({text}), {at}, 15))::bigint % 2147483647"
+
+
+def uniform_sql(h: str, a: str, b: str) -> str:
+    """The draw of operators/draws.py."""
+    x = f"(({h} * {a} + {b}) % 2147483647)"
+    y = f"({x} * {x} % 2147483647)"
+    return f"({y} * {y} % 2147483647 * {x} % 2147483647 / 2147483647)"
+
+
+def seeds_sql(seed: str, reps: int) -> str:
+    """A select of (rep, ra, rb)."""
+    return f"select rep, {_number(f'{seed} || rep')} as ra, {_number(f'{seed} || rep', 16)} as rb from range({reps}) r(rep)"
+
+
+def poisson_sql(name: str, source: str, seed: int, reps: int, also: str = "") -> str:
+    """CTEs that end in `name` (key, also, rep, w): weights of a source of (key, mean, also)."""
+    more = f", {also}" if also else ""
+    return f"""{name}_k as materialized (select *, {_number('key')} as h from ({source})), {name}_s as materialized ({seeds_sql(f"'{seed}:'", reps)}),
+{name}_p as (select mean, lo, unnest(range(lo, ceil(mean + 10 * sqrt(mean) + 10)::bigint + 1)) as k from (select distinct mean, greatest(0, floor(mean - 10 * sqrt(mean) - 10))::bigint as lo from {name}_k)),
+{name}_q as (select mean, lo, k, exp(k * ln(mean) - mean - lgamma(k + 1)) as p from {name}_p), {name}_t as materialized (select mean, lo, k, sum(p) over (partition by mean order by k) / sum(p) over (partition by mean) as cdf from {name}_q),
+{name}_u as (select key{more}, mean, rep, {uniform_sql('h', 'ra', 'rb')} as u from {name}_k, {name}_s),
+{name} as materialized (select key{more.replace(', ', ', u.')}, rep, coalesce(t.k + 1, greatest(0, floor(u.mean - 10 * sqrt(u.mean) - 10))::bigint) as w from {name}_u u asof left join {name}_t t on u.mean = t.mean and u.u >= t.cdf)"""
+
+
+def binomial_sql(name: str, source: str, p: str) -> str:
+    """CTEs that end in `name`: the source (n, u, more) with k, drawn from n at the share p, an expression over the source."""
+    return f"""{name}_i as materialized (select *, ({p})::double as p from ({source})), {name}_d as (select distinct n, p, n * p as m, sqrt(n * p * (1 - p)) as d from {name}_i where n > 0 and p > 0 and p < 1),
+{name}_r as (select n, p, unnest(range(greatest(0, floor(m - 10 * d - 10))::bigint, least(n, ceil(m + 10 * d + 10)::bigint) + 1)) as k from {name}_d),
+{name}_q as (select *, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) as q from {name}_r),
+{name}_t as materialized (select n, p, k, sum(q) over (partition by n, p order by k) / sum(q) over (partition by n, p) as cdf from {name}_q),
+{name} as materialized (select i.* exclude (p), case when i.n = 0 or i.p <= 0 then 0 when i.p >= 1 then i.n else coalesce(t.k + 1, greatest(0, floor(i.n * i.p - 10 * sqrt(i.n * i.p * (1 - i.p)) - 10))::bigint) end as k from {name}_i i asof left join {name}_t t on i.n = t.n and i.p = t.p and i.u >= t.cdf)"""

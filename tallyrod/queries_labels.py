@@ -272,33 +272,56 @@ def sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.sufficiency_split(M.annotations(spark, sf_dir))
 
 
-#: Replicates of the resampling queries. Their draws come from numpy's generator, which SQL lacks; test_cases.py compares
-#: the operator with items drawn anew.
+#: Replicates of the resampling queries.
 REPS = 10_000
 
 
-@query()
+def _bootstrap_sql(x: str, cells: str, keys: str, then: str, seed: int, reps: int = REPS) -> str:
+    """CTEs that end in {x}e (point, lo, hi, mean) of mean kappa over `keys`, first over `then`, from cells (item, keys, a,
+    b, n): weights of distinct rows, as the operator has them."""
+    per = [f"select {r}avg(m) as value from (select {r}avg(kappa) as m from {k} group by {r}{then or keys}) {g}" for k, r, g in ((f"{x}z", "", ""), (f"{x}y", "rep, ", "group by rep"))]
+    return f"""{x}o as ({cells}), {x}i as (select item, array_to_string(list_sort(list(concat_ws(',', {keys}, a, b, n))), ';') as key from {x}o group by 1), {x}g as (select key, count(*)::double as mean, min(item) as item from {x}i group by 1),
+{M.poisson_sql(f'{x}w', f'select key, mean, item from {x}g', seed, reps, 'item')},
+{M.kappa_sql(f'{x}y', f'select rep, {keys}, a, b, sum(w * n) as n from {x}w join {x}o using (item) where w > 0 group by all', f'rep, {keys}')},
+{M.kappa_sql(f'{x}z', f'select {keys}, a, b, sum(n) as n from {x}o group by all', keys)},
+{x}v as ({per[1]}), {x}e as (select ({per[0]}) as point, v[least(floor(0.025 * len(v))::bigint, len(v) - 1) + 1] as lo, v[least(floor(0.975 * len(v))::bigint, len(v) - 1) + 1] as hi, mean from (select list_sort(list(value)) as v, avg(value) as mean from {x}v))"""
+
+
+_OWN = "select item, sa as stratum, ra as a_run, rb as b_run, a, b, count(*) as n from pr where sa = sb group by all"
+_OTHER = "select item, sa, sb, a, b, count(*) as n from pr where ra = 1 and rb = 1 and sa < sb group by all"
+
+
+@query(f"with {_CELLS}, {_bootstrap_sql('w', _OWN, 'stratum, a_run, b_run', 'stratum', 1)} select * from we")
 def bootstrap_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     ann = M.annotations(spark, sf_dir)
     own = A.item_cells(A.within_pairs(ann).withColumn("stratum", F.col("a_stratum")), ["stratum", "a_run", "b_run"])
     return A.bootstrap_ci(own, A.kappa_stat(["stratum", "a_run", "b_run"], ["stratum"]), REPS, 1)
 
 
-@query()
+@query(f"""with {SETS}, r as (select case when len(b) = 0 then null else len(list_intersect(a, b)) / len(b) end as m from s), g as (select m, count(*)::double as mean, m::varchar || ',1.0' as key from r where m is not null group by 1), {M.poisson_sql('w', 'select key, mean, m from g', 5, REPS, 'm')},
+v as (select list_sort(list(value)) as v, avg(value) as mean from (select round(sum(w * m), 6) / sum(w) as value from w group by rep having sum(w) > 0))
+select (select avg(m) from r) as point, v[least(floor(0.025 * len(v))::bigint, len(v) - 1) + 1] as lo, v[least(floor(0.975 * len(v))::bigint, len(v) - 1) + 1] as hi, mean from v""")
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.tag_sets(spark, sf_dir).select("item", S.set_prf(F.col("a_tags"), F.col("b_tags"), "skip")[1].alias("m"))
     return A.bootstrap_mean_ci(rows, "m", REPS, 5)
 
 
-@query()
+_SUBSET = "('0x' || substr(md5('3:' || l_orderkey || ',' || l_linenumber || ':set'), 1, 15))::bigint % 2147483647"
+
+
+@query(f"""with x as (select l_extendedprice::double as m, '3:' || l_orderkey || ',' || l_linenumber as key, {_SUBSET} as place from lineitem where l_extendedprice is not null), n as (select count(*) as n, greatest(1, count(*) // greatest(1, round_even(count(*) ** 0.6, 0)::bigint)) as kinds, avg(m) as point from x),
+c as (select m, key, place % kinds as subset from x, n where place % kinds < 20), z as (select subset, n / count(*) as mean, avg(m) as own from c, n group by subset, n), {M.poisson_sql('w', 'select key, mean, m, subset, own from c join z using (subset)', 3, 400, 'm, subset, own')},
+v as (select subset, list_sort(list(value)) as v, avg(value) as mean, min(own) as own from (select subset, min(own) as own, sum(w * m) / sum(w) as value from w group by subset, rep having sum(w) > 0) group by 1)
+select round(point, 9) as point, round(avg(v[least(floor(0.025 * len(v))::bigint, len(v) - 1) + 1]) + point - avg(own), 9) as lo, round(avg(v[least(floor(0.975 * len(v))::bigint, len(v) - 1) + 1]) + point - avg(own), 9) as hi, round(avg(mean) + point - avg(own), 9) as mean from v, n group by point""")
 def bootstrap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of line items: as many values as items, nearly."""
     (li,) = M.read(spark, sf_dir, "lineitem")
-    rows = li.select(F.struct("l_orderkey", "l_linenumber").alias("item"), F.col("l_extendedprice").cast("double").alias("m"))
+    rows = li.select(F.concat_ws(",", "l_orderkey", "l_linenumber").alias("item"), F.col("l_extendedprice").cast("double").alias("m"))
     return A.little_bootstraps_ci(rows, "m", 3)
 
 
-@query()
+@query(f"""with {_CELLS}, {_bootstrap_sql('w', _OWN, 'stratum, a_run, b_run', 'stratum', 1)}, {_bootstrap_sql('x', _OTHER, 'sa, sb', '', 2)}
+select we.point as within_point, we.lo as within_lo, we.hi as within_hi, xe.point as cross_point, xe.lo as cross_lo, xe.hi as cross_hi, case when we.point <= xe.point then 'kill' when we.lo > xe.hi then 'supported' else 'directional' end as verdict from we, xe""")
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.headline_test(M.annotations(spark, sf_dir), REPS, (1, 2))
 
@@ -370,13 +393,24 @@ def independence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATES, _REPEATS = [0.0, 0.1, 0.2, 0.4, 0.7, 1.0], 200
 
 
-@query()
+def _recovery_sql() -> str:
+    """(rate, kappa) of three labels: how many leave a label, then how many of these take the first of the two others."""
+    seeds = " union all ".join(f"select {i} as i, {step} as step, * from ({M.seeds_sql(repr(f'9:{i}:{step}:'), _REPEATS)})" for i in range(len(_RATES)) for step in range(2))
+    rates = ", ".join(f"({i}, {r}::double)" for i, r in enumerate(_RATES))
+    return f"""{ANN}, per as (select label, count(*) as n, ('0x' || substr(md5(label), 1, 15))::bigint % 2147483647 as h from ann where rater = 1 and label in ('A', 'N', 'R') group by 1), sd as ({seeds}),
+{M.binomial_sql('m1', f"select i, rate, label, h, n, rep, {M.uniform_sql('h', 'ra', 'rb')} as u from per, (values {rates}) r(i, rate) join sd using (i) where step = 0", 'rate')},
+{M.binomial_sql('m2', f"select i, rate, label, m1.n - m1.k as stay, m1.k as n, rep, {M.uniform_sql('h', 'ra', 'rb')} as u from m1 join (select * from sd where step = 1) using (i, rep)", '0.5')},
+{M.kappa_sql('k', "select * from (select rate, rep, label as a, label as b, stay as n from m2 union all select rate, rep, label, case when label = 'A' then 'N' else 'A' end, k from m2 union all select rate, rep, label, case when label = 'R' then 'N' else 'R' end, n - k from m2) where n > 0", 'rate, rep')},
+curve as (select rate, avg(kappa) as kappa from k group by 1)"""
+
+
+@query(f"with {_recovery_sql()} select * from curve")
 def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = M.annotations(spark, sf_dir).where("rater = 1").select("item", "label")
     return A.recovery_test(ref, _RATES, _REPEATS, LABELS, 9)
 
 
-@query()
+@query(f"with {_recovery_sql()} select bool_and(coalesce(kappa <= before, true)) as monotone from (select kappa, lag(kappa) over (order by rate) as before from curve)")
 def recovery_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.is_monotone(recovery(spark, sf_dir))
 
