@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import divergence_note, kappa_band, spearman_brown
 from ..sources.shared import saved
 from .draws import binomial_table, key_number, poisson_table, quantiles, seeds, uniforms
-from .graph import average_rank, most_common, order_stat_ci, upper_median
+from .graph import average_rank, most_common, upper_median
 from .setmetrics import nan_to_null
 
 NAN = float("nan")
@@ -208,9 +208,9 @@ def kill_flag(verdicts: DataFrame) -> DataFrame:
 def patterns(per_item: DataFrame) -> DataFrame:
     """(h, rows, c): the distinct sorted rows that items have, a number of their text, and how many items have them."""
     cols = [c for c in per_item.columns if c != "item"]
-    line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
-    own = per_item.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(line.alias("line"), *cols))).alias("rows"))
-    return own.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).select(key_number(F.array_join("rows.line", ";")), "rows", "c")
+    own = per_item.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))
+    lines = F.transform("rows", lambda r: F.concat_ws(",", *(F.coalesce(r[c].cast("string"), F.lit("")) for c in cols)))
+    return own.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).select(key_number(F.array_join(F.array_sort(lines), ";")), "rows", "c")
 
 
 #: Patterns that are drawn at a time: with 10,000 replicates 10 MB a matrix.
@@ -221,7 +221,7 @@ def replicate_sums(per_item: DataFrame, values: Sequence[str], reps: int, seed:
     """(rep, keys, values): sums of `values` over rows (item, keys, values) by keys and replicate, in which each item has a
     weight of Poisson(1). A pattern of c items has Poisson(c), a draw that seed and pattern fix (draws.py). Items are not
     numbered and never repeated; a task holds its sums, one table of a distribution and the draws of _STEP patterns. A
-    table has about 20 sqrt(c) places."""
+    table has about 20 sqrt(c) places. Replicate -1 is the rows themselves, so that they need no second pass."""
     kept = per_item.schema
     keys = [c for c in per_item.columns if c not in ("item", *values)]
     schema = T.StructType([T.StructField("rep", T.IntegerType()), *(kept[k] for k in keys), *(T.StructField(v, T.DoubleType()) for v in values)])
@@ -238,6 +238,7 @@ def replicate_sums(per_item: DataFrame, values: Sequence[str], reps: int, seed:
                     if each != last:
                         last, table = each, poisson_table(float(each))
                     weight[c == each] = quantiles(weight[c == each], table)
+                weight = np.column_stack([c, weight])
                 shares: dict[tuple, np.ndarray] = {}
                 for i, rows in enumerate(some["rows"]):
                     for r in rows:
@@ -246,7 +247,7 @@ def replicate_sums(per_item: DataFrame, values: Sequence[str], reps: int, seed:
                 for k, share in shares.items():
                     sums[k] = sums.get(k, 0) + share @ weight
         for k, at in sums.items():
-            yield pd.DataFrame({"rep": np.arange(reps, dtype="int32")} | {n: [x] * reps for n, x in zip(keys, k, strict=True)} | dict(zip(values, at, strict=True)))
+            yield pd.DataFrame({"rep": np.arange(-1, reps, dtype="int32")} | {n: [x] * (reps + 1) for n, x in zip(keys, k, strict=True)} | dict(zip(values, at, strict=True)))
 
     found = patterns(per_item).repartition("h").sortWithinPartitions("c", "h").mapInPandas(run, schema)
     return found.groupBy("rep", *keys).agg(*(F.round(F.sum(v), 6).alias(v) for v in values))
@@ -254,14 +255,17 @@ def replicate_sums(per_item: DataFrame, values: Sequence[str], reps: int, seed:
 
 def bootstrap_ci(per_item: DataFrame, stat: Callable[[DataFrame, Sequence[str]], DataFrame], reps: int, seed: int) -> DataFrame:
     """(point, lo, hi, mean) of a statistic over rows (item, ..., n). `stat(rows, by)` gives (by, value) from rows with
-    their sums of n in column w."""
-    values = stat(replicate_sums(per_item, ["n"], reps, seed).withColumnRenamed("n", "w").where("w > 0"), ["rep"])
-    point = stat(per_item.withColumns({"w": F.col("n").cast("long"), "rep": F.lit(-1)}), ["rep"]).select(F.col("value").alias("point"))
-    return _ends(point, values)
+    their sums of n in column w. Nulls of an empty table."""
+    return _ends(stat(replicate_sums(per_item, ["n"], reps, seed).withColumnRenamed("n", "w").where("w > 0"), ["rep"]))
 
 
-def _ends(point: DataFrame, values: DataFrame) -> DataFrame:
-    return point.crossJoin(order_stat_ci(values.where("not isnan(value)"), "value")).crossJoin(values.agg(F.avg(nan_to_null("value")).alias("mean")))
+def _ends(values: DataFrame) -> DataFrame:
+    """Of (rep, value), in one aggregation: all replicates' values are one array."""
+    drawn = F.when(F.col("rep") >= 0, nan_to_null("value"))
+    v, n = F.col("_v"), F.size("_v")
+    at = lambda q: F.get(v, F.least(F.floor(F.lit(q) * n), n - 1).cast("int"))
+    out = values.agg(F.max(F.when(F.col("rep") < 0, F.col("value"))).alias("point"), F.array_sort(F.collect_list(drawn)).alias("_v"), F.avg(drawn).alias("mean"))
+    return out.select("point", at(0.025).alias("lo"), at(0.975).alias("hi"), "mean")
 
 
 def kappa_stat(mean_over: Sequence[str], then: Sequence[str] = ()) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
@@ -278,10 +282,10 @@ def kappa_stat(mean_over: Sequence[str], then: Sequence[str] = ()) -> Callable[[
 
 
 def bootstrap_mean_ci(per_item: DataFrame, metric: str, reps: int, seed: int) -> DataFrame:
-    """(point, lo, hi, mean) of a mean over items."""
+    """(point, lo, hi, mean) of a mean over items. Nulls of an empty table."""
     rows = per_item.where(F.col(metric).isNotNull()).select("item", F.col(metric).cast("double").alias("m"), F.lit(1.0).alias("one"))
     sums = replicate_sums(rows, ["m", "one"], reps, seed).where("one > 0")
-    return _ends(rows.agg(F.avg("m").alias("point")), sums.select("rep", (F.col("m") / F.col("one")).alias("value")))
+    return _ends(sums.select("rep", (F.col("m") / F.col("one")).alias("value")))
 
 
 def weighted_mean(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -332,12 +336,13 @@ def item_cells(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def headline_test(ann: DataFrame, reps: int, seeds: tuple[int, int]) -> DataFrame:
     """One row: within and cross agreement with intervals, and the verdict: supported only if within is larger and the
-    intervals are apart; kill if it is not larger; else directional."""
+    intervals are apart; kill if it is not larger; else directional; null where either is."""
     w = item_cells(within_pairs(ann).withColumn("stratum", F.col("a_stratum")), ["stratum", "a_run", "b_run"])
     c = item_cells(cross_pairs(ann), ["a_stratum", "b_stratum"])
     a = bootstrap_ci(w, kappa_stat(["stratum", "a_run", "b_run"], ["stratum"]), reps, seeds[0]).select(*(F.col(x).alias(f"within_{x}") for x in ("point", "lo", "hi")))
     b = bootstrap_ci(c, kappa_stat(["a_stratum", "b_stratum"]), reps, seeds[1]).select(*(F.col(x).alias(f"cross_{x}") for x in ("point", "lo", "hi")))
-    verdict = F.when(F.col("within_point") <= F.col("cross_point"), "kill").when(F.col("within_lo") > F.col("cross_hi"), "supported").otherwise("directional")
+    none = F.col("within_point").isNull() | F.col("cross_point").isNull()
+    verdict = F.when(none, None).when(F.col("within_point") <= F.col("cross_point"), "kill").when(F.col("within_lo") > F.col("cross_hi"), "supported").otherwise("directional")
     return a.crossJoin(b).withColumn("verdict", verdict)
 
 

@@ -300,7 +300,7 @@ def bootstrap_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SETS}, r as (select case when len(b) = 0 then null else len(list_intersect(a, b)) / len(b) end as m from s), g as (select m, count(*)::double as mean, m::varchar || ',1.0' as key from r where m is not null group by 1), {M.poisson_sql('w', 'select key, mean, m from g', 5, REPS, 'm')},
 v as (select list_sort(list(value)) as v, avg(value) as mean from (select round(sum(w * m), 6) / sum(w) as value from w group by rep having sum(w) > 0))
-select (select avg(m) from r) as point, v[least(floor(0.025 * len(v))::bigint, len(v) - 1) + 1] as lo, v[least(floor(0.975 * len(v))::bigint, len(v) - 1) + 1] as hi, mean from v""")
+select (select round(sum(m), 6) / count(m) from r) as point, v[least(floor(0.025 * len(v))::bigint, len(v) - 1) + 1] as lo, v[least(floor(0.975 * len(v))::bigint, len(v) - 1) + 1] as hi, mean from v""")
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.tag_sets(spark, sf_dir).select("item", S.set_prf(F.col("a_tags"), F.col("b_tags"), "skip")[1].alias("m"))
     return A.bootstrap_mean_ci(rows, "m", REPS, 5)
@@ -312,7 +312,7 @@ _SUBSET = "('0x' || substr(md5('3:' || l_orderkey || ',' || l_linenumber || ':se
 @query(f"""with x as (select l_extendedprice::double as m, '3:' || l_orderkey || ',' || l_linenumber as key, {_SUBSET} as place from lineitem where l_extendedprice is not null), n as (select count(*) as n, greatest(1, count(*) // greatest(1, round_even(count(*) ** 0.6, 0)::bigint)) as kinds, avg(m) as point from x),
 c as (select m, key, place % kinds as subset from x, n where place % kinds < 20), z as (select subset, n / count(*) as mean, avg(m) as own from c, n group by subset, n), {M.poisson_sql('w', 'select key, mean, m, subset, own from c join z using (subset)', 3, 400, 'm, subset, own')},
 v as (select subset, list_sort(list(value)) as v, avg(value) as mean, min(own) as own from (select subset, min(own) as own, sum(w * m) / sum(w) as value from w group by subset, rep having sum(w) > 0) group by 1)
-select round(point, 9) as point, round(avg(v[least(floor(0.025 * len(v))::bigint, len(v) - 1) + 1]) + point - avg(own), 9) as lo, round(avg(v[least(floor(0.975 * len(v))::bigint, len(v) - 1) + 1]) + point - avg(own), 9) as hi, round(avg(mean) + point - avg(own), 9) as mean from v, n group by point""")
+select round(point, 9) as point, round(round(avg(v[least(floor(0.025 * len(v))::bigint, len(v) - 1) + 1]), 9) + (round(point, 9) - round(avg(own), 9)), 9) as lo, round(round(avg(v[least(floor(0.975 * len(v))::bigint, len(v) - 1) + 1]), 9) + (round(point, 9) - round(avg(own), 9)), 9) as hi, round(round(avg(mean), 9) + (round(point, 9) - round(avg(own), 9)), 9) as mean from v, n group by point""")
 def bootstrap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of line items: as many values as items, nearly."""
     (li,) = M.read(spark, sf_dir, "lineitem")

@@ -67,7 +67,8 @@ def test_sums_of_replicates_are_those_of_single_draws(spark):
     want = {}
     ab = D.seeds(3, 40)
     for rows, c in counts.items():
-        for rep, w in enumerate(D.quantiles(D.uniforms(np.array([number(";".join(r[0] for r in rows))]), ab)[0], D.poisson_table(float(c)))):
+        drawn = D.quantiles(D.uniforms(np.array([number(";".join(r[0] for r in rows))]), ab)[0], D.poisson_table(float(c)))
+        for rep, w in enumerate([c, *drawn], -1):
             for _, k, n, x in rows:
                 at = want.setdefault((rep, k), [0.0, 0.0])
                 at[0] += w * n
@@ -82,3 +83,12 @@ def test_one_item_takes_a_third_of_the_rows(spark):
     own = spark.createDataFrame(rows, "item int, a string, b string").groupBy("item", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     r = A.bootstrap_ci(own, A.kappa_stat([]), 500, 1).first()
     assert r["lo"] < r["point"] < r["hi"] and A.bootstrap_ci(own.repartition(1), A.kappa_stat([]), 500, 1).first() == r
+
+
+def test_intervals_of_nothing(spark):
+    own = spark.createDataFrame([], "item int, a string, b string, n long")
+    none = dict.fromkeys(("point", "lo", "hi", "mean"))
+    assert A.bootstrap_ci(own, A.kappa_stat([]), 20, 1).first().asDict() == none
+    assert A.bootstrap_mean_ci(own.select("item", F.col("n").alias("m")), "m", 20, 1).first().asDict() == none
+    ann = spark.createDataFrame([], "item int, rater int, stratum int, run int, label string")
+    assert A.headline_test(ann, 20, (1, 2)).first()["verdict"] is None
