@@ -206,11 +206,12 @@ def kill_flag(verdicts: DataFrame) -> DataFrame:
 
 
 def patterns(per_item: DataFrame) -> DataFrame:
-    """(h, rows, c): the distinct sorted rows that items have, a number of their text, and how many items have them."""
+    """(pattern, h, rows, c): the distinct sorted rows that items have, a hash of them that tells them apart, the number of
+    their text that fixes draws, and how many items have them."""
     cols = [c for c in per_item.columns if c != "item"]
     own = per_item.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))
     lines = F.transform("rows", lambda r: F.concat_ws(",", *(F.coalesce(r[c].cast("string"), F.lit("")) for c in cols)))
-    return own.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).select(key_number(F.array_join(F.array_sort(lines), ";")), "rows", "c")
+    return own.groupBy("rows").agg(F.count(F.lit(1)).alias("c")).select(F.xxhash64("rows").alias("pattern"), key_number(F.array_join(F.array_sort(lines), ";")), "rows", "c")
 
 
 #: Patterns that are drawn at a time: with 10,000 replicates 10 MB a matrix.
@@ -249,7 +250,7 @@ def replicate_sums(per_item: DataFrame, values: Sequence[str], reps: int, seed:
         for k, at in sums.items():
             yield pd.DataFrame({"rep": np.arange(-1, reps, dtype="int32")} | {n: [x] * (reps + 1) for n, x in zip(keys, k, strict=True)} | dict(zip(values, at, strict=True)))
 
-    found = patterns(per_item).repartition("h").sortWithinPartitions("c", "h").mapInPandas(run, schema)
+    found = patterns(per_item).select("h", "rows", "c").repartition("h").sortWithinPartitions("c", "h").mapInPandas(run, schema)
     return found.groupBy("rep", *keys).agg(*(F.round(F.sum(v), 6).alias(v) for v in values))
 
 
