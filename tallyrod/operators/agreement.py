@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import divergence_note, kappa_band, spearman_brown
 from ..sources.shared import saved
 from .draws import binomial_table, key_number, poisson_table, quantiles, seeds, uniforms
-from .graph import average_rank, most_common, upper_median
+from .graph import most_common, same_keys, upper_median, value_ranks
 from .setmetrics import nan_to_null
 
 NAN = float("nan")
@@ -107,12 +107,18 @@ def tag_kappa(rows: DataFrame, by: Sequence[str], universe: int | Column) -> Dat
 
 
 def spearman_rho(rows: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """(by, rho, n): null for fewer than two rows or where a side is constant."""
+    """(by, rho, n): null for fewer than two rows or where a side is constant. Rows of equal values are one cell; the ranks
+    of distinct values, less their mean, are summed over cells, first by y, so that each side is ranked by itself."""
+    by = list(by)
     own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    part = list(by) or [F.lit(1)]
-    own = average_rank(average_rank(own, x, part, "_rx"), y, part, "_ry")
-    g = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"), F.covar_pop("_rx", "_ry").alias("c"))
-    return g.select(*by, F.when((F.col("n") >= 2) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy"))).alias("rho"), "n")
+    cells_ = saved(own.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("n")), "cells")
+    off = F.col("_r") - (F.col("_all") + 1) / 2  # a part's mean rank
+    dx = value_ranks(cells_.groupBy(*by, "_x").agg(F.sum("n").alias("n")), by, "_x", name="_r").select(*by, "_x", off.alias("dx"))
+    per = cells_.alias("v").join(dx.alias("s"), same_keys("v", "s", [*by, "_x"])).select("v.*", "s.dx")
+    per = per.groupBy(*by, "_y").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dx")).alias("sx"), F.sum(F.col("n") * F.col("dx") * F.col("dx")).alias("xx"))
+    d = value_ranks(per, by, "_y", name="_r").withColumn("dy", off)
+    g = d.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("xx").alias("xx"), F.sum(F.col("n") * F.col("dy") * F.col("dy")).alias("yy"), F.sum(F.col("sx") * F.col("dy")).alias("xy"))
+    return g.select(*by, F.when((F.col("n") >= 2) & (F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")
 
 
 def all_rater_pairs(ratings: DataFrame, universe: int) -> DataFrame:
