@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import pieces
+
 #: One statement of N-Triples: subject, predicate, object as IRI, blank node or literal with language or datatype.
 _TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
 
@@ -79,16 +81,24 @@ def read_template(spark: SparkSession, template: Mapping[str, Sequence[tuple[str
     return spark.createDataFrame(rows, "authority string, pos int, pool_key string, label string")
 
 
+#: Characters of a batch of sections, about.
+SENT = 4_000_000
+
+
+def sections_batch(b: pa.RecordBatch, rows: list, at: list, heads: list, lines: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(heads, pa.string()), pa.array(lines, pa.string())], names=["doc", "pos", "section", "line"])
+
+
 def scan_sections(docs: DataFrame, doc: str, text: str, mark: str = "## ") -> DataFrame:
     """(doc, pos, section, line): each line with the last heading at or above it. One walk over a text's lines inside its
     row, so nothing is shuffled and a stream can be read as well. A null text has no lines."""
     own = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, at, heads, lines = [], [], [], []
-            for i, t in enumerate(b.column("t").to_pylist()):
-                head = None
+        for b in pieces(batches):
+            rows, at, heads, lines, size = [], [], [], [], 0
+            for i, t in enumerate(b.column("t")):
+                head, t = None, t.as_py()
                 for pos, line in enumerate([] if t is None else t.split("\n")):
                     if line.startswith(mark):
                         head = line[len(mark) :]
@@ -96,7 +106,11 @@ def scan_sections(docs: DataFrame, doc: str, text: str, mark: str = "## ") -> Da
                     at.append(pos)
                     heads.append(head)
                     lines.append(line)
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(heads, pa.string()), pa.array(lines, pa.string())], names=["doc", "pos", "section", "line"])
+                    size += len(line) + len(head or "") + 100
+                    if size > SENT:  # a heading is repeated at each of its lines
+                        yield sections_batch(b, rows, at, heads, lines)
+                        rows, at, heads, lines, size = [], [], [], [], 0
+            yield sections_batch(b, rows, at, heads, lines)
 
     return own.mapInArrow(run, f"doc {own.schema['doc'].dataType.simpleString()}, pos int, section string, line string")
 
