@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import saved
+from ..sources.shared import pieces, saved
 from .keywords import PIECE, text_buffers
 
 ANCHOR, BITS, MOST = 32, 22, 2_000_000
@@ -109,7 +109,7 @@ def _looked_up(texts: DataFrame, keys: list[tuple[int, int, int, int]]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder[:] = finder or [Finder(keys)]
-        for b in batches:
+        for b in pieces(batches):
             hits = sorted(finder[0].find(*text_buffers(b.column("t")))) if keys and b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array([r for r, _ in hits], pa.int64())), pa.array([d for _, d in hits], pa.binary())], names=["doc", "digest"])
 
