@@ -144,6 +144,32 @@ def test_encoder_cuts_where_no_token_crosses():
     assert token_files.encoded(texts, path) == want
 
 
+@pytest.mark.parametrize("sizes", [{"MEMORY": 500}, {"SLOTS": 256}, {"PROBES": 1}, {"MEMORY": 500, "SLOTS": 256, "PROBES": 2}])
+def test_encoder_forgets_and_overflows(monkeypatch, sizes):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_files.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "_models", {})
+    for k, v in sizes.items():
+        monkeypatch.setattr(token_files, k, v)
+    model, r = Tokenizer.from_file(path), random.Random(7)
+    letters = ["a", "b", " ", "\n", "5", "'", "s", ".", "é", "ж", "×", "ſ", "\0", "\x1c", "\u2003", "\u3000", "中", "ab" * 9]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(1000)] * 2
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 50) for x in token_files.encoded(texts[i : i + 50], path)] == want
+    assert "MEMORY" not in sizes or token_files.memory(path).n < 2500  # of more than 8,000
+
+
+def test_encoder_remembers_a_million_words(monkeypatch):
+    path = tokenizers_files.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "_models", {})
+    blocks = [[" ".join(np.base_repr(i * 7919 % 1_000_003, 5).translate(str.maketrans("01234", "etaon")) for i in range(at, at + 10_000))] for at in range(0, 1_000_000, 10_000)]
+    first = [token_files.encoded(b, path) for b in blocks]
+    memory, calls = token_files.memory(path), []
+    monkeypatch.setattr(memory, "model", lambda *a, **k: calls.append(a))
+    assert [token_files.encoded(b, path) for b in blocks] == first and not calls
+
+
 # Language model
 
 
