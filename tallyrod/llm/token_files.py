@@ -28,6 +28,8 @@ from .common import mix, shared_dir, tidy
 END = 0
 #: Pieces that a worker remembers, places of its table (a power of two), and how many of them a piece may try.
 MEMORY, SLOTS, PROBES = 1_250_000, 1 << 21, 16
+#: Pieces looked up at a time.
+AT_ONCE = 200_000
 
 _models: dict[str, Memory] = {}
 
@@ -178,34 +180,45 @@ class Memory:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(x))[: len(starts)]
         before = np.searchsorted(starts, offsets)
-        size = ends - starts
-        words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
-        keys = np.stack([words[starts] & _FIRST[np.minimum(size, 8)], words[starts + 8] & _FIRST[np.clip(size - 8, 0, 8)]], axis=1) if len(starts) else np.zeros((0, 2), "<u8")
-        keys[size > 16] = 0
+        short = ends - starts <= 16
         for k in whole:
-            keys[before[k] : before[k + 1]] = 0
+            short[before[k] : before[k + 1]] = False
+        parts = [slice(i, i + AT_ONCE) for i in range(0, len(starts), AT_ONCE)]
+        places = np.concatenate([np.zeros(0, "int32"), *(self._places(raw, space, starts[i], ends[i], short[i]) for i in parts)])
+        places = np.insert(places, before[1:], 0)
+        total = np.cumsum(self.at[places + 1] - self.at[places])
+        ids = np.concatenate([np.zeros(0, "int32"), *(self._ids(places[i : i + AT_ONCE]) for i in range(0, len(places), AT_ONCE))])
+        return ids, np.diff(total[before[1:] + np.arange(len(texts))], prepend=0)
+
+    def _ids(self, places: np.ndarray) -> np.ndarray:
+        at = self.at[places]
+        n = self.at[places + 1] - at
+        return self.ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def _places(self, raw: bytes, space: np.ndarray, starts: np.ndarray, ends: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """The places of consecutive pieces of raw, after learning those that are missing. Short ones have keys."""
+        words, size = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)), ends - starts
+        keys = np.stack([words[starts] & _FIRST[np.minimum(size, 8)], words[starts + 8] & _FIRST[np.clip(size - 8, 0, 8)]], axis=1)
+        keys[~short] = 0
         places = self._find(keys)
         self.again[places] = True
         missing = np.flatnonzero(places == 0)
         if len(missing):
-            spaces = np.concatenate([[0], np.cumsum(space)])
+            spaces = np.add.reduceat(space[: ends[-1]], starts, dtype="int64")[missing]
+            blank = np.frombuffer(raw, "u1")[starts[missing]] == 32
             # White space other than one blank before something else does not stay apart from line feeds.
-            alone = ((spaces[ends[missing]] - spaces[starts[missing]]) != (x[starts[missing]] == 32)) | (size[missing] < 2) & (x[starts[missing]] == 32) | ((size[missing] > 16) | (keys[missing, 0] == 0))
+            alone = (spaces != blank) | blank & (size[missing] < 2) | ~short[missing]
             missing = missing[np.argsort(alone, kind="stable")]
             alone.sort()
             pieces = [raw[i:j] for i, j in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
             new: dict[bytes, int] = {}
-            at = [self.long[p] if p in self.long else self.n + new.setdefault(p, len(new)) for p in pieces]
-            places[missing] = at
+            places[missing] = at = np.asarray([self.long[p] if p in self.long else self.n + new.setdefault(p, len(new)) for p in pieces])
+            self.again[at[at < self.n]] = True
             if new:
-                _, of = np.unique(places[missing][np.asarray(at) >= self.n], return_index=True)
-                of = np.flatnonzero(np.asarray(at) >= self.n)[of]
-                self._learn(list(new), alone[of], keys[missing[of]])
-        places = np.insert(places, before[1:], 0)
-        n = self.at[places + 1] - self.at[places]
-        total = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[places] - (total - n), n) + np.arange(n.sum())]
-        return ids, np.diff(total[before[1:] + np.arange(len(texts))], prepend=0)
+                unknown = np.flatnonzero(at >= self.n)
+                first = unknown[np.unique(at[unknown], return_index=True)[1]]
+                self._learn(list(new), alone[first], keys[missing[first]])
+        return places
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

@@ -144,7 +144,7 @@ def test_encoder_cuts_where_no_token_crosses():
     assert token_files.encoded(texts, path) == want
 
 
-@pytest.mark.parametrize("sizes", [{"MEMORY": 500}, {"SLOTS": 256}, {"PROBES": 1}, {"MEMORY": 500, "SLOTS": 256, "PROBES": 2}])
+@pytest.mark.parametrize("sizes", [{"MEMORY": 500}, {"SLOTS": 256}, {"PROBES": 1}, {"MEMORY": 500, "SLOTS": 256, "PROBES": 2}, {"AT_ONCE": 30}])
 def test_encoder_forgets_and_overflows(monkeypatch, sizes):
     from tokenizers import Tokenizer
 
@@ -157,6 +157,7 @@ def test_encoder_forgets_and_overflows(monkeypatch, sizes):
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(1000)] * 2
     want = [np.asarray(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
     assert [x for i in range(0, len(texts), 50) for x in token_files.encoded(texts[i : i + 50], path)] == want
+    assert token_files.encoded(["\n".join(texts)], path) == [np.asarray(model.encode("\n".join(texts), add_special_tokens=False).ids, "<u4").tobytes()]
     assert "MEMORY" not in sizes or token_files.memory(path).n < 2500  # of more than 8,000
 
 
