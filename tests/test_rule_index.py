@@ -44,3 +44,26 @@ def test_fifty_thousand_rules(spark):
     n = pairs.count()
     want = sorted((d, x[0]) for d, f in docs for s in [set(f)] for x in own if fires(s, x))
     assert found(R.apply_rules(features, rules)) == want and len(want) <= n <= 1.01 * len(want)  # of 15,000,000 pairs
+
+
+def test_nulls_and_small_batches_as_all_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    some = lambda n: r.choice([None, [], *([r.choice([None, *"abcdefgh"]) for _ in range(r.randint(0, n))] for _ in range(8))])
+    features = spark.createDataFrame([(r.choice([None, f"d{i}"]), some(6)) for i in range(700)], "doc string, features array<string>").coalesce(1)
+    rules = spark.createDataFrame([rule(i, some(2), some(2), some(2)) for i in range(300)], RULE_SCHEMA)
+    key = lambda x: (x["doc"] or "", x["rule_id"])
+    want = sorted(map(key, R.apply_rules(features, rules, few=1_000).collect()))
+    assert len(want) > 10_000 and sorted(map(key, R.apply_rules(features, rules).collect())) == want
+    monkeypatch.setattr(R, "CELLS", 1)  # 256 documents at once
+    assert sorted(map(key, R.apply_rules(features, rules).collect())) == want
+    free = spark.createDataFrame([rule(i, [], [], []) for i in range(70)], RULE_SCHEMA)
+    assert R.apply_rules(features, free).count() == 70 * features.where("features is not null").count()
+
+
+def test_more_conditions_than_are_collected(spark):
+    r = random.Random(4)
+    some = lambda n: [f"f{r.randint(0, 20)}" for _ in range(r.randint(0, n))]
+    docs, own = [(i, some(9)) for i in range(60)], [rule(i, some(3), some(2), some(2)) for i in range(150)]
+    features, rules = spark.createDataFrame(docs, "doc long, features array<string>"), spark.createDataFrame(own, RULE_SCHEMA)
+    want = sorted((d, x[0]) for d, f in docs for x in own if fires(set(f), x))
+    assert found(R.apply_rules(features, rules, most=20)) == want
